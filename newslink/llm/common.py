@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
+        sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
         ends = np.cumsum(sizes)
         begin = 0
         while begin < batch.num_rows:

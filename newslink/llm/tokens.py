@@ -27,6 +27,7 @@ from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -283,7 +284,7 @@ def read_documents(manifest: DataFrame, out_dir: str) -> DataFrame:
                             for view in file.tokens(start, count):
                                 crc = zlib.crc32(view.astype("<u4"), crc)
                             crcs.append(crc)
-                        yield pa.record_batch({"doc_id": part.column("doc_id"), "start": pa.compute.add(part.column("start"), base), "n_tokens": part.column("n_tokens"), "ids_crc32": pa.array(crcs, pa.int64())})
+                        yield pa.record_batch({"doc_id": part.column("doc_id"), "start": pc.add(part.column("start"), base), "n_tokens": part.column("n_tokens"), "ids_crc32": pa.array(crcs, pa.int64())})
 
     # One row per shard: the running total is over as many rows as there are files.
     before = F.coalesce(F.sum("n_tokens").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
