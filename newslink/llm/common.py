@@ -122,11 +122,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def segment_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each segment, independent of where it stands."""
-    size = 1 << max(16, int(len(values)).bit_length())
-    sums = np.empty(len(values) + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum(mix(values.astype(np.uint64) + np.uint64(1)) * _powers(size, int(_BASE))[: len(values)], out=sums[1:])
-    out = (sums[ends] - sums[starts]) * _powers(size, int(_INVERSE))[starts]
-    return mix(out ^ ((ends - starts).astype(np.uint64) << np.uint64(40)))
+class SegmentHasher:
+    """64-bit hashes of stretches of an array, independent of where they stand."""
+
+    def __init__(self, values: np.ndarray):
+        size = 1 << max(16, int(len(values)).bit_length())
+        self.inverse = _powers(size, int(_INVERSE))
+        self.sums = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum(mix(values.astype(np.uint64) + np.uint64(1)) * _powers(size, int(_BASE))[: len(values)], out=self.sums[1:])
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        out = (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
+        return mix(out ^ ((ends - starts).astype(np.uint64) << np.uint64(40)))
+
+
+def word_runs(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each maximal run of letters."""
+    letter = np.zeros(len(classes) + 2, dtype=np.int8)
+    letter[1:-1] = classes == LETTER
+    step = np.diff(letter)
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+
+
+def held_out(doc_id) -> object:
+    """Whether a document is kept from learning: crc32 of its doc_id as text leaves 2 when divided by 4."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from newslink.llm import media, tokens
+from newslink.llm import langid, media, tokens, toxicity
 from newslink.llm.common import table
 
 
@@ -17,5 +17,13 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_output(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op5_token_ids)}
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_toxicity, op5_token_ids, op7_language_id)}
 ORACLES: dict[str, str] = {}

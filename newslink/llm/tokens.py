@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from newslink.llm.common import LETTER, SPACE, STEP_CHARS, CodePoints, pick, segment_hashes, shared_dir, slices
+from newslink.llm.common import LETTER, SPACE, STEP_CHARS, CodePoints, SegmentHasher, pick, shared_dir, slices
 
 ROWS = 256
 SEQ_LEN = 2048
@@ -134,7 +134,7 @@ class Encoder:
         odd = {i for i, t in enumerate(texts) if any(s in t for s in self.special)} if self.special else set()
         cp = CodePoints(["" if i in odd else t for i, t in enumerate(texts)])
         starts, ends = word_spans(cp)
-        keys, at, which = np.unique(segment_hashes(cp.points, starts, ends), return_index=True, return_inverse=True)
+        keys, at, which = np.unique(SegmentHasher(cp.points).of(starts, ends), return_index=True, return_inverse=True)
         if len(self.slots) + len(keys) > MEMORY:
             self._forget()
         names = keys.tolist()
