@@ -13,6 +13,7 @@ there is no label). Empty tables give no row.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newslink.llm import crf
-from newslink.llm.common import STEP_CHARS, held_out, pick, slices
+from newslink.llm.common import STEP_CHARS, held_out, mix, pick, slices
 
 FEATURES = {"bits": 18, "prefixes": (3, 4, 5, 6, 7), "suffixes": (3, 5), "grams": ()}
 #: Labelled documents of each kind that the model is fitted on at most (chosen by a hash of doc_id).
@@ -78,6 +79,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, epochs:
     chosen = docs.sparkSession.createDataFrame(rows, "chosen_id bigint, chosen_toxic int")
     texts = pick(docs, doc_id="bigint", text="string").join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id")).select("text", "chosen_toxic", "doc_id")
     found = sorted((r for r in texts.collect() if r.text), key=lambda r: (r.doc_id * 2654435761 % 4294967291, r.text))
+    found = [found[i] for i in _without_copies([r.text for r in found])]
     y = np.array([r.chosen_toxic for r in found], np.int64)
     if len(set(y.tolist())) < 2:
         return Toxicity(None, np.zeros(3), prior)
@@ -97,6 +99,27 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, epochs:
     return Toxicity(field, _logistic(evidence, y, weight), prior)
 
 
+def _without_copies(texts: list[str], hashes: int = 8, most: int = 3) -> list[int]:
+    """Indices of texts that share at most `most` of their word sets' least hashes with an earlier one.
+
+    Copies of one toxic text would make all its words look toxic.
+    """
+    seen: dict[tuple[int, int], int] = {}
+    out = []
+    for k in range(0, len(texts), TEXTS):
+        words = crf.Words(texts[k : k + TEXTS], **FEATURES)
+        ends = np.cumsum(words.per_doc)
+        for d, (begin, end) in enumerate(zip(ends - words.per_doc, ends, strict=True)):
+            own = words.keys[words.which[begin:end]]
+            least = [(i, int(mix(own ^ np.uint64(i * 0x5851F42D4C957F2D & (1 << 64) - 1)).min())) for i in range(1, hashes + 1)] if len(own) else []
+            shared = Counter(seen[x] for x in least if x in seen)
+            if max(shared.values(), default=0) <= most:
+                out.append(k + d)
+                for x in least:
+                    seen.setdefault(x, k + d)
+    return out
+
+
 def _word_labels(batches: list[crf.Words], y: np.ndarray) -> list[np.ndarray]:
     """Label 1 for words of toxic documents that have a toxic feature."""
     size = 1 << FEATURES["bits"]
