@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from newslink.llm import langid, media, tokens, toxicity
+from newslink.llm import decontam, langid, media, tokens, toxicity
 from newslink.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.store_media(table(spark, sf_dir, "documents")))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digest(decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_output(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -25,5 +29,5 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_toxicity, op5_token_ids, op7_language_id)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_toxicity, op4_decontaminate, op5_token_ids, op7_language_id)}
+ORACLES: dict[str, str] = {"op4_decontaminate": decontam.ORACLE}
