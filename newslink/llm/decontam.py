@@ -1,8 +1,8 @@
 """Benchmark decontamination: a prefix-filtered set join with exact checks, in DataFrame operations only.
 
 The windows of an item are its stretches of WINDOW words (an item of fewer words is one window). A window is contained
-in a document if all its words stand there in its order, so one word is a sufficient prefix: the one that is rarest in
-all documents. Document words are joined with these prefix words; a pair is dropped if the window would begin before
+in a document if all its words stand there in its order, so one shingle is a sufficient prefix: the one that is rarest in
+all documents. Document shingles are joined with these prefixes; a pair is dropped if the window would begin before
 the document's first word or end after its last one (positional and length bounds), and else its words are compared
 with the document's words at that place.
 
@@ -13,12 +13,16 @@ id like others. Without items, no document is contaminated. Empty documents give
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newslink.llm.common import pick
+from newslink.llm.common import pick, through_table
 
 WINDOW = 10
+#: Words of a shingle; windows of fewer words are searched by shingles of their own size.
+SHINGLE = 3
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of a table built from the benchmark up to which it is broadcast (about 64 MB); beyond, both sides are shuffled.
@@ -41,27 +45,43 @@ def _sized(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small
 
 
-def prefix_words(texts: DataFrame, windows: DataFrame) -> DataFrame:
-    """prefix, at, size, window, items: each window with its prefix word and that word's place in it.
+def _shingles(texts: DataFrame, size: int) -> DataFrame:
+    """The rows of texts with pos and shingle (a hash of `size` words) for every place in the word array w."""
+    # The outer form: else Spark filters by the array's size first and cuts every text twice.
+    placed = texts.select("*", F.posexplode_outer("w").alias("pos", "word"))
+    return placed.withColumn("shingle", F.xxhash64("word", *[F.get("w", F.col("pos") + i) for i in range(1, size)]))
+
+
+def prefix_shingles(texts: DataFrame, windows: DataFrame, size: int) -> DataFrame:
+    """prefix, at, n, window, items: each window with the shingle that is rarest in all documents and its place.
 
-    A word's rarity is how often it stands in all documents.
+    Hashes only find candidates; words are compared afterwards.
     """
-    vocabulary = windows.select(F.explode("words").alias("word")).distinct()
-    counts = texts.select(F.explode(words_of(F.col("text"))).alias("word")).join(_sized(vocabulary), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    each = windows.select("words", "items", F.posexplode("words").alias("at", "word")).join(_sized(counts), "word", "left")
-    best = each.groupBy("words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "at")).alias("first"), F.first("items").alias("items"))
-    return best.select(F.col("first.word").alias("prefix"), F.col("first.at").alias("at"), F.size("words").alias("size"), F.col("words").alias("window"), "items")
+    each = _shingles(windows.withColumnRenamed("words", "w"), size).where(F.col("pos") <= F.size("w") - size)
+    wanted = each.select("shingle").distinct()
+    counts = _shingles(texts.select("w"), size).select("shingle").join(_sized(wanted), "shingle", "left_semi").groupBy("shingle").agg(F.count(F.lit(1)).alias("count"))
+    ranked = each.select("w", "items", "pos", "shingle").join(counts, "shingle", "left")
+    best = ranked.groupBy("w").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "pos", "shingle")).alias("first"), F.first("items").alias("items"))
+    return best.select(F.col("first.shingle").alias("prefix"), F.col("first.pos").alias("at"), F.size("w").alias("n"), F.col("w").alias("window"), "items")
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, text_key, start, size (in words), items: every occurrence of a window in a document."""
-    texts = pick(docs, doc_id="bigint", text="string")
-    prefixes = prefix_words(texts, item_windows(benchmark, window))
-    placed = texts.select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("w")).select("doc_id", "text_key", "w", F.posexplode("w").alias("pos", "word"))
-    # The check is part of the join, so that no row with a whole document's words leaves it.
+    texts = pick(docs, doc_id="bigint", text="string").select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("w"))
+    windows = item_windows(benchmark, window)
+    sizes = [r.n for r in windows.select(F.least(F.size("words"), F.lit(SHINGLE)).alias("n")).distinct().collect()]
+    found = [_matches(texts, windows.where(F.least(F.size("words"), F.lit(SHINGLE)) == n), n) for n in sorted(sizes) or [SHINGLE]]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _matches(texts: DataFrame, windows: DataFrame, size: int) -> DataFrame:
+    # Written once: it is used to learn its size and to join with, and its own plan reads all documents.
+    prefixes = through_table(prefix_shingles(texts, windows, size), "prefixes")
+    # The checks are part of the join, so that no row with a whole document's words leaves it.
     start = F.col("pos") - F.col("at")
-    fits = (start >= 0) & (start + F.col("size") <= F.size("w")) & (F.slice("w", start + 1, F.col("size")) == F.col("window"))
-    return placed.join(_sized(prefixes), (F.col("word") == F.col("prefix")) & fits).select("doc_id", "text_key", start.alias("start"), "size", "items")
+    fits = (start >= 0) & (start + F.col("n") <= F.size("w")) & (F.slice("w", start + 1, F.col("n")) == F.col("window"))
+    joined = _shingles(texts, size).join(_sized(prefixes), (F.col("shingle") == F.col("prefix")) & fits)
+    return joined.select("doc_id", "text_key", start.alias("start"), F.col("n").alias("size"), "items")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
