@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from newslink.llm import decontam, langid, media, tokens, toxicity
+from newslink.llm import decontam, jaccard, langid, media, tokens, toxicity
 from newslink.llm.common import table
 
 
@@ -29,5 +29,9 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_toxicity, op4_decontaminate, op5_token_ids, op7_language_id)}
-ORACLES: dict[str, str] = {"op4_decontaminate": decontam.ORACLE}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_toxicity, op4_decontaminate, op5_token_ids, op7_language_id, op10_jaccard_join)}
+ORACLES: dict[str, str] = {"op4_decontaminate": decontam.ORACLE, "op10_jaccard_join": jaccard.ORACLE}
