@@ -104,8 +104,8 @@ def digest(result: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, in which no window of the benchmark occurs."""
-    hits = occurrences(docs, benchmark).select(F.col("doc_id").alias("__hit_id"), F.col("text_key").alias("__hit_key")).distinct()
-    return docs.join(hits, docs["doc_id"].cast("bigint").eqNullSafe(F.col("__hit_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__hit_key")), "left_anti")
+    hits = through_table(occurrences(docs, benchmark).select(F.col("doc_id").alias("__hit_id"), F.col("text_key").alias("__hit_key")).distinct(), "hits")
+    return docs.join(_sized(hits), docs["doc_id"].cast("bigint").eqNullSafe(F.col("__hit_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__hit_key")), "left_anti")
 
 
 ORACLE = f"""

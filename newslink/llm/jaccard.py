@@ -227,10 +227,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, but only the one with the least doc_id of each component."""
-    others = jaccard_components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("__copy_id")).distinct()
-    kept = docs.join(others, docs["doc_id"].cast("bigint") == F.col("__copy_id"), "left_anti")
-    return kept.dropDuplicates(["doc_id", "text"]) if {"doc_id", "text"} <= set(docs.columns) else kept
+    """The rows of docs, with all their columns, but only those of the least doc_id of each component.
+
+    Rows with a null doc_id stay; so do all rows of a doc_id that stays.
+    """
+    copies = through_table(jaccard_components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("__copy_id")).distinct(), "copies")
+    few = copies.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(copies) if few else copies, docs["doc_id"].cast("bigint") == F.col("__copy_id"), "left_anti")
 
 
 ORACLE = """

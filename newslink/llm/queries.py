@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from newslink.llm import decontam, jaccard, langid, media, tokens, toxicity
+from newslink.llm import decontam, jaccard, langid, media, mixing, tokens, toxicity
 from newslink.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.store_media(table(spark, sf_dir, "documents")))
 
 
+def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=mixing.WEIGHTS).drop("text_key")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -33,5 +37,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_toxicity, op4_decontaminate, op5_token_ids, op7_language_id, op10_jaccard_join)}
-ORACLES: dict[str, str] = {"op4_decontaminate": decontam.ORACLE, "op10_jaccard_join": jaccard.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_toxicity, op3_mixture, op4_decontaminate, op5_token_ids, op7_language_id, op10_jaccard_join)}
+ORACLES: dict[str, str] = {"op3_mixture": mixing.ORACLE, "op4_decontaminate": decontam.ORACLE, "op10_jaccard_join": jaccard.ORACLE}
