@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from newslink.llm import decontam, jaccard, langid, media, mixing, tokens, toxicity
+from newslink.llm import decontam, jaccard, langid, media, mixing, secrets, tokens, toxicity
 from newslink.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -37,5 +41,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_toxicity, op3_mixture, op4_decontaminate, op5_token_ids, op7_language_id, op10_jaccard_join)}
-ORACLES: dict[str, str] = {"op3_mixture": mixing.ORACLE, "op4_decontaminate": decontam.ORACLE, "op10_jaccard_join": jaccard.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_toxicity, op3_mixture, op4_decontaminate, op5_token_ids, op6_secrets, op7_language_id, op10_jaccard_join)}
+ORACLES: dict[str, str] = {"op3_mixture": mixing.ORACLE, "op4_decontaminate": decontam.ORACLE, "op6_secrets": secrets.ORACLE, "op10_jaccard_join": jaccard.ORACLE}
