@@ -2,10 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
 
-def oracle_sql() -> dict:
-    return {}
+
+def query(oracle: str | None = None) -> Callable:
+    """Register a function (spark, sf_dir) under its name, with SQL that gives the same rows."""
+
+    def add(function: Callable) -> Callable:
+        QUERIES[function.__name__] = function
+        if oracle:
+            ORACLES[function.__name__] = oracle
+        return function
+
+    return add
+
+
+def _load() -> None:
+    from newslink.plans import article_queries, event_queries, revision_queries, stream_queries, table_queries  # noqa: F401
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    return QUERIES
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return ORACLES
