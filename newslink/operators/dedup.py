@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newslink.functions.scalars import base_link, url_last_segment, version_key
+from newslink.operators.graph import materialize
 from newslink.operators.tfidf import similar_pairs
 
 
@@ -58,8 +59,6 @@ def by_reachability(art: DataFrame, group: list[str], threshold: float, rounds:
     An article is left out if it is at least that similar to all reached ones. Starting from the newest alone, the
     excluded are recounted against the reached until none is added; only pairs above the threshold are joined.
     """
-    from newslink.operators.graph import materialize
-
     block = F.concat_ws("|", *group) if group else F.lit("all")
     valid = art.where(F.length(F.trim(F.coalesce("content", F.lit("")))) > 0).select("id", block.alias("block"), "pubtime", F.col("content").alias("text"))
     pairs = similar_pairs(valid.select("id", "block", "text"), threshold, strict=False)
@@ -88,5 +87,5 @@ def dedup_articles(art: DataFrame, threshold: float = 0.98) -> DataFrame:
     linked = by_url_segment(x.where("article_link is not null"), F.col("__url"))
     loose = keep_first(x.where("article_link is null"), [F.coalesce("head", F.col("id").cast("string"))], NEWEST)
     versioned = by_version(linked.withColumn("base_link", base_link(F.col("__url"))), F.col("__url"))
-    both = versioned.unionByName(loose.withColumn("base_link", F.lit(""))).withColumn("head_key", F.coalesce("head", F.lit("")))
+    both = materialize(versioned.unionByName(loose.withColumn("base_link", F.lit(""))).withColumn("head_key", F.coalesce("head", F.lit(""))), "articles")
     return by_content(both, ["base_link", "head_key"], threshold).drop("__url", "base_link", "head_key")

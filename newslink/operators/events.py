@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from newslink.operators.graph import components
+from newslink.operators.graph import components, materialize
 from newslink.operators.tfidf import similar_pairs
 
 ENTITY = r"(\p{Lu}[\p{L}\p{N}]{2,})"
@@ -40,7 +40,7 @@ def leader_clusters(art: DataFrame, entities: DataFrame, threshold: float = 0.35
     """
     block = F.date_format("pubtime", "yyyy-MM-dd")
     docs = art.select("id", block.alias("block"), F.concat_ws(" ", "head", "content").alias("text"))
-    pairs = similar_pairs(docs, threshold)
+    pairs = materialize(similar_pairs(docs, threshold), "pairs")
     edges = pairs.select(F.col("i").alias("a"), F.col("j").alias("b"))
     both = pairs.select("i", "j").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j")))
     neighbours = both.groupBy("i").agg(F.collect_list("j").alias("near")).withColumnRenamed("i", "id")
@@ -92,8 +92,8 @@ def rank_events(clusters: DataFrame, entities: DataFrame, max_events: int, min_a
 
 def daily_events(art: DataFrame, max_events: int = 6, min_entity: int = 3, min_articles: int = 2, threshold: float = 0.35) -> DataFrame:
     """Members of each day's largest events."""
-    entities = entity_weights(art)
-    clusters = leader_clusters(art, entities, threshold, min_entity)
+    entities = materialize(entity_weights(art), "entities")
+    clusters = materialize(leader_clusters(art, entities, threshold, min_entity), "events")
     events = rank_events(clusters, entities, max_events, min_articles).select("leader", "cluster_id", "score")
     members = clusters.join(events, "leader").select("id", "cluster_id", "leader", "score", F.col("date").cast("string").alias("date"))
     return members.join(art, "id").select("date", "cluster_id", "id", "leader", "score", "pubtime", "medium_name", F.coalesce("article_link", F.lit("")).alias("article_link"), "head", F.concat_ws(" ", "head", "content").alias("combined_text"))
