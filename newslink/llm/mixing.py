@@ -102,7 +102,7 @@ def mix(docs: DataFrame, percent: int = PERCENT, weights: dict[str, dict[str, in
 
     The total budget is `percent` of all tokens of docs.
     """
-    rows = prepare(docs)
+    rows = through_table(prepare(docs), "mixture")
     leaves = through_table(rows.groupBy(*LEVELS).agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens")), "leaves")
     total = (leaves.agg(F.sum("tokens")).first()[0] or 0) * percent // 100
     plan = through_table(budgets(leaves, total, weights, epochs).where("budget > 0").select(*LEVELS, F.expr("budget div tokens").alias("full"), F.expr("budget % tokens").alias("part"), F.expr(f"docs div {RANGE_ROWS} + 1").alias("ranges")), "budgets")
