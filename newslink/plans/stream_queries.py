@@ -1 +1,50 @@
-"""Registered queries."""
+"""Registered queries: streams over the article and revision tables, run once over what is there; and the TSV scan."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from newslink.operators.graph import materialize
+from newslink.registry import query
+from newslink.sources import fixtures as X
+from newslink.sources import tsv
+from newslink.streaming import streams
+
+
+def _stream(table: DataFrame) -> tuple[DataFrame, str]:
+    """The table written as files and read as a stream; a path for the result."""
+    files = materialize(table, "stream")
+    folder = files.inputFiles()[0].rsplit("/", 1)[0]
+    return table.sparkSession.readStream.schema(files.schema).parquet(folder), f"{folder}-out-{uuid.uuid4().hex}"
+
+
+def _articles(spark: SparkSession, d: str) -> DataFrame:
+    return X.articles(spark, d).select("id", F.col("pubtime").cast("timestamp").alias("pubtime"), "medium_name", "content_id")
+
+
+@query(f"WITH {X.ART} SELECT DISTINCT content_id FROM art")
+def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
+    source, path = _stream(_articles(spark, d))
+    return streams.run_once(streams.deduplicated(source), path).select("content_id")
+
+
+@query(f"WITH {X.ART} SELECT strftime(pubtime, '%Y-%m-%d') AS day, medium_name, count(*) AS n FROM art GROUP BY ALL")
+def stream_daily_counts(spark: SparkSession, d: str) -> DataFrame:
+    source, path = _stream(_articles(spark, d))
+    return streams.run_once(streams.daily_counts(source), path, "complete").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "medium_name", "n")
+
+
+@query(f"WITH {X.REV}, lg AS (SELECT *, lag(content) OVER (PARTITION BY article_id ORDER BY ts, revid) AS prev FROM rev) SELECT article_id, revid FROM lg WHERE content IS DISTINCT FROM prev AND content <> coalesce(prev, '')")
+def stream_revision_diff(spark: SparkSession, d: str) -> DataFrame:
+    source, path = _stream(X.revisions(spark, d).select("article_id", "revid", "ts", "content"))
+    return streams.run_once(streams.incremental_diffs(source), path).select("article_id", "revid")
+
+
+@query(f"WITH {X.ART} SELECT id, medium_name, article_link, content_id FROM art")
+def scan_tsv(spark: SparkSession, d: str) -> DataFrame:
+    art = X.articles(spark, d)
+    folder = tsv.write_xz(art.select("id", F.date_format("pubtime", "yyyy-MM-dd HH:mm:ss").alias("pubtime"), F.lit("M").alias("medium_code"), "medium_name", "char_count", "head", "article_link", "content_id", "content"))
+    return tsv.read_xz(spark, folder).select(F.col("id").cast("bigint").alias("id"), "medium_name", "article_link", "content_id")
