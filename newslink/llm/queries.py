@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from newslink.llm import decontam, jaccard, langid, media, mixing, secrets, tokens, toxicity, urlfilter
+from newslink.llm import decontam, jaccard, langid, media, mixing, secrets, substrings, tokens, toxicity, urlfilter
 from newslink.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_dedup(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return urlfilter.judge(urlfilter.captures_of(pages), urlfilter.entries_of(pages))
@@ -46,5 +50,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_toxicity, op3_mixture, op4_decontaminate, op5_token_ids, op6_secrets, op7_language_id, op9_url_filter, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_toxicity, op3_mixture, op4_decontaminate, op5_token_ids, op6_secrets, op7_language_id, op8_substring_dedup, op9_url_filter, op10_jaccard_join)}
 ORACLES: dict[str, str] = {"op3_mixture": mixing.ORACLE, "op4_decontaminate": decontam.ORACLE, "op6_secrets": secrets.ORACLE, "op9_url_filter": urlfilter.ORACLE, "op10_jaccard_join": jaccard.ORACLE}
