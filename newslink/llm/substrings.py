@@ -153,7 +153,7 @@ _BLOB_DDL, _REPLY_DDL = "part bigint, batch bigint, buckets binary, contents bin
 
 def _blobs(batch: int, part: np.ndarray, buckets: np.ndarray, contents: np.ndarray) -> pa.Table:
     edges = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
-    stops = np.append(edges[1:], len(part))
+    stops = np.append(edges[1:], len(part))[: len(edges)]
     rows = [(int(part[a]), batch, buckets[a:b].tobytes(), contents[a:b].tobytes()) for a, b in zip(edges, stops, strict=True)]
     return pa.Table.from_pylist([dict(zip(_BLOB.names, r, strict=True)) for r in rows], schema=_BLOB)
 
