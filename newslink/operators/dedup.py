@@ -24,18 +24,19 @@ def by_head_and_link(art: DataFrame) -> DataFrame:
     return keep_first(art, ["head", "article_link"], [F.desc("id")])
 
 
-NEWEST = [F.desc_nulls_last("pubtime"), F.col("id")]
+def newest() -> list:
+    return [F.desc_nulls_last("pubtime"), F.col("id")]
 
 
 def by_url_segment(art: DataFrame, url: Column) -> DataFrame:
     """The newest of articles with the same last URL part; articles without one are all kept."""
     segment = F.coalesce(F.nullif(url_last_segment(url), F.lit("")), F.concat(F.lit("row:"), F.col("id").cast("string")))
-    return keep_first(art.withColumn("__segment", segment), ["__segment"], NEWEST).drop("__segment")
+    return keep_first(art.withColumn("__segment", segment), ["__segment"], newest()).drop("__segment")
 
 
 def by_version(art: DataFrame, url: Column) -> DataFrame:
     """The newest of each version family within site and head."""
-    return keep_first(art.withColumn("__version", version_key(url)), ["base_link", "head", "__version"], NEWEST).drop("__version")
+    return keep_first(art.withColumn("__version", version_key(url)), ["base_link", "head", "__version"], newest()).drop("__version")
 
 
 def by_content(art: DataFrame, group: list[str], threshold: float) -> DataFrame:
@@ -63,7 +64,7 @@ def by_reachability(art: DataFrame, group: list[str], threshold: float, rounds:
     valid = art.where(F.length(F.trim(F.coalesce("content", F.lit("")))) > 0).select("id", block.alias("block"), "pubtime", F.col("content").alias("text"))
     pairs = similar_pairs(valid.select("id", "block", "text"), threshold, strict=False)
     arcs = materialize(pairs.select("i", "j").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"))), "arcs")
-    first = F.row_number().over(W.partitionBy("block").orderBy(*NEWEST)) == 1
+    first = F.row_number().over(W.partitionBy("block").orderBy(*newest())) == 1
     state = materialize(valid.select("id", "block", "pubtime").withColumn("in", first).drop("pubtime"), "reach")
     reached = state.where("in").count()
     for _ in range(rounds):
@@ -85,7 +86,7 @@ def dedup_articles(art: DataFrame, threshold: float = 0.98) -> DataFrame:
     """
     x = by_head_and_link(by_content_id(art)).withColumn("__url", F.coalesce("article_link", F.concat(F.lit("head:/"), F.col("head")), F.lit("")))
     linked = by_url_segment(x.where("article_link is not null"), F.col("__url"))
-    loose = keep_first(x.where("article_link is null"), [F.coalesce("head", F.col("id").cast("string"))], NEWEST)
+    loose = keep_first(x.where("article_link is null"), [F.coalesce("head", F.col("id").cast("string"))], newest())
     versioned = by_version(linked.withColumn("base_link", base_link(F.col("__url"))), F.col("__url"))
     both = materialize(versioned.unionByName(loose.withColumn("base_link", F.lit(""))).withColumn("head_key", F.coalesce("head", F.lit(""))), "articles")
     return by_content(both, ["base_link", "head_key"], threshold).drop("__url", "base_link", "head_key")
