@@ -289,7 +289,9 @@ def read_documents(manifest: DataFrame, out_dir: str) -> DataFrame:
     # One row per shard: the running total is over as many rows as there are files.
     before = F.coalesce(F.sum("n_tokens").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     shards = manifest.select("shard", "name", before.cast("bigint").alias("base"))
-    return shards.repartition("shard").select("name", "base").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    # With a number given, Spark does not put the few small rows in one task: each stands for a whole file.
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return shards.repartition(tasks, "shard").select("name", "base").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def token_output(spark: SparkSession, docs: DataFrame, tokenizer_file: str) -> DataFrame:
