@@ -107,7 +107,7 @@ def vocab_topk(spark: SparkSession, d: str) -> DataFrame:
     return tfidf.top_terms(tfidf.term_frequency(_blocks(spark, d)), 5000).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query(f"{TF}, {W_CTE} SELECT block, id, term, round(w, 5) AS w FROM w")
+@query(f"{TF}, {W_CTE} SELECT block, id, term, round(w, 5) AS w FROM w", name="tfidf")
 def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
     return tfidf.tfidf(tfidf.term_frequency(_blocks(spark, d))).withColumn("w", F.round("w", 5))
 

@@ -43,6 +43,26 @@ def stream_revision_diff(spark: SparkSession, d: str) -> DataFrame:
     return streams.run_once(streams.incremental_diffs(source), path).select("article_id", "revid")
 
 
+GAP = "g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM revm WINDOW w AS (PARTITION BY article_id ORDER BY ts, revid)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY article_id ORDER BY ts, revid) AS run FROM g)"
+
+
+@query(f"WITH {X.REVM}, {GAP} SELECT article_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS edits FROM s GROUP BY article_id, run")
+def stream_edit_sessions(spark: SparkSession, d: str) -> DataFrame:
+    log = X.revision_log(spark, d).select("article_id", "revid", F.col("ts").cast("timestamp").alias("ts"))
+    source, path = _stream(log)
+    return streams.run_once(streams.edit_sessions(source), path, "complete").select("article_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "edits")
+
+
+@query("SELECT e.event_id, CASE WHEN event_type = 'view' THEN 'start' ELSE 'die' END AS action, 'c' || CAST(user_id AS VARCHAR) AS name FROM events e WHERE event_type IN ('view', 'error') AND event_id % 2 = 0 AND user_id IN (SELECT s_suppkey FROM supplier)")
+def stream_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.col("event_type")
+    action = F.when(kind == "view", "start").when(kind == "error", "die").otherwise("pause")
+    log = X.read(spark, d, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, "container").otherwise("network").alias("type"), action.alias("action"), F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("name"))
+    source, path = _stream(log)
+    pending = X.read(spark, d, "supplier").select(F.concat(F.lit("c"), F.col("s_suppkey").cast("string")).alias("name"))
+    return streams.run_once(streams.lifecycle(source, pending), path).select("event_id", "action", "name")
+
+
 @query(f"WITH {X.ART} SELECT id, medium_name, article_link, content_id FROM art")
 def scan_tsv(spark: SparkSession, d: str) -> DataFrame:
     art = X.articles(spark, d)

@@ -10,13 +10,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(oracle: str | None = None) -> Callable:
-    """Register a function (spark, sf_dir) under its name, with SQL that gives the same rows."""
+def query(oracle: str | None = None, name: str | None = None) -> Callable:
+    """Register a function (spark, sf_dir) under its name (or another), with SQL that gives the same rows."""
 
     def add(function: Callable) -> Callable:
-        QUERIES[function.__name__] = function
+        QUERIES[name or function.__name__] = function
         if oracle:
-            ORACLES[function.__name__] = oracle
+            ORACLES[name or function.__name__] = oracle
         return function
 
     return add
