@@ -18,8 +18,11 @@ def sample(members: DataFrame, size: int, seed: int) -> DataFrame:
     return members.withColumn("__k", F.row_number().over(W.partitionBy("leader").orderBy(order, "id"))).where(F.col("__k") <= size).drop("__k")
 
 
-def chunks(texts: DataFrame, key: str, words: int, limit: int) -> DataFrame:
-    """(key, chunk, words, text): sentences packed in order up to so many words; a longer sentence stands alone."""
+def chunks(texts: DataFrame, key: str, words: int, limit: int | None = None) -> DataFrame:
+    """(key, chunk, words, text): sentences packed in order up to so many words; a longer sentence stands alone.
+
+    All chunks of a text, or the first `limit` (5 for the summary step).
+    """
     start = F.array().cast("array<struct<words: bigint, text: string>>")
 
     def pack(done, s):
@@ -31,7 +34,8 @@ def chunks(texts: DataFrame, key: str, words: int, limit: int) -> DataFrame:
         return F.when(room, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(alone)))
 
     packed = F.aggregate(sentences(F.coalesce("text", F.lit(""))), start, pack)
-    return texts.select(key, F.posexplode(F.slice(packed, 1, limit)).alias("chunk", "c")).select(key, F.col("chunk").cast("bigint").alias("chunk"), "c.words", "c.text")
+    taken = packed if limit is None else F.slice(packed, 1, limit)
+    return texts.select(key, F.posexplode(taken).alias("chunk", "c")).select(key, F.col("chunk").cast("bigint").alias("chunk"), "c.words", "c.text")
 
 
 def summaries(clusters: DataFrame, members: DataFrame, size: int) -> DataFrame:
@@ -72,9 +76,11 @@ def relevant(titles: DataFrame, summaries: DataFrame) -> DataFrame:
     return joined.withColumn("some", some).where("fits or not some").select("cluster", "title")
 
 
-def gather(texts: DataFrame, key: str, size: int, limit: int) -> DataFrame:
-    """(key, n, joined): pieces of `size` characters numbered, at most `limit`, gathered again in order."""
-    count = F.least(F.ceil(F.length("text") / size).cast("int"), F.lit(limit))
-    pieces = texts.select(key, F.explode(F.sequence(F.lit(0), count - 1)).alias("k"), "text").select(key, "k", F.substring("text", F.col("k") * size + 1, F.lit(size)).alias("piece"))
+def gather(texts: DataFrame, key: str, size: int) -> DataFrame:
+    """(key, n, joined): all pieces of `size` characters numbered and gathered again in order; an empty text has none."""
+    count = F.ceil(F.length("text") / size).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.substring("text", k * size + 1, F.lit(size)))
+    none = F.array().cast("array<string>")
+    pieces = texts.where("text is not null").select(key, F.posexplode_outer(F.when(count > 0, cut).otherwise(none)).alias("k", "piece"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"])
-    return pieces.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.array_join(ordered, "").alias("joined"))
+    return pieces.groupBy(key).agg(F.count("piece").alias("n"), F.array_join(ordered, "").alias("joined"))

@@ -82,7 +82,7 @@ SENT = "list_filter(list_transform(regexp_extract_all({0}, '[^.!?]+[.!?]*'), lam
   UNION ALL SELECT l.doc_id, l.i, l.sentence, l.words, CASE WHEN p.filled + l.words > 100 THEN l.words ELSE p.filled + l.words END, CASE WHEN p.filled + l.words > 100 THEN p.chunk + 1 ELSE p.chunk END FROM p JOIN l ON l.doc_id = p.doc_id AND l.i = p.i + 1)
  SELECT doc_id, chunk, CAST(sum(words) AS BIGINT) AS words, string_agg(sentence, ' ' ORDER BY i) AS text FROM p WHERE chunk < 5 GROUP BY ALL""")
 def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return T.chunks(X.read(spark, d, "documents").select("doc_id", "text"), "doc_id", 100, 5)
+    return T.chunks(X.read(spark, d, "documents").select("doc_id", "text"), "doc_id", 1000)
 
 
 @query(f"""WITH {X.CLUSTERS}, {CL_M}, s AS (SELECT leader, id, unnest({SENT.format('content')}) AS sentence FROM m JOIN art USING (id)),
@@ -131,4 +131,4 @@ def titles_relevant(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE s AS (SELECT doc_id, text FROM documents) SELECT doc_id, CAST(least(5, ceil(length(text) / 1500)) AS BIGINT) AS n, left(text, 7500) AS joined FROM s""")
 def chunk_gather(spark: SparkSession, d: str) -> DataFrame:
-    return T.gather(X.read(spark, d, "documents").select("doc_id", "text"), "doc_id", 1500, 5)
+    return T.gather(X.read(spark, d, "documents").select("doc_id", "text"), "doc_id", 1500)
