@@ -1,5 +1,6 @@
 """Queries and operators do their whole job: every row and all of a text, against brute force in Python."""
 
+import json
 import re
 
 from newslink import registry
@@ -37,3 +38,9 @@ def test_gather_joins_every_piece(spark):
     texts = [(1, "äbc" * 4000), (2, ""), (3, "x" * 1500)]
     got = {r.doc_id: (r.n, r.joined) for r in titles.gather(spark.createDataFrame(texts, "doc_id bigint, text string"), "doc_id", 1500).collect()}
     assert got == {1: (8, "äbc" * 4000), 2: (0, ""), 3: (1, "x" * 1500)}
+
+
+def test_comments_are_skipped_in_all_events(spark):
+    want = {(e.event_id, json.loads(e.props)["k"]) for e in spark.read.parquet(f"{SF}/events.parquet").collect()}
+    got = [tuple(r) for r in registry.queries()["json_skip_comments"](spark, SF).collect()]
+    assert len(got) == len(want) and set(got) == want and any(i % 2 for i, _ in got)
