@@ -60,8 +60,13 @@ def user_color(user: Column) -> Column:
 
 
 def slug(title: Column) -> Column:
-    """A title as a key: umlauts spelled out, other signs as hyphens, lower case; unusable titles get a hash."""
-    x = F.coalesce(F.try_url_decode(title), title)
+    """A title as a key: URL-decoded, umlauts spelled out, other signs as hyphens, lower case; unusable titles get a hash.
+
+    Only % with two hexadecimal digits is decoded; other % and + are signs of the title.
+    """
+    title = F.coalesce(title, F.lit(""))
+    escaped = F.regexp_replace(F.regexp_replace(title, "%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B")
+    x = F.coalesce(F.try_url_decode(escaped), title)
     for a, b in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("Ä", "Ae"), ("Ö", "Oe"), ("Ü", "Ue"), ("ß", "ss")):
         x = F.replace(x, F.lit(a), F.lit(b))
     x = F.lower(F.trim(F.regexp_replace(x, r"[^a-zA-Z0-9_.-]", "-"), F.lit("-")))

@@ -235,8 +235,7 @@ for _a, _b in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("Ä", "Ae"), ("Ö", "O
 
 @query(f"WITH t AS (SELECT doc_id, left(text, 60) AS h FROM documents), s AS (SELECT doc_id, h, lower(trim(regexp_replace(replace({_UML}, chr(10), '-'), '[^a-zA-Z0-9_.-]', '-', 'g'), '-')) AS s FROM t WHERE h NOT LIKE '%\\%%' ESCAPE '\\' AND NOT contains(h, '+')) SELECT doc_id, CASE WHEN regexp_matches(s, '^[0-9]*$') THEN 'container-' || left(md5(h), 8) ELSE s END AS slug FROM s")
 def slug(spark: SparkSession, d: str) -> DataFrame:
-    h = F.left("text", F.lit(60))
-    return X.read(spark, d, "documents").where(~h.contains("%") & ~h.contains("+")).select("doc_id", S.slug(h).alias("slug"))
+    return X.articles(spark, d).select(F.col("id").alias("doc_id"), S.slug(F.col("head")).alias("slug"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")

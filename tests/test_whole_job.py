@@ -1,9 +1,14 @@
 """Queries and operators do their whole job: every row and all of a text, against brute force in Python."""
 
+import hashlib
 import json
 import re
+from urllib.parse import unquote
+
+from pyspark.sql import functions as F
 
 from newslink import registry
+from newslink.functions import scalars
 from newslink.operators import titles
 
 SF = "/root/testdata/sf0.001"
@@ -44,3 +49,20 @@ def test_comments_are_skipped_in_all_events(spark):
     want = {(e.event_id, json.loads(e.props)["k"]) for e in spark.read.parquet(f"{SF}/events.parquet").collect()}
     got = [tuple(r) for r in registry.queries()["json_skip_comments"](spark, SF).collect()]
     assert len(got) == len(want) and set(got) == want and any(i % 2 for i, _ in got)
+
+
+def slug_of(title):
+    x = unquote(title or "")
+    for a, b in zip("äöüÄÖÜß", ("ae", "oe", "ue", "Ae", "Oe", "Ue", "ss"), strict=True):
+        x = x.replace(a, b)
+    x = re.sub(r"[^a-zA-Z0-9_.-]", "-", x).strip("-").lower()
+    return "container-" + hashlib.md5((title or "").encode()).hexdigest()[:8] if re.fullmatch("[0-9]*", x) else x
+
+
+def test_slugs_of_all_whole_heads(spark):
+    heads = {d.doc_id: re.match(r"[^\n.!?]*", d.text)[0] for d in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = [tuple(r) for r in registry.queries()["slug"](spark, SF).collect()]
+    assert len(got) == len(heads) and dict(got) == {k: slug_of(h) for k, h in heads.items()}
+    titles = ["Z%C3%BCrich%20Stadt", "a%20b 100% c", "1+1", "%", "+", "%31%32", "", None, "x" * 90 + "%41", "50%zz%41"]
+    rows = spark.createDataFrame(list(enumerate(titles)), "k int, t string").select("k", scalars.slug(F.col("t")).alias("s")).collect()
+    assert [r.s for r in sorted(rows, key=lambda r: r.k)] == [slug_of(t) for t in titles]
