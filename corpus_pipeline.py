@@ -19,6 +19,8 @@ from newslink.llm.common import table, through_table
 
 #: A language is clear if its mean probability over the words is at least this much (an even share of four is 0.25).
 CLEAR = 0.3
+#: Near copies share at least this percentage of their shingles of so many words. op10_jaccard_join has its own values.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +28,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.drop_near_copies(docs)
+    return jaccard.drop_near_copies(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

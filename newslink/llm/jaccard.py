@@ -1,11 +1,13 @@
 """N-gram Jaccard join with set-relation skipping: exact links between texts whose shingle sets are alike.
 
-A document's set are its distinct shingles of SHINGLE words, as 64-bit hashes. Two sets link if their Jaccard
-similarity is at least PERCENT / 100; a document's component is the least doc_id that links reach.
+A document's set are its distinct shingles of so many words, as 64-bit hashes. Two sets link if their Jaccard
+similarity is at least a percentage; a document's component is the least doc_id that links reach. Shingle size and
+percentage are arguments; SHINGLE and PERCENT are those of op10_jaccard_join.
 
 1. Documents with equal sets form a class, which is one set from then on.
-2. Prefixes: the least 15 % of a set's hashes and another 5 %. Linked sets share at least 4 % of their size there, so
-   a set that shares fewer tokens with others has no links. Of those that remain, each set's most frequent tokens are
+2. Prefixes: the least hashes of a set, as many percent as similarity may lack (15 % at 85), and another 5 %. Linked
+   sets share at least 5 % of the smaller set there (4 % of their size at 85), so a set that shares fewer tokens with
+   others has no links. Of those that remain, each set's most frequent tokens are
    left away as far as at least one shared token is still sure.
 3. Pools: sets that share a token meet in the pool of the token's least set. Near copies share nearly all tokens, so a
    set is in few pools. Pools of over BLOCK sets are cut in blocks, and each pair of blocks is a pool of its own.
@@ -15,7 +17,7 @@ similarity is at least PERCENT / 100; a document's component is the least doc_id
    already are skipped. Only links that join two components leave the pool, so no pairs within groups are listed.
 5. Components of these links by star steps on tables.
 
-Words are stretches without white space after A-Z are lower-cased. A text of fewer words than SHINGLE is one shingle;
+Words are stretches without white space after A-Z are lower-cased. A text of fewer words than a shingle is one shingle;
 null texts and texts without words have an empty set and no links. Rows that repeat are in the same component. Rows
 with a null doc_id have the component of the others, null if there is none. An empty table gives no row.
 Two different sets would count as equal if their size and 64-bit hash were equal.
@@ -77,59 +79,58 @@ def _name(values: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _least(n):
+def _least(n, percent: int):
     """Shingles that a set of n must share with any set it links to."""
-    return -(-PERCENT * n // 100)
+    return -(-percent * n // 100)
 
 
-def _sure(n):
-    """Tokens that the prefixes of linked sets share at least, for a set of n and any partner."""
-    return 1 + PERCENT * n // 2000
-
-
-def _sets(docs: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n, name and the set's hashes as bytes."""
 
     def make(batches):
         for batch in slices(batches, "text", STEP_CHARS):
-            sets = shingle_sets([t or "" for t in batch.column("text").to_pylist()])
+            sets = shingle_sets([t or "" for t in batch.column("text").to_pylist()], size)
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()), "name": pa.array([_name(s) for s in sets], pa.int64()), "tokens": pa.array([s.tobytes() for s in sets], pa.binary())})
 
     return docs.mapInArrow(make, "doc_id bigint, n bigint, name bigint, tokens binary")
 
 
-def _names(docs: DataFrame) -> DataFrame:
+def _names(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n and name alone: the hashes don't leave the Python worker."""
 
     def make(batches):
         for batch in slices(batches, "text", STEP_CHARS):
-            sets = shingle_sets([t or "" for t in batch.column("text").to_pylist()])
+            sets = shingle_sets([t or "" for t in batch.column("text").to_pylist()], size)
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()), "name": pa.array([_name(s) for s in sets], pa.int64())})
 
     return docs.mapInArrow(make, "doc_id bigint, n bigint, name bigint")
 
 
-def _prefixes(docs: DataFrame) -> DataFrame:
+def _prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """token, name, n: the prefix of each set, once for equal sets that come together."""
 
     def make(batches):
         for batch in slices(batches, "text", STEP_CHARS):
-            sets = {_name(s): s for s in shingle_sets([t or "" for t in batch.column("text").to_pylist()]) if len(s)}
+            sets = {_name(s): s for s in shingle_sets([t or "" for t in batch.column("text").to_pylist()], size) if len(s)}
             if sets:
                 sizes = np.array([len(s) for s in sets.values()], np.int64)
-                length = np.minimum(sizes, sizes - _least(sizes) + 1 + sizes // 20)
+                length = np.minimum(sizes, sizes - _least(sizes, percent) + 1 + sizes // 20)
                 tokens = np.concatenate([s[:k] for s, k in zip(sets.values(), length, strict=True)])
                 yield pa.record_batch({"token": pa.array(tokens.view(np.int64)), "name": pa.array(np.repeat(np.fromiter(sets, np.int64, len(sets)), length)), "n": pa.array(np.repeat(sizes, length))})
 
     return docs.mapInArrow(make, "token bigint, name bigint, n bigint")
 
 
-def pools(docs: DataFrame) -> DataFrame:
-    """pool, first, second (blocks), name, n: which sets must be compared with each other."""
+def pools(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """pool, first, second (blocks), name, n: which sets must be compared with each other.
+
+    The prefixes of linked sets share 1 + m // 20 tokens at least, m being the smaller size; a partner of a set of n has
+    n * percent / 100 or more, so `sure` holds for any partner.
+    """
     by_token, by_set = W.partitionBy("token"), W.partitionBy("name", "n")
-    shared = _prefixes(docs).withColumns({"low": F.min("name").over(by_token), "high": F.max("name").over(by_token)}).where("low <> high")
+    shared = _prefixes(docs, size, percent).withColumns({"low": F.min("name").over(by_token), "high": F.max("name").over(by_token)}).where("low <> high")
     live = shared.select("token", "name", "n").distinct().withColumn("often", F.count(F.lit(1)).over(by_token))
-    sure: Column = F.lit(1) + F.floor(F.lit(PERCENT) * F.col("n") / 2000)
+    sure: Column = F.lit(1) + F.floor(F.lit(percent) * F.col("n") / 2000)
     ranked = live.withColumns({"own": F.count(F.lit(1)).over(by_set), "rank": F.row_number().over(by_set.orderBy("often", "token"))})
     rare = ranked.where((F.col("own") >= sure) & (F.col("rank") <= F.col("own") - sure + 1)).select("token", "name", "n")
     members = rare.withColumn("pool", F.min("name").over(by_token)).select("pool", "name", "n").distinct()
@@ -140,7 +141,7 @@ def pools(docs: DataFrame) -> DataFrame:
     return met.select("pool", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "name", "n")
 
 
-def pool_links(names: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def pool_links(names: list[int], sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links within a pool that join two components, as pairs of names."""
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), names[i]))
     sets, names = [sets[i] for i in order], [names[i] for i in order]
@@ -161,7 +162,7 @@ def pool_links(names: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]
     group = np.arange(len(sets))
     links: list[tuple[int, int]] = []
     last, base, base_low = -1, np.zeros(0, np.int64), 0
-    lows = np.searchsorted(sizes, _least(sizes))
+    lows = np.searchsorted(sizes, _least(sizes, percent))
     for i in range(1, len(sets)):
         low = int(lows[i])
         if low >= i or (group[low:i] == group[i]).all():
@@ -174,7 +175,7 @@ def pool_links(names: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]
             now = count(own[i], low)
         last, base = i, now
         both = now[low:i]
-        hits = low + np.flatnonzero(100 * both >= PERCENT * (sizes[i] + sizes[low:i] - both))
+        hits = low + np.flatnonzero(100 * both >= percent * (sizes[i] + sizes[low:i] - both))
         for j in hits.tolist():
             if group[i] != group[j]:
                 links.append((names[i], names[j]))
@@ -182,14 +183,14 @@ def pool_links(names: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]
     return links
 
 
-def _pool_edges(rows: DataFrame) -> DataFrame:
+def _pool_edges(rows: DataFrame, percent: int) -> DataFrame:
     """Links of all pools; rows of a pool come one after the other."""
 
     def link(batches: Iterator[pa.RecordBatch]):
         key, sets = None, {}
 
         def close():
-            found = pool_links(list(sets), list(sets.values())) if len(sets) > 1 else []
+            found = pool_links(list(sets), list(sets.values()), percent) if len(sets) > 1 else []
             return pa.record_batch({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
         for batch in batches:
@@ -208,17 +209,17 @@ def _pool_edges(rows: DataFrame) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "name", "tokens").mapInArrow(link, "a bigint, b bigint")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id; one row for each row of docs."""
     texts = pick(docs, doc_id="bigint", text="string")
-    names = through_table(_names(texts), "names")
+    names = through_table(_names(texts, size), "names")
     classes = names.where("n > 0").groupBy("name", "n").agg(F.min("doc_id").alias("class_id"))
-    met = through_table(pools(texts), "pools")
+    met = through_table(pools(texts, size, percent), "pools")
     wanted = met.select("name", "n").distinct().join(classes, ["name", "n"]).where("class_id is not null").select(F.col("class_id").alias("wanted_id"))
     few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     chosen = texts.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("wanted_id"), "left_semi")
-    sets = _sets(chosen).select("name", "n", "tokens")
-    edges = _pool_edges(met.join(sets, ["name", "n"]))
+    sets = _sets(chosen, size).select("name", "n", "tokens")
+    edges = _pool_edges(met.join(sets, ["name", "n"]), percent)
     ids = classes.groupBy("name").agg(F.min("class_id").alias("class_id"))
     ends = edges.join(ids.select(F.col("name").alias("a"), F.col("class_id").alias("x")), "a").join(ids.select(F.col("name").alias("b"), F.col("class_id").alias("y")), "b")
     linked = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")), store=through_table)
@@ -226,12 +227,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return owned.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "class_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
+def drop_near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, with all their columns, but only those of the least doc_id of each component.
 
     Rows with a null doc_id stay; so do all rows of a doc_id that stays.
     """
-    copies = through_table(jaccard_components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("__copy_id")).distinct(), "copies")
+    copies = through_table(jaccard_components(docs, size, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("__copy_id")).distinct(), "copies")
     few = copies.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(copies) if few else copies, docs["doc_id"].cast("bigint") == F.col("__copy_id"), "left_anti")
 
