@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from newslink.functions.scalars import base_link, url_last_segment, version_key
 from newslink.operators.graph import materialize
-from newslink.operators.tfidf import similar_pairs
+from newslink.operators.tfidf import content_weights, pairs_of
 
 
 def keep_first(df: DataFrame, keys: list, order: list) -> DataFrame:
@@ -46,7 +46,7 @@ def by_content(art: DataFrame, group: list[str], threshold: float) -> DataFrame:
     """
     valid = art.where(F.length(F.trim(F.coalesce("content", F.lit("")))) > 0)
     block = F.concat_ws("|", *group) if group else F.lit("all")
-    pairs = similar_pairs(valid.select("id", block.alias("block"), F.col("content").alias("text")), threshold, strict=False)
+    pairs = pairs_of(content_weights(valid.select("id", block.alias("block"), F.col("content").alias("text"))), threshold, strict=False)
     times = valid.select("id", "pubtime")
     dated = pairs.join(times.select(F.col("id").alias("i"), F.col("pubtime").alias("ti")), "i").join(times.select(F.col("id").alias("j"), F.col("pubtime").alias("tj")), "j")
     j_older = F.coalesce(F.col("ti") > F.col("tj"), F.col("ti").isNotNull() & F.col("tj").isNull()) | (F.col("ti").eqNullSafe(F.col("tj")) & (F.col("i") < F.col("j")))
@@ -62,7 +62,7 @@ def by_reachability(art: DataFrame, group: list[str], threshold: float, rounds:
     """
     block = F.concat_ws("|", *group) if group else F.lit("all")
     valid = art.where(F.length(F.trim(F.coalesce("content", F.lit("")))) > 0).select("id", block.alias("block"), "pubtime", F.col("content").alias("text"))
-    pairs = similar_pairs(valid.select("id", "block", "text"), threshold, strict=False)
+    pairs = pairs_of(content_weights(valid.select("id", "block", "text")), threshold, strict=False)
     arcs = materialize(pairs.select("i", "j").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"))), "arcs")
     first = F.row_number().over(W.partitionBy("block").orderBy(*newest())) == 1
     state = materialize(valid.select("id", "block", "pubtime").withColumn("in", first).drop("pubtime"), "reach")

@@ -2,8 +2,11 @@
 
 import hashlib
 import json
+import math
 import random
 import re
+from collections import Counter
+from datetime import datetime, timedelta
 from urllib.parse import unquote
 
 from pyspark.sql import functions as F
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from newslink import registry
 from newslink.functions import scalars
-from newslink.operators import titles
+from newslink.operators import dedup, titles
 
 SF = "/root/testdata/sf0.001"
 
@@ -102,3 +105,51 @@ def test_pipeline_drops_near_copies_by_five_words_from_80_percent(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     kept = {r.doc_id for r in corpus_pipeline.join_near_copies(spark, docs, SF).collect()}
     assert kept == {i for i, x in enumerate(label) if i == x}
+
+
+def content_sims(texts):
+    """Cosine similarities by sublinear tf over words and bigrams with bounds of df by the number of texts."""
+    n, bags = len(texts), []
+    for text in texts:
+        w = [x for x in re.sub(r"[0-9]+", " ", re.sub(r"[^\w]", " ", text.lower())).split() if x not in scalars.STOP_WORDS and len(x) > 1]
+        bags.append(Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])] * (n > 3)))
+    df = Counter(t for b in bags for t in b)
+    low, high = (min(2, max(1, int(n * 0.1))), min(0.95, (n - 1) / n) * n) if n > 3 else (1, n)
+    rows = [{t: (1 + math.log(k)) * (math.log((1 + n) / (1 + df[t])) + 1) for t, k in b.items() if low <= df[t] <= high} for b in bags]
+    norms = [math.sqrt(sum(x * x for x in r.values())) or 1 for r in rows]
+    return [[sum(x * b.get(t, 0) for t, x in a.items()) / p / q for b, q in zip(rows, norms)] for a, p in zip(rows, norms)]
+
+
+def brute_strict(times, texts, threshold):
+    sims, order = content_sims(texts), sorted(range(len(texts)), key=lambda i: (-times[i].timestamp(), i))
+    return {i for k, i in enumerate(order) if all(sims[i][j] < threshold for j in order[:k])}
+
+
+def brute_reached(times, texts, threshold):
+    sims = content_sims(texts)
+    reached = todo = {min(range(len(texts)), key=lambda i: (-times[i].timestamp(), i))}
+    while todo:
+        todo = {i for i in range(len(texts)) if i not in reached and any(sims[i][j] < threshold for j in reached)}
+        reached = reached | todo
+    return reached
+
+
+def test_content_is_compared_by_words_and_bigrams(spark):
+    rng = random.Random(3)
+    words = [f"wort{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(200)]
+    base = [[rng.choice(words) for _ in range(40)] for _ in range(4)]
+    shuffled = rng.sample(base[0], 40)
+    for size in (3, 5, 26):
+        texts = [" ".join(base[0]), " ".join(shuffled)]
+        for _ in range(size - 2):
+            copy = list(rng.choice(base))
+            copy[rng.randrange(40)] = rng.choice(words)
+            texts.append(" ".join(copy))
+        times = [datetime(2024, 1, 1) + timedelta(minutes=rng.randrange(9)) for _ in texts]
+        art = spark.createDataFrame([(i, t, x, "g") for i, (t, x) in enumerate(zip(times, texts))], "id bigint, pubtime timestamp_ntz, content string, g string")
+        for threshold in (0.5, 0.85):
+            assert {r.id for r in dedup.by_content(art, ["g"], threshold).collect()} == brute_strict(times, texts, threshold)
+            assert {r.id for r in dedup.by_reachability(art, ["g"], threshold).collect()} == brute_reached(times, texts, threshold)
+    times, texts = [datetime(2024, 1, 1, h) for h in range(5)], [" ".join(base[0]), " ".join(shuffled), *(" ".join(b) for b in base[1:])]
+    art = spark.createDataFrame([(i, t, x, "g") for i, (t, x) in enumerate(zip(times, texts))], "id bigint, pubtime timestamp_ntz, content string, g string")
+    assert dedup.by_content(art, ["g"], 0.85).count() == 5
