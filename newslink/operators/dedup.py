@@ -54,7 +54,7 @@ def by_content(art: DataFrame, group: list[str], threshold: float) -> DataFrame:
     return art.join(older, "id", "left_anti")
 
 
-def by_reachability(art: DataFrame, group: list[str], threshold: float, rounds: int = 20) -> DataFrame:
+def by_reachability(art: DataFrame, group: list[str], threshold: float) -> DataFrame:
     """The articles reached from the newest of a group along pairs that are less similar than the threshold.
 
     An article is left out if it is at least that similar to all reached ones. Starting from the newest alone, the
@@ -67,7 +67,7 @@ def by_reachability(art: DataFrame, group: list[str], threshold: float, rounds:
     first = F.row_number().over(W.partitionBy("block").orderBy(*newest())) == 1
     state = materialize(valid.select("id", "block", "pubtime").withColumn("in", first).drop("pubtime"), "reach")
     reached = state.where("in").count()
-    for _ in range(rounds):
+    while True:
         close = arcs.join(state.where("in").select(F.col("id").alias("j")), "j").groupBy("i").agg(F.count(F.lit(1)).alias("close"))
         sizes = state.where("in").groupBy("block").agg(F.count(F.lit(1)).alias("size"))
         step = state.join(sizes, "block").join(close, F.col("id") == F.col("i"), "left")

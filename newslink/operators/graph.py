@@ -26,7 +26,7 @@ def components(edges: DataFrame, max_rounds: int = 60, store: Callable[[DataFram
 
     Alternates large-star and small-star steps: every node is linked with the least neighbour seen so far, until
     all point to the least node of their component. The least neighbour comes from a partially aggregated minimum
-    and a join, so that a hub's neighbours need not meet in one task.
+    and a join, so that a hub's neighbours need not meet in one task. Raises if max_rounds are not enough.
     """
     links = store(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     before = None
@@ -42,5 +42,7 @@ def components(edges: DataFrame, max_rounds: int = 60, store: Callable[[DataFram
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components did not converge in {max_rounds} rounds")
     found = links.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
     return found.unionByName(found.select(F.col("component").alias("id"), "component").distinct())

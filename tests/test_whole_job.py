@@ -9,12 +9,13 @@ from collections import Counter
 from datetime import datetime, timedelta
 from urllib.parse import unquote
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from newslink import registry
 from newslink.functions import scalars
-from newslink.operators import dedup, titles
+from newslink.operators import dedup, graph, titles
 
 SF = "/root/testdata/sf0.001"
 
@@ -153,3 +154,16 @@ def test_content_is_compared_by_words_and_bigrams(spark):
     times, texts = [datetime(2024, 1, 1, h) for h in range(5)], [" ".join(base[0]), " ".join(shuffled), *(" ".join(b) for b in base[1:])]
     art = spark.createDataFrame([(i, t, x, "g") for i, (t, x) in enumerate(zip(times, texts))], "id bigint, pubtime timestamp_ntz, content string, g string")
     assert dedup.by_content(art, ["g"], 0.85).count() == 5
+
+
+def test_reachability_goes_on_until_nothing_is_added(spark, monkeypatch):
+    n = 24
+    pairs = spark.createDataFrame([(i, j) for j in range(n) for i in range(j - 1)], "i bigint, j bigint")
+    monkeypatch.setattr(dedup, "pairs_of", lambda *a, **k: pairs)
+    art = spark.createDataFrame([(i, datetime(2024, 1, 2) - timedelta(minutes=i), "text") for i in range(n)], "id bigint, pubtime timestamp_ntz, content string")
+    assert dedup.by_reachability(art, [], 0.85).count() == n
+
+
+def test_components_do_not_end_early(spark):
+    with pytest.raises(RuntimeError, match="converge"):
+        graph.components(spark.createDataFrame([(i, i + 1) for i in range(20)], "a bigint, b bigint"), max_rounds=2)
