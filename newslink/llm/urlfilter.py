@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Parts of a host and of a path that make keys.
+#: Parts of a path up to which the SQL makes keys; its list has entries for first parts only.
 MAX_PARTS = 8
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)"
@@ -31,8 +31,7 @@ def url_keys(url: Column) -> Column:
     none = F.array().cast("array<struct<rank:int,key:string>>")
     domains = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.struct((n - i + 1).cast("int").alias("rank"), F.array_join(F.slice(labels, i, n), ".").alias("key")))
     parts = F.filter(F.split(F.regexp_extract(F.coalesce(url, F.lit("")), PATH, 1), "/"), lambda p: p != "")
-    some = F.slice(parts, 1, MAX_PARTS)
-    paths = F.when(F.size(some) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(some), F.lit(1))), lambda i: F.struct((i + 1000).cast("int").alias("rank"), F.concat_ws("/", host, F.array_join(F.slice(some, 1, i), "/")).alias("key")))).otherwise(none)
+    paths = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: F.struct((i + 1000).cast("int").alias("rank"), F.concat_ws("/", host, F.array_join(F.slice(parts, 1, i), "/")).alias("key")))).otherwise(none)
     return F.when(host != "", F.concat(domains, paths)).otherwise(none)
 
 

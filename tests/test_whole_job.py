@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from newslink import registry
 from newslink.functions import scalars
+from newslink.llm import urlfilter
 from newslink.operators import dedup, graph, titles
 
 SF = "/root/testdata/sf0.001"
@@ -167,3 +168,10 @@ def test_reachability_goes_on_until_nothing_is_added(spark, monkeypatch):
 def test_components_do_not_end_early(spark):
     with pytest.raises(RuntimeError, match="converge"):
         graph.components(spark.createDataFrame([(i, i + 1) for i in range(20)], "a bigint, b bigint"), max_rounds=2)
+
+
+def test_url_lists_match_deep_paths(spark):
+    deep = "/".join(f"p{k}" for k in range(1, 13))
+    entries = spark.createDataFrame([("x.org/" + "/".join(deep.split("/")[:9]), 0, "block"), ("x.org/" + deep, 5, "allow")], "key string, at int, action string")
+    captures = spark.createDataFrame([(1, f"http://x.org/{deep}", 1), (2, f"http://x.org/{deep}", 6), (3, f"http://x.org/{deep}/q", 2), (4, "http://x.org/p1", 6)], "capture_id int, url string, fetched int")
+    assert [r.blocked for r in urlfilter.judge(captures, entries).orderBy("capture_id").collect()] == [True, False, True, False]
