@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newslink.functions.scalars import base_link, url_last_segment, version_key
-from newslink.operators.graph import materialize
 from newslink.operators.tfidf import content_weights, pairs_of
+from newslink.sources.storage import discard, materialize
 
 
 def keep_first(df: DataFrame, keys: list, order: list) -> DataFrame:
@@ -71,7 +71,8 @@ def by_reachability(art: DataFrame, group: list[str], threshold: float) -> DataF
         close = arcs.join(state.where("in").select(F.col("id").alias("j")), "j").groupBy("i").agg(F.count(F.lit(1)).alias("close"))
         sizes = state.where("in").groupBy("block").agg(F.count(F.lit(1)).alias("size"))
         step = state.join(sizes, "block").join(close, F.col("id") == F.col("i"), "left")
-        state = materialize(step.select("id", "block", (F.col("in") | (F.coalesce("close", F.lit(0)) < F.col("size"))).alias("in")), "reach")
+        old, state = state, materialize(step.select("id", "block", (F.col("in") | (F.coalesce("close", F.lit(0)) < F.col("size"))).alias("in")), "reach")
+        discard(old)
         now = state.where("in").count()
         if now == reached:
             break

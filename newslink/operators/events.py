@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from newslink.operators.graph import components, materialize
+from newslink.operators.graph import components
 from newslink.operators.tfidf import similar_pairs
+from newslink.sources.storage import materialize
 
 ENTITY = r"(\p{Lu}[\p{L}\p{N}]{2,})"
 

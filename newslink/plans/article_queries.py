@@ -27,6 +27,17 @@ def sims_cte(least: str) -> str:
     return f"sims AS (SELECT a.block, a.id AS i, b.id AS j, sum(a.w * b.w) AS sim FROM w a JOIN w b ON a.block = b.block AND a.term = b.term AND a.id < b.id GROUP BY ALL HAVING sum(a.w * b.w) {least})"
 
 
+def content_cte(source: str, block: str) -> str:
+    """Weights w of whole contents: sublinear tf of words and bigrams, with df bounded by the block's size n."""
+    words = f"list_filter(string_split_regex(regexp_replace(regexp_replace(lower(content), '[^\\p{{L}}\\p{{N}}_]', ' ', 'g'), '[0-9]+', ' ', 'g'), ' +'), lambda x: length(x) > 1 AND x NOT IN {STOPS})"
+    return f"""cs AS MATERIALIZED (SELECT block, id, n, {words} AS w FROM (SELECT {block} AS block, id, content, count(*) OVER (PARTITION BY {block}) AS n FROM {source} WHERE trim(content) <> '')),
+ tm AS (SELECT block, id, n, unnest(w) AS term FROM cs UNION ALL SELECT block, id, n, w[i] || ' ' || w[i + 1] FROM (SELECT *, unnest(generate_series(1, len(w) - 1)) AS i FROM cs WHERE n > 3 AND len(w) > 1)),
+ tf AS MATERIALIZED (SELECT block, id, n, term, count(*) AS tf FROM tm GROUP BY ALL), dfr AS (SELECT block, n, term, count(*) AS df FROM tf GROUP BY ALL),
+ voc AS (SELECT block, term, ln((1 + n) / (1 + df)) + 1 AS idf FROM dfr WHERE n <= 3 OR df BETWEEN least(2, greatest(1, n // 10)) AND least(0.95, (n - 1) / n) * n),
+ raw AS (SELECT block, id, term, (1 + ln(tf)) * idf AS r FROM tf JOIN voc USING (block, term)),
+ w AS MATERIALIZED (SELECT block, id, term, r / sqrt(sum(r * r) OVER (PARTITION BY block, id)) AS w FROM raw)"""
+
+
 SEG = "string_split(trim(regexp_replace(regexp_replace(article_link, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '[?#].*$', ''), '/'), '/')[-1]"
 NEW = "ORDER BY pubtime DESC NULLS LAST, id"
 KEY = "(SELECT array_to_string(p[:-2], '/') || '/' || regexp_replace(p[-1], '(-[0-9]+)+$', '') FROM (SELECT list_filter(string_split(trim({0}, '/'), '/'), lambda x: x <> 'preview') AS p))"
@@ -55,17 +66,17 @@ def dedup_versions(spark: SparkSession, d: str) -> DataFrame:
 NEWER = "(SELECT s.block, CASE WHEN a.pubtime > b.pubtime OR (a.pubtime = b.pubtime AND s.i < s.j) THEN s.j ELSE s.i END AS older FROM sims s JOIN art a ON a.id = s.i JOIN art b ON b.id = s.j)"
 
 
-@query(f"WITH {X.ART}, {tf_cte('art', 'medium_name', 'id', 'content')}, {W_CTE}, {sims_cte('>= 0.85')} SELECT id FROM art WHERE id NOT IN (SELECT older FROM {NEWER})")
+@query(f"WITH {X.ART}, {content_cte('art', 'medium_name')}, {sims_cte('>= 0.85')} SELECT id FROM art WHERE id NOT IN (SELECT older FROM {NEWER})")
 def content_dedup_strict(spark: SparkSession, d: str) -> DataFrame:
     return dedup.by_content(X.articles(spark, d), ["medium_name"], 0.85).select("id")
 
 
-@query(f"WITH {X.ART}, {tf_cte('art', 'CAST(pubtime AS DATE)', 'id', 'content')}, {W_CTE}, {sims_cte('>= 0.85')} SELECT id FROM art WHERE id NOT IN (SELECT older FROM {NEWER})")
+@query(f"WITH {X.ART}, {content_cte('art', 'CAST(pubtime AS DATE)')}, {sims_cte('>= 0.85')} SELECT id FROM art WHERE id NOT IN (SELECT older FROM {NEWER})")
 def content_dedup_per_day(spark: SparkSession, d: str) -> DataFrame:
     return dedup.by_content(X.articles(spark, d).withColumn("day", F.to_date("pubtime")), ["day"], 0.85).select("id")
 
 
-@query(f"""WITH RECURSIVE {X.ART}, {tf_cte('art', 'medium_name', 'id', 'content')}, {W_CTE}, {sims_cte('>= 0.85')},
+@query(f"""WITH RECURSIVE {X.ART}, {content_cte('art', 'medium_name')}, {sims_cte('>= 0.85')},
  near AS (SELECT i, j FROM sims UNION ALL SELECT j, i FROM sims),
  reach AS (SELECT medium_name, id FROM (SELECT medium_name, id, row_number() OVER (PARTITION BY medium_name {NEW}) AS k FROM art) WHERE k = 1
   UNION SELECT a.medium_name, a.id FROM reach r JOIN art a ON a.medium_name = r.medium_name AND a.id <> r.id WHERE NOT EXISTS (SELECT 1 FROM near WHERE near.i = r.id AND near.j = a.id))
@@ -80,7 +91,7 @@ def content_dedup_ref(spark: SparkSession, d: str) -> DataFrame:
  s3b AS (SELECT * FROM s2 WHERE article_link IS NULL QUALIFY row_number() OVER (PARTITION BY coalesce(head, CAST(id AS VARCHAR)) {NEW}) = 1),
  s4 AS (SELECT * FROM s3 QUALIFY row_number() OVER (PARTITION BY regexp_extract(article_link, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), head, {KEY.format('article_link')} {NEW}) = 1),
  al AS (SELECT *, regexp_extract(article_link, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) || '|' || head AS grp FROM s4 UNION ALL SELECT *, '|' || head FROM s3b),
- {tf_cte('al', 'grp', 'id', 'content')}, {W_CTE}, {sims_cte('>= 0.98')} SELECT id FROM al WHERE id NOT IN (SELECT older FROM {NEWER})""")
+ {content_cte('al', 'grp')}, {sims_cte('>= 0.98')} SELECT id FROM al WHERE id NOT IN (SELECT older FROM {NEWER})""")
 def dedup_articles(spark: SparkSession, d: str) -> DataFrame:
     return dedup.dedup_articles(X.articles(spark, d)).select("id")
 

@@ -79,8 +79,8 @@ SENT = "list_filter(list_transform(regexp_extract_all({0}, '[^.!?]+[.!?]*'), lam
 @query(f"""WITH RECURSIVE s AS (SELECT doc_id, {SENT.format('text')} AS s FROM documents), n AS (SELECT doc_id, s, unnest(generate_series(1, len(s))) AS i FROM s),
  l AS (SELECT doc_id, i, s[i] AS sentence, len(string_split(trim(regexp_replace(s[i], '[ \\t\\n\\r]+', ' ', 'g')), ' ')) AS words FROM n),
  p AS (SELECT doc_id, i, sentence, words, words AS filled, CAST(0 AS BIGINT) AS chunk FROM l WHERE i = 1
-  UNION ALL SELECT l.doc_id, l.i, l.sentence, l.words, CASE WHEN p.filled + l.words > 100 THEN l.words ELSE p.filled + l.words END, CASE WHEN p.filled + l.words > 100 THEN p.chunk + 1 ELSE p.chunk END FROM p JOIN l ON l.doc_id = p.doc_id AND l.i = p.i + 1)
- SELECT doc_id, chunk, CAST(sum(words) AS BIGINT) AS words, string_agg(sentence, ' ' ORDER BY i) AS text FROM p WHERE chunk < 5 GROUP BY ALL""")
+  UNION ALL SELECT l.doc_id, l.i, l.sentence, l.words, CASE WHEN p.filled + l.words > 1000 THEN l.words ELSE p.filled + l.words END, CASE WHEN p.filled + l.words > 1000 THEN p.chunk + 1 ELSE p.chunk END FROM p JOIN l ON l.doc_id = p.doc_id AND l.i = p.i + 1)
+ SELECT doc_id, chunk, CAST(sum(words) AS BIGINT) AS words, string_agg(sentence, ' ' ORDER BY i) AS text FROM p GROUP BY ALL""")
 def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
     return T.chunks(X.read(spark, d, "documents").select("doc_id", "text"), "doc_id", 1000)
 
@@ -129,6 +129,6 @@ def titles_relevant(spark: SparkSession, d: str) -> DataFrame:
     return T.relevant(asked, summaries)
 
 
-@query(f"""WITH RECURSIVE s AS (SELECT doc_id, text FROM documents) SELECT doc_id, CAST(least(5, ceil(length(text) / 1500)) AS BIGINT) AS n, left(text, 7500) AS joined FROM s""")
+@query(f"""WITH RECURSIVE s AS (SELECT doc_id, text FROM documents) SELECT doc_id, CAST(ceil(length(text) / 1500) AS BIGINT) AS n, text AS joined FROM s""")
 def chunk_gather(spark: SparkSession, d: str) -> DataFrame:
     return T.gather(X.read(spark, d, "documents").select("doc_id", "text"), "doc_id", 1500)

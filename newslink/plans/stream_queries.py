@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newslink.operators.graph import materialize
 from newslink.registry import query
 from newslink.sources import fixtures as X
 from newslink.sources import tsv
 from newslink.streaming import streams
+from newslink.sources.storage import materialize
 
 
 def _stream(table: DataFrame) -> tuple[DataFrame, str]:

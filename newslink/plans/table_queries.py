@@ -233,7 +233,7 @@ for _a, _b in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("Ä", "Ae"), ("Ö", "O
     _UML = f"replace({_UML}, '{_a}', '{_b}')"
 
 
-@query(f"WITH t AS (SELECT doc_id, left(text, 60) AS h FROM documents), s AS (SELECT doc_id, h, lower(trim(regexp_replace(replace({_UML}, chr(10), '-'), '[^a-zA-Z0-9_.-]', '-', 'g'), '-')) AS s FROM t WHERE h NOT LIKE '%\\%%' ESCAPE '\\' AND NOT contains(h, '+')) SELECT doc_id, CASE WHEN regexp_matches(s, '^[0-9]*$') THEN 'container-' || left(md5(h), 8) ELSE s END AS slug FROM s")
+@query(f"WITH {X.ART}, t AS (SELECT id AS doc_id, head, coalesce(TRY(url_decode(head)), head) AS h FROM art), s AS (SELECT doc_id, head, lower(trim(regexp_replace({_UML}, '[^a-zA-Z0-9_.-]', '-', 'g'), '-')) AS s FROM t) SELECT doc_id, CASE WHEN regexp_matches(s, '^[0-9]*$') THEN 'container-' || left(md5(head), 8) ELSE s END AS slug FROM s")
 def slug(spark: SparkSession, d: str) -> DataFrame:
     return X.articles(spark, d).select(F.col("id").alias("doc_id"), S.slug(F.col("head")).alias("slug"))
 
@@ -244,7 +244,7 @@ def json_from_text(spark: SparkSession, d: str) -> DataFrame:
     return X.read(spark, d, "events").select("event_id", S.json_from_text(text, "k BIGINT")["k"].alias("k"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 2 = 0")
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_skip_comments(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit("# reply\n# of a server\n"), "props", F.lit("\n"))
     return X.read(spark, d, "events").select("event_id", F.from_json(S.without_comments(text), "k BIGINT")["k"].alias("k"))

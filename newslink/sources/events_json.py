@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from newslink.sources.storage import materialize
 
-from newslink.operators.graph import materialize
 
 ARTICLE = "STRUCT<article_id: BIGINT, cluster_id: STRING, pubtime: STRING, medium_name: STRING, head: STRING, article_link: STRING>"
 CLUSTER = "STRUCT<cluster_id: STRING, wikipedia_article_names: ARRAY<STRING>, date: STRING, summary_text: STRING>"

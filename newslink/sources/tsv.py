@@ -7,14 +7,13 @@ import io
 import lzma
 import posixpath
 import sys
-import uuid
 from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from newslink.sources.storage import shared_dir
 
-from newslink.operators.graph import materialize
 
 COLUMNS = ("id", "pubtime", "medium_code", "medium_name", "char_count", "head", "article_link", "content_id", "content")
 
@@ -46,10 +45,7 @@ def read_xz(spark: SparkSession, folder: str) -> DataFrame:
 
 def write_xz(df: DataFrame) -> str:
     """Write one *.tsv.xz file for each partition in a new shared folder; returns the folder."""
-    anchor = materialize(df.limit(0), "tsv")
-    root = df.sparkSession.conf.get("spark.checkpoint.dir").rstrip("/")
-    del anchor
-    folder = f"{root}/tsv-files-{uuid.uuid4().hex}"
+    folder = shared_dir(df.sparkSession, "tsv")
     names = df.columns
 
     def write(batches):

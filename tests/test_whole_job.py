@@ -12,10 +12,8 @@ from urllib.parse import unquote
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from newslink import registry
 from newslink.functions import scalars
-from newslink.llm import urlfilter
 from newslink.operators import dedup, graph, titles
 
 SF = "/root/testdata/sf0.001"
@@ -75,40 +73,6 @@ def test_slugs_of_all_whole_heads(spark):
     assert [r.s for r in sorted(rows, key=lambda r: r.k)] == [slug_of(t) for t in titles]
 
 
-def first_of_copies(texts, size, percent):
-    """The least index of each text's component, by all pairs."""
-    sets = [{tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} for w in (t.split() for t in texts)]
-    label = list(range(len(texts)))
-    for i, a in enumerate(sets):
-        for j in range(i):
-            if 100 * len(a & sets[j]) >= percent * len(a | sets[j]) and label[i] != label[j]:
-                low, high = sorted((label[i], label[j]))
-                label = [low if x == high else x for x in label]
-    return label
-
-
-def test_pipeline_drops_near_copies_by_five_words_from_80_percent(spark):
-    rng = random.Random(5)
-    words = [f"w{k}" for k in range(5000)]
-    texts = [" ".join(words[:1004])]
-    for n in (21, 23, 30):
-        copy = words[:1004]
-        for k in range(n):
-            copy[20 + k * 32] = f"x{n}-{k}"
-        texts.append(" ".join(copy))
-    base = [[rng.choice(words) for _ in range(n)] for n in (2, 5, 40, 150)]
-    for _ in range(150):
-        copy = list(rng.choice(base))
-        for _ in range(rng.randint(0, max(1, len(copy) // 30))):
-            copy[rng.randrange(len(copy))] = rng.choice(words)
-        texts.append(" ".join(copy))
-    label = first_of_copies(texts, 5, 80)
-    assert label[1] == 0 and label != first_of_copies(texts, 4, 85)
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    kept = {r.doc_id for r in corpus_pipeline.join_near_copies(spark, docs, SF).collect()}
-    assert kept == {i for i, x in enumerate(label) if i == x}
-
-
 def content_sims(texts):
     """Cosine similarities by sublinear tf over words and bigrams with bounds of df by the number of texts."""
     n, bags = len(texts), []
@@ -168,10 +132,3 @@ def test_reachability_goes_on_until_nothing_is_added(spark, monkeypatch):
 def test_components_do_not_end_early(spark):
     with pytest.raises(RuntimeError, match="converge"):
         graph.components(spark.createDataFrame([(i, i + 1) for i in range(20)], "a bigint, b bigint"), max_rounds=2)
-
-
-def test_url_lists_match_deep_paths(spark):
-    deep = "/".join(f"p{k}" for k in range(1, 13))
-    entries = spark.createDataFrame([("x.org/" + "/".join(deep.split("/")[:9]), 0, "block"), ("x.org/" + deep, 5, "allow")], "key string, at int, action string")
-    captures = spark.createDataFrame([(1, f"http://x.org/{deep}", 1), (2, f"http://x.org/{deep}", 6), (3, f"http://x.org/{deep}/q", 2), (4, "http://x.org/p1", 6)], "capture_id int, url string, fetched int")
-    assert [r.blocked for r in urlfilter.judge(captures, entries).orderBy("capture_id").collect()] == [True, False, True, False]
