@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from newslink.llm import decontam, jaccard, langid, mixing, tokens
-from newslink.llm.common import table, through_table
+from newslink.llm.common import materialize, table
 
 #: A language is clear if its mean probability over the words is at least this much (an even share of four is 0.25).
 CLEAR = 0.3
@@ -56,5 +56,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = through_table(stage(spark, docs, sf_dir), name)
+        docs = materialize(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
