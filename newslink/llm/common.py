@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,6 +13,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newslink.sources.storage import discard, materialize, shared_dir
+
+__all__ = ["discard", "materialize", "shared_dir"]
+
 #: Text characters that one numpy step handles at most (a single longer text makes a step of its own).
 STEP_CHARS = 2_000_000
 
@@ -23,25 +26,6 @@ def pick(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*[F.col(name).cast(kind).alias(name) for name, kind in types.items()])
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder for intermediate tables below spark.checkpoint.dir, which all executors share.
-
-    Where the setting is absent (tests on one machine) a local folder is set first.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file:///tmp/newslink-checkpoints-{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def through_table(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

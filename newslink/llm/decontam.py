@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newslink.llm.common import pick, through_table
+from newslink.llm.common import pick, materialize
 
 WINDOW = 10
 #: Words of a shingle; windows of fewer words are searched by shingles of their own size.
@@ -76,7 +76,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
 
 def _matches(texts: DataFrame, windows: DataFrame, size: int) -> DataFrame:
     # Written once: it is used to learn its size and to join with, and its own plan reads all documents.
-    prefixes = through_table(prefix_shingles(texts, windows, size), "prefixes")
+    prefixes = materialize(prefix_shingles(texts, windows, size), "prefixes")
     # The checks are part of the join, so that no row with a whole document's words leaves it.
     start = F.col("pos") - F.col("at")
     fits = (start >= 0) & (start + F.col("n") <= F.size("w")) & (F.slice("w", start + 1, F.col("n")) == F.col("window"))
@@ -104,7 +104,7 @@ def digest(result: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, in which no window of the benchmark occurs."""
-    hits = through_table(occurrences(docs, benchmark).select(F.col("doc_id").alias("__hit_id"), F.col("text_key").alias("__hit_key")).distinct(), "hits")
+    hits = materialize(occurrences(docs, benchmark).select(F.col("doc_id").alias("__hit_id"), F.col("text_key").alias("__hit_key")).distinct(), "hits")
     return docs.join(_sized(hits), docs["doc_id"].cast("bigint").eqNullSafe(F.col("__hit_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__hit_key")), "left_anti")
 
 

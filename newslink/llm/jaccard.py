@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from newslink.llm.common import STEP_CHARS, SegmentHasher, mix, pick, slices, through_table
+from newslink.llm.common import STEP_CHARS, SegmentHasher, mix, pick, slices, materialize
 from newslink.operators.graph import components
 
 SHINGLE = 4
@@ -212,9 +212,9 @@ def _pool_edges(rows: DataFrame, percent: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id; one row for each row of docs."""
     texts = pick(docs, doc_id="bigint", text="string")
-    names = through_table(_names(texts, size), "names")
+    names = materialize(_names(texts, size), "names")
     classes = names.where("n > 0").groupBy("name", "n").agg(F.min("doc_id").alias("class_id"))
-    met = through_table(pools(texts, size, percent), "pools")
+    met = materialize(pools(texts, size, percent), "pools")
     wanted = met.select("name", "n").distinct().join(classes, ["name", "n"]).where("class_id is not null").select(F.col("class_id").alias("wanted_id"))
     few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     chosen = texts.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("wanted_id"), "left_semi")
@@ -222,7 +222,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     edges = _pool_edges(met.join(sets, ["name", "n"]), percent)
     ids = classes.groupBy("name").agg(F.min("class_id").alias("class_id"))
     ends = edges.join(ids.select(F.col("name").alias("a"), F.col("class_id").alias("x")), "a").join(ids.select(F.col("name").alias("b"), F.col("class_id").alias("y")), "b")
-    linked = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")), store=through_table)
+    linked = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
     owned = names.join(classes, ["name", "n"], "left").join(linked, F.col("class_id") == F.col("id"), "left")
     return owned.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "class_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -232,7 +232,7 @@ def drop_near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
 
     Rows with a null doc_id stay; so do all rows of a doc_id that stays.
     """
-    copies = through_table(jaccard_components(docs, size, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("__copy_id")).distinct(), "copies")
+    copies = materialize(jaccard_components(docs, size, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("__copy_id")).distinct(), "copies")
     few = copies.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(copies) if few else copies, docs["doc_id"].cast("bigint") == F.col("__copy_id"), "left_anti")
 

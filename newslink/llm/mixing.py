@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from newslink.llm.common import pick, through_table
+from newslink.llm.common import pick, materialize
 
 LEVELS = ("domain", "lang", "source")
 #: Documents that a hash range of a leaf holds on average.
@@ -102,10 +102,10 @@ def mix(docs: DataFrame, percent: int = PERCENT, weights: dict[str, dict[str, in
 
     The total budget is `percent` of all tokens of docs.
     """
-    rows = through_table(prepare(docs), "mixture")
-    leaves = through_table(rows.groupBy(*LEVELS).agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens")), "leaves")
+    rows = materialize(prepare(docs), "mixture")
+    leaves = materialize(rows.groupBy(*LEVELS).agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens")), "leaves")
     total = (leaves.agg(F.sum("tokens")).first()[0] or 0) * percent // 100
-    plan = through_table(budgets(leaves, total, weights, epochs).where("budget > 0").select(*LEVELS, F.expr("budget div tokens").alias("full"), F.expr("budget % tokens").alias("part"), F.expr(f"docs div {RANGE_ROWS} + 1").alias("ranges")), "budgets")
+    plan = materialize(budgets(leaves, total, weights, epochs).where("budget > 0").select(*LEVELS, F.expr("budget div tokens").alias("full"), F.expr("budget % tokens").alias("part"), F.expr(f"docs div {RANGE_ROWS} + 1").alias("ranges")), "budgets")
     key = F.md5(F.concat_ws("|", F.lit(seed), F.col("full"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     # The first seven hex digits of the key, in order, dealt into the leaf's ranges.
     bucket = F.expr("cast(conv(substring(key, 1, 7), 16, 10) as bigint) * ranges div 268435456")

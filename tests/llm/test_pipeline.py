@@ -7,7 +7,7 @@ def test_stages_and_rows(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, "/root/testdata/sf0.001")
         assert out.columns == docs.columns
-        docs = corpus_pipeline.through_table(out, "stage")
+        docs = corpus_pipeline.materialize(out, "stage")
         assert docs.count() > 20
     rows = corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").orderBy("start").collect()
     assert len(rows) == docs.count() and rows[0].start == 0
