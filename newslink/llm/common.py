@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newslink.sources.storage import discard, materialize, shared_dir
@@ -18,7 +19,7 @@ from newslink.sources.storage import discard, materialize, shared_dir
 __all__ = ["discard", "materialize", "shared_dir"]
 
 #: Text characters that one numpy step handles at most (a single longer text makes a step of its own).
-STEP_CHARS = 2_000_000
+STEP_CHARS = 500_000
 
 
 def pick(df: DataFrame, **types: str) -> DataFrame:
@@ -30,6 +31,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def raw_texts(column: pa.Array) -> list[bytes]:
+    """The bytes of each text as they are stored, whether or not they are UTF-8; null is empty."""
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def texts_of(column: pa.Array) -> list[str]:
+    """The texts; null is empty, and what is no UTF-8 becomes replacement characters."""
+    return [x.decode("utf-8", "replace") for x in raw_texts(column)]
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose `column` holds about `limit` bytes at most; a longer row comes alone."""
     for batch in batches:
@@ -131,3 +142,22 @@ def word_runs(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def held_out(doc_id) -> object:
     """Whether a document is kept from learning: crc32 of its doc_id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def sample_texts(docs: DataFrame, labelled: DataFrame, max_rows: int, max_bytes: int) -> list:
+    """Rows (doc_id, label, text) to fit a model on: at most max_rows documents of each label, by a hash of doc_id.
+
+    A label's texts have max_bytes together at most. Null and empty texts and repeated rows are left out. The order is
+    that of another hash, so that labels are mixed.
+    """
+    known = labelled.where("doc_id is not null")
+    sizes = known.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    # Of a label's documents, those with the least hashes alone are ranked: some four times as many as are taken.
+    share = F.lit(4.0 * max_rows) / F.col("size")
+    near = known.join(F.broadcast(sizes), "label").where(F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53)) < share)
+    ranked = near.select("doc_id", "label").distinct().withColumn("place", F.row_number().over(W.partitionBy("label").orderBy(F.shiftrightunsigned(F.xxhash64("doc_id"), 11), "doc_id")))
+    chosen = ranked.where(F.col("place") <= max_rows).select(F.col("doc_id").alias("chosen_id"), "label", "place")
+    texts = pick(docs, doc_id="bigint", text="string").where("length(text) > 0").join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id"))
+    summed = F.sum(F.octet_length("text")).over(W.partitionBy("label").orderBy("place", "doc_id", "text"))
+    rows = texts.select("doc_id", "label", "place", "text").distinct().withColumn("summed", summed).where(F.col("summed") <= max_bytes)
+    return sorted(rows.select("doc_id", "label", F.make_valid_utf8("text").alias("text")).collect(), key=lambda r: (r.doc_id * 2654435761 % 4294967291, r.text))

@@ -65,9 +65,14 @@ def prefix_shingles(texts: DataFrame, windows: DataFrame, size: int) -> DataFram
     return best.select(F.col("first.shingle").alias("prefix"), F.col("first.pos").alias("at"), F.size("w").alias("n"), F.col("w").alias("window"), "items")
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text_key, start, size (in words), items: every occurrence of a window in a document."""
+def cut_words(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, w (the words of the text), n_words: written once, as every pass over the documents reads it."""
     texts = pick(docs, doc_id="bigint", text="string").select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("w"))
+    return materialize(texts.withColumn("n_words", F.size("w").cast("bigint")), "words")
+
+
+def occurrences(texts: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, text_key, start, size (in words), items: every occurrence of a window in the words of cut_words."""
     windows = item_windows(benchmark, window)
     sizes = [r.n for r in windows.select(F.least(F.size("words"), F.lit(SHINGLE)).alias("n")).distinct().collect()]
     found = [_matches(texts, windows.where(F.least(F.size("words"), F.lit(SHINGLE)) == n), n) for n in sorted(sizes) or [SHINGLE]]
@@ -77,23 +82,33 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
 def _matches(texts: DataFrame, windows: DataFrame, size: int) -> DataFrame:
     # Written once: it is used to learn its size and to join with, and its own plan reads all documents.
     prefixes = materialize(prefix_shingles(texts, windows, size), "prefixes")
-    # The checks are part of the join, so that no row with a whole document's words leaves it.
     start = F.col("pos") - F.col("at")
-    fits = (start >= 0) & (start + F.col("n") <= F.size("w")) & (F.slice("w", start + 1, F.col("n")) == F.col("window"))
-    joined = _shingles(texts, size).join(_sized(prefixes), (F.col("shingle") == F.col("prefix")) & fits)
-    return joined.select("doc_id", "text_key", start.alias("start"), F.col("n").alias("size"), "items")
+    inside = (F.col("shingle") == F.col("prefix")) & (start >= 0) & (start + F.col("n") <= F.col("n_words"))
+    if prefixes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        # The checks are part of the join, so that no row with a whole document's words leaves it.
+        fits = inside & (F.slice("w", start + 1, F.col("n")) == F.col("window"))
+        joined = _shingles(texts.select("doc_id", "text_key", "w", "n_words"), size).join(F.broadcast(prefixes), fits)
+        return joined.select("doc_id", "text_key", start.alias("start"), F.col("n").alias("size"), "items")
+    # Both sides are shuffled: places travel without their document's words, which only documents with candidates join again.
+    places = _shingles(texts, size).select("doc_id", "text_key", "n_words", "pos", "shingle")
+    place = F.struct(start.alias("start"), "n", "window", "items")
+    met = places.join(prefixes, inside).groupBy("doc_id", "text_key").agg(F.collect_set(place).alias("places"))
+    met = met.select(F.col("doc_id").alias("met_id"), F.col("text_key").alias("met_key"), "places")
+    both = texts.join(met, F.col("doc_id").eqNullSafe(F.col("met_id")) & (F.col("text_key") == F.col("met_key")))
+    exact = F.filter("places", lambda p: F.slice("w", p["start"] + 1, p["n"]) == p["window"])
+    return both.select("doc_id", "text_key", F.explode(exact).alias("p")).select("doc_id", "text_key", "p.start", F.col("p.n").alias("size"), "p.items")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, text_key, n_words, n_hit, items (sorted ids as text), contaminated; one row for each row of docs."""
+    texts = cut_words(docs)
     per_doc = (
-        occurrences(docs, benchmark, window)
+        occurrences(texts, benchmark, window)
         .groupBy("doc_id", "text_key")
         .agg(F.collect_set(F.struct("start", "size")).alias("places"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
         .select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"), "items", F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p["start"], p["start"] + p["size"] - 1))))).alias("n_hit"))
     )
-    texts = pick(docs, doc_id="bigint", text="string").select("doc_id", F.xxhash64("text").alias("text_key"), F.size(words_of(F.col("text"))).cast("bigint").alias("n_words"))
-    joined = texts.join(per_doc, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key")), "left")
+    joined = texts.select("doc_id", "text_key", "n_words").join(per_doc, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("bigint")
     return joined.select("doc_id", "text_key", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (n_hit > 0).alias("contaminated"))
 
@@ -103,8 +118,11 @@ def digest(result: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, in which no window of the benchmark occurs."""
-    hits = materialize(occurrences(docs, benchmark).select(F.col("doc_id").alias("__hit_id"), F.col("text_key").alias("__hit_key")).distinct(), "hits")
+    """The rows of docs, with all their columns, in which no window of the benchmark occurs.
+
+    Null and empty texts stay; repeated rows stay or go together; columns of any name may be among them.
+    """
+    hits = materialize(occurrences(cut_words(docs), benchmark).select(F.col("doc_id").alias("__hit_id"), F.col("text_key").alias("__hit_key")).distinct(), "hits")
     return docs.join(_sized(hits), docs["doc_id"].cast("bigint").eqNullSafe(F.col("__hit_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__hit_key")), "left_anti")
 
 

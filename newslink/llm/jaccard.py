@@ -10,17 +10,23 @@ percentage are arguments; SHINGLE and PERCENT are those of op10_jaccard_join.
    others has no links. Of those that remain, each set's most frequent tokens are
    left away as far as at least one shared token is still sure.
 3. Pools: sets that share a token meet in the pool of the token's least set. Near copies share nearly all tokens, so a
-   set is in few pools. Pools of over BLOCK sets are cut in blocks, and each pair of blocks is a pool of its own.
-4. In a pool, index lists hold the sets of each shingle in order of size. A set's overlaps with all others are counted
-   from the lists, which are skipped to the positions of sets whose size can fit; or they are derived from the counts
-   of a similar set before it by the lists of those shingles alone in which the two differ. Sets that are linked
-   already are skipped. Only links that join two components leave the pool, so no pairs within groups are listed.
-5. Components of these links by star steps on tables.
+   set is in few pools. A token's least set and frequency are partially aggregated and joined back, so that the sets of
+   a frequent token need not meet in one task.
+4. Large pools are first compared with one set each, the pivot: sets linked with it are in one component and need no
+   comparison with each other. That goes on with the next pivot for as long as it halves what is left. Only sets outside
+   of their pool's component are then compared with all blocks of the pool.
+5. In a pool or a pair of blocks, index lists hold the sets of each shingle in order of size, with a pointer for each
+   block of postings. A set's overlaps are counted from the lists, whose blocks are skipped up to the first set whose
+   size can fit; or they are derived from the counts of a similar set before it by the lists of those shingles alone in
+   which the two differ. Sets that are linked already are skipped. Only links that join two components leave the pool, so
+   no pairs within groups are listed.
+6. Components of these links by star steps on tables.
 
 Words are stretches without white space after A-Z are lower-cased. A text of fewer words than a shingle is one shingle;
 null texts and texts without words have an empty set and no links. Rows that repeat are in the same component. Rows
-with a null doc_id have the component of the others, null if there is none. An empty table gives no row.
-Two different sets would count as equal if their size and 64-bit hash were equal.
+with a null doc_id have the component of the others, null if there is none. An empty table gives no row. Very long texts
+make blocks of fewer sets; bytes that are no UTF-8 are parts of words. Columns beside doc_id and text are not looked at.
+Shingles are compared by 64-bit hashes, whole sets by their size and 128 bits.
 """
 
 from __future__ import annotations
@@ -34,12 +40,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from newslink.llm.common import STEP_CHARS, SegmentHasher, mix, pick, slices, materialize
+from newslink.llm.common import STEP_CHARS, SegmentHasher, materialize, mix, pick, raw_texts, slices
 from newslink.operators.graph import components
 
 SHINGLE = 4
 PERCENT = 85
-BLOCK = 1024
+#: Sets and shingles that a block of a pool has on average at most.
+BLOCK, BLOCK_TOKENS = 1024, 500_000
+#: Postings between two pointers into the index lists.
+SKIP = 64
 #: Documents up to which their ids are broadcast to choose them; beyond, both sides are shuffled.
 BROADCAST_IDS = 500_000
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -49,9 +58,9 @@ _GAP[[32, 9, 10, 11, 12, 13]] = True
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_sets(texts: list[str], size: int = SHINGLE) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    raw = [t.encode("utf-8", "surrogatepass") + b"\n" for t in texts]
+    raw = [t + b"\n" for t in texts]
     data = _FOLD[np.frombuffer(b"".join(raw), np.uint8)]
     step = np.diff(np.concatenate(([0], (~_GAP[data]).astype(np.int8), [0])))
     starts, stops = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
@@ -75,8 +84,9 @@ def shingle_sets(texts: list[str], size: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def _name(values: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _name(values: np.ndarray) -> tuple[int, int]:
+    digest = hashlib.blake2b(values.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def _least(n, percent: int):
@@ -84,82 +94,86 @@ def _least(n, percent: int):
     return -(-percent * n // 100)
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, name and the set's hashes as bytes."""
-
-    def make(batches):
-        for batch in slices(batches, "text", STEP_CHARS):
-            sets = shingle_sets([t or "" for t in batch.column("text").to_pylist()], size)
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()), "name": pa.array([_name(s) for s in sets], pa.int64()), "tokens": pa.array([s.tobytes() for s in sets], pa.binary())})
-
-    return docs.mapInArrow(make, "doc_id bigint, n bigint, name bigint, tokens binary")
+def _named(batch: pa.RecordBatch, size: int) -> tuple[list[np.ndarray], dict]:
+    """The sets of a batch, and the columns that name them."""
+    sets = shingle_sets(raw_texts(batch.column("text")), size)
+    names = [_name(s) for s in sets]
+    columns = {"doc_id": batch.column("doc_id"), "n": [len(s) for s in sets], "name": [x for x, _ in names], "check": [y for _, y in names]}
+    return sets, {k: v if k == "doc_id" else pa.array(v, pa.int64()) for k, v in columns.items()}
 
 
-def _names(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n and name alone: the hashes don't leave the Python worker."""
+def _sets(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, n, name and check (128 bits together) and the set's hashes as bytes."""
 
     def make(batches):
         for batch in slices(batches, "text", STEP_CHARS):
-            sets = shingle_sets([t or "" for t in batch.column("text").to_pylist()], size)
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()), "name": pa.array([_name(s) for s in sets], pa.int64())})
+            sets, columns = _named(batch, size)
+            yield pa.record_batch(columns | {"tokens": pa.array([s.tobytes() for s in sets], pa.binary())})
 
-    return docs.mapInArrow(make, "doc_id bigint, n bigint, name bigint")
+    return docs.mapInArrow(make, "doc_id bigint, n bigint, name bigint, check bigint, tokens binary")
 
 
 def _prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """token, name, n: the prefix of each set, once for equal sets that come together."""
+    """doc_id, n, name, check, and each set's prefix, once for equal sets that come together (else null)."""
 
     def make(batches):
         for batch in slices(batches, "text", STEP_CHARS):
-            sets = {_name(s): s for s in shingle_sets([t or "" for t in batch.column("text").to_pylist()], size) if len(s)}
-            if sets:
-                sizes = np.array([len(s) for s in sets.values()], np.int64)
-                length = np.minimum(sizes, sizes - _least(sizes, percent) + 1 + sizes // 20)
-                tokens = np.concatenate([s[:k] for s, k in zip(sets.values(), length, strict=True)])
-                yield pa.record_batch({"token": pa.array(tokens.view(np.int64)), "name": pa.array(np.repeat(np.fromiter(sets, np.int64, len(sets)), length)), "n": pa.array(np.repeat(sizes, length))})
+            sets, columns = _named(batch, size)
+            seen, lengths = set(), np.full(len(sets), -1)
+            for i, s in enumerate(sets):
+                key = columns["name"][i].as_py()
+                if len(s) and key not in seen:
+                    seen.add(key)
+                    lengths[i] = min(len(s), len(s) - _least(len(s), percent) + 1 + len(s) // 20)
+            offsets = pa.array(np.append(0, np.cumsum(np.maximum(lengths, 0))), pa.int32(), mask=np.append(lengths < 0, False))
+            flat = np.concatenate([s[: max(0, k)] for s, k in zip(sets, lengths, strict=True)])
+            yield pa.record_batch(columns | {"prefix": pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64)))})
 
-    return docs.mapInArrow(make, "token bigint, name bigint, n bigint")
+    return docs.mapInArrow(make, "doc_id bigint, n bigint, name bigint, check bigint, prefix array<bigint>")
 
 
-def pools(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """pool, first, second (blocks), name, n: which sets must be compared with each other.
+def pools(prefixes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """pool, name, n: which sets must be compared with each other.
 
     The prefixes of linked sets share 1 + m // 20 tokens at least, m being the smaller size; a partner of a set of n has
     n * percent / 100 or more, so `sure` holds for any partner.
     """
-    by_token, by_set = W.partitionBy("token"), W.partitionBy("name", "n")
-    shared = _prefixes(docs, size, percent).withColumns({"low": F.min("name").over(by_token), "high": F.max("name").over(by_token)}).where("low <> high")
-    live = shared.select("token", "name", "n").distinct().withColumn("often", F.count(F.lit(1)).over(by_token))
+    rows = prefixes.select("name", "n", F.explode("prefix").alias("token"))
+    shared = rows.groupBy("token").agg(F.min("name").alias("pool"), F.max("name").alias("high"), F.count(F.lit(1)).alias("often")).where("pool <> high").drop("high")
+    # Under another name and value, the token's rows can be split among tasks: nothing after the join asks for them together.
+    live = rows.join(shared, "token").select("pool", "often", F.bitwise_not("token").alias("other"), "name", "n").distinct()
+    by_set = W.partitionBy("name", "n")
     sure: Column = F.lit(1) + F.floor(F.lit(percent) * F.col("n") / 2000)
-    ranked = live.withColumns({"own": F.count(F.lit(1)).over(by_set), "rank": F.row_number().over(by_set.orderBy("often", "token"))})
-    rare = ranked.where((F.col("own") >= sure) & (F.col("rank") <= F.col("own") - sure + 1)).select("token", "name", "n")
-    members = rare.withColumn("pool", F.min("name").over(by_token)).select("pool", "name", "n").distinct()
-    sizes = members.groupBy("pool").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("name"), blocks).cast("int")
-    met = members.join(sizes, "pool").select("pool", "name", "n", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    return met.select("pool", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "name", "n")
-
-
-def pool_links(names: list[int], sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links within a pool that join two components, as pairs of names."""
+    ranked = live.withColumns({"own": F.count(F.lit(1)).over(by_set), "rank": F.row_number().over(by_set.orderBy("often", "other"))})
+    return ranked.where((F.col("own") >= sure) & (F.col("rank") <= F.col("own") - sure + 1)).select("pool", "name", "n").distinct()
+
+
+def pool_links(names: list[int], sets: list[np.ndarray], percent: int = PERCENT, groups: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links within a pool that join two components, as pairs of names; groups are the components known before."""
+    groups = groups or list(range(len(sets)))
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), names[i]))
     sets, names = [sets[i] for i in order], [names[i] for i in order]
+    group = np.unique([groups[i] for i in order], return_inverse=True)[1]
     sizes = np.array([len(s) for s in sets], np.int64)
     _, token = np.unique(np.concatenate(sets), return_inverse=True)
     bounds = np.append(0, np.cumsum(sizes))
     own = [token[bounds[i] : bounds[i + 1]] for i in range(len(sets))]
-    lists = np.repeat(np.arange(len(sets)), sizes)[np.argsort(token, kind="stable")]
+    # Postings in order of token, then of set; every SKIP-th one is a pointer to its block.
+    postings = np.sort(token * len(sets) + np.repeat(np.arange(len(sets)), sizes))
+    pointers = postings[::SKIP]
+    lists = postings % len(sets)
     at = np.append(0, np.cumsum(np.bincount(token)))
 
     def count(tokens: np.ndarray, low: int) -> np.ndarray:
-        """How many of the tokens each set has; list positions below `low` are skipped where that saves work."""
-        begin, lengths = at[tokens], at[tokens + 1] - at[tokens]
+        """How many of the tokens each set from `low` on has; blocks of postings before it are skipped."""
+        begin, end = at[tokens], at[tokens + 1]
+        if low:
+            block = np.searchsorted(pointers, tokens * len(sets) + low, side="right") - 1
+            begin = np.minimum(np.maximum(begin, block * SKIP), end)
+        lengths = end - begin
         where = np.repeat(begin - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
-        found = lists[where]
-        return np.bincount(found[found >= low] if low else found, minlength=len(sets))
+        return np.bincount(lists[where], minlength=len(sets))
 
-    group = np.arange(len(sets))
     links: list[tuple[int, int]] = []
     last, base, base_low = -1, np.zeros(0, np.int64), 0
     lows = np.searchsorted(sizes, _least(sizes, percent))
@@ -183,54 +197,128 @@ def pool_links(names: list[int], sets: list[np.ndarray], percent: int = PERCENT)
     return links
 
 
-def _pool_edges(rows: DataFrame, percent: int) -> DataFrame:
-    """Links of all pools; rows of a pool come one after the other."""
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_KEYS = ["pool", "first", "second"]
 
-    def link(batches: Iterator[pa.RecordBatch]):
-        key, sets = None, {}
 
-        def close():
-            found = pool_links(list(sets), list(sets.values()), percent) if len(sets) > 1 else []
-            return pa.record_batch({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(x, pa.int64()) for x in (zip(*found, strict=True) if found else ([], []))], schema=_PAIRS)
 
+
+def _pool_edges(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b: class ids) of all pools and pairs of blocks; rows of one come one after the other."""
+
+    def link(batches: Iterator[pa.RecordBatch]):
+        key, sets, groups = None, {}, {}
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("pool", "first", "second")), strict=True))
-            names, tokens = batch.column("name").to_pylist(), batch.column("tokens")
-            for i, k in enumerate(keys):
+            columns = [batch.column(c).to_pylist() for c in (*_KEYS, "class_id", "component", "tokens")]
+            for *k, ident, component, tokens in zip(*columns, strict=True):
                 if k != key:
                     if len(sets) > 1:
-                        yield close()
-                    key, sets = k, {}
-                sets[names[i]] = np.frombuffer(tokens[i].as_py(), np.uint64)
+                        yield _pairs(pool_links([i for i, _ in sets], list(sets.values()), percent, list(groups.values())))
+                    key, sets, groups = k, {}, {}
+                sets[ident, tokens], groups[ident, tokens] = np.frombuffer(tokens, np.uint64), component
         if len(sets) > 1:
-            yield close()
+            yield _pairs(pool_links([i for i, _ in sets], list(sets.values()), percent, list(groups.values())))
+
+    return rows.repartition(*_KEYS).sortWithinPartitions(*_KEYS).select(*_KEYS, "class_id", "component", "tokens").mapInArrow(link, "a bigint, b bigint")
 
-    keys = ["pool", "first", "second"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "name", "tokens").mapInArrow(link, "a bigint, b bigint")
+
+def _pivot_edges(rows: DataFrame, percent: int) -> DataFrame:
+    """Links of each pool's pivot, which comes first in every block, with the sets of the block."""
+
+    def link(batches: Iterator[pa.RecordBatch]):
+        key, ident, pivot = None, 0, np.zeros(0, np.uint64)
+        for batch in batches:
+            found = []
+            for pool, first, own, tokens in zip(*(batch.column(c).to_pylist() for c in ("pool", "first", "class_id", "tokens")), strict=True):
+                values = np.frombuffer(tokens, np.uint64)
+                if (pool, first) != key:
+                    key, ident, pivot = (pool, first), own, values
+                else:
+                    both = int((pivot[np.minimum(np.searchsorted(pivot, values), len(pivot) - 1)] == values).sum())
+                    if 100 * both >= percent * (len(pivot) + len(values) - both):
+                        found.append((ident, own))
+            yield _pairs(found)
+
+    return rows.repartition("pool", "first").sortWithinPartitions("pool", "first", "rank").select("pool", "first", "class_id", "tokens").mapInArrow(link, "a bigint, b bigint")
+
+
+class _Linker:
+    """The pools of one join with the class ids of their sets; tokens are made again from the documents when needed."""
+
+    def __init__(self, texts: DataFrame, classes: DataFrame, members: DataFrame, size: int, percent: int):
+        self.texts, self.size, self.percent = texts, size, percent
+        found = members.join(classes.where("class_id is not null").select("name", "n", "class_id"), ["name", "n"]).select("pool", "class_id", "n")
+        sizes = found.groupBy("pool").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("tokens"), F.min("class_id").alias("pivot")).where("size > 1")
+        blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
+        self.pools = materialize(found.join(sizes, "pool").select("pool", "class_id", "pivot", blocks.alias("blocks")), "pools")
+
+    def with_tokens(self, rows: DataFrame) -> DataFrame:
+        wanted = rows.select(F.col("class_id").alias("wanted_id")).distinct()
+        few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        chosen = self.texts.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("wanted_id"), "left_semi")
+        # Rows that repeat come twice here; of one doc_id with several texts, each is looked at.
+        return rows.join(_sets(chosen, self.size).where("n > 0").select(F.col("doc_id").alias("class_id"), "tokens").distinct(), "class_id")
+
+    def small(self) -> DataFrame:
+        rows = self.pools.where("blocks = 1").select("pool", F.lit(0).alias("first"), F.lit(0).alias("second"), "class_id", F.col("class_id").alias("component"))
+        return _pool_edges(self.with_tokens(rows), self.percent)
+
+    def large(self) -> DataFrame | None:
+        """Links of pools of several blocks: rounds of pivots, then what lies outside of their components."""
+        state = self.pools.where("blocks > 1").withColumn("component", F.col("class_id"))
+        left = state.count()
+        if not left:
+            return None
+        edges, ids = None, state.select("class_id").distinct()
+        while True:
+            block = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
+            rest = state.where("class_id <> pivot").select("pool", block.alias("first"), "class_id", F.lit(1).alias("rank"))
+            pivots = state.where("class_id = pivot").select("pool", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("first"), "class_id", F.lit(0).alias("rank"))
+            found = _pivot_edges(self.with_tokens(materialize(rest.unionByName(pivots), "pivots")), self.percent)
+            edges = materialize(found if edges is None else edges.unionByName(found), "pivot-links")
+            label = components(edges)
+            named = ids.join(label, F.col("class_id") == F.col("id"), "left").select("class_id", F.coalesce("component", "class_id").alias("component"))
+            home = named.select(F.col("class_id").alias("pivot"), F.col("component").alias("home"))
+            state = state.drop("component", "home").join(named, "class_id").join(home, "pivot")
+            outside = F.when(F.col("component") != F.col("home"), F.col("class_id"))
+            nexts = state.groupBy("pool").agg(F.min(outside).alias("next"), F.count(outside).alias("outside"), F.count(F.lit(1)).alias("all"))
+            state = materialize(state.join(nexts.where("outside > 0"), "pool"), "outside")
+            before, left = left, state.where("component <> home").count()
+            if not left:
+                return edges
+            if 2 * left > before:
+                break
+            state = state.select("pool", "class_id", F.col("next").alias("pivot"), "blocks", "component")
+        # Blocks of the component's sets come before those of the others; pairs of two of the former are not made.
+        state = state.withColumn("out", F.ceil(F.col("blocks") * F.col("outside") / F.col("all")).cast("int"))
+        hashed = F.xxhash64("class_id")
+        inner = state.where("component = home").select("pool", "class_id", "component", F.pmod(hashed, F.col("blocks")).cast("int").alias("first"), F.explode(F.sequence(F.col("blocks"), F.col("blocks") + F.col("out") - 1)).alias("second"))
+        own = F.col("blocks") + F.pmod(hashed, F.col("out")).cast("int")
+        outer = state.where("component <> home").select("pool", "class_id", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") + F.col("out") - 1)).alias("other"))
+        outer = outer.select("pool", "class_id", "component", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"))
+        return edges.unionByName(_pool_edges(self.with_tokens(materialize(inner.unionByName(outer), "blocks")), self.percent))
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id; one row for each row of docs."""
     texts = pick(docs, doc_id="bigint", text="string")
-    names = materialize(_names(texts, size), "names")
-    classes = names.where("n > 0").groupBy("name", "n").agg(F.min("doc_id").alias("class_id"))
-    met = materialize(pools(texts, size, percent), "pools")
-    wanted = met.select("name", "n").distinct().join(classes, ["name", "n"]).where("class_id is not null").select(F.col("class_id").alias("wanted_id"))
-    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    chosen = texts.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("wanted_id"), "left_semi")
-    sets = _sets(chosen, size).select("name", "n", "tokens")
-    edges = _pool_edges(met.join(sets, ["name", "n"]), percent)
-    ids = classes.groupBy("name").agg(F.min("class_id").alias("class_id"))
-    ends = edges.join(ids.select(F.col("name").alias("a"), F.col("class_id").alias("x")), "a").join(ids.select(F.col("name").alias("b"), F.col("class_id").alias("y")), "b")
-    linked = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    owned = names.join(classes, ["name", "n"], "left").join(linked, F.col("class_id") == F.col("id"), "left")
+    named = materialize(_prefixes(texts, size, percent), "prefixes")
+    names = named.select("doc_id", "n", "name", "check")
+    classes = names.where("n > 0").groupBy("name", "check", "n").agg(F.min("doc_id").alias("class_id"))
+    linker = _Linker(texts, classes, materialize(pools(named.where("prefix is not null"), percent), "members"), size, percent)
+    edges, large = linker.small(), linker.large()
+    linked = components(edges if large is None else edges.unionByName(large))
+    owned = names.join(classes, ["name", "check", "n"], "left").join(linked, F.col("class_id") == F.col("id"), "left")
     return owned.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "class_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, with all their columns, but only those of the least doc_id of each component.
 
-    Rows with a null doc_id stay; so do all rows of a doc_id that stays.
+    Rows with a null doc_id stay, as do all rows of a doc_id that stays; null and empty texts stay. Columns of any name may
+    be among them; an empty table gives no row.
     """
     copies = materialize(jaccard_components(docs, size, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("__copy_id")).distinct(), "copies")
     few = copies.count() <= BROADCAST_IDS

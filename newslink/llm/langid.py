@@ -11,38 +11,36 @@ documents are "und". Empty tables give no row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newslink.llm import crf
-from newslink.llm.common import STEP_CHARS, held_out, pick, slices
+from newslink.llm.common import STEP_CHARS, held_out, pick, sample_texts, slices, texts_of
 
 FEATURES = {"bits": 18, "prefixes": (2, 3), "suffixes": (2, 3), "grams": (2, 3)}
 #: Documents of each language that the model is fitted on at most (chosen by a hash of doc_id).
 MAX_ROWS = 400
+#: Bytes of text that the sample of each language has at most; documents that would pass it are left out.
+MAX_BYTES = 8_000_000
 UNKNOWN = "und"
 
 
 def learn(docs: DataFrame, max_rows: int = MAX_ROWS, epochs: int = 4) -> crf.Model | None:
     """Fit on at most max_rows whole documents of each language that are not held out."""
     known = pick(docs, doc_id="bigint", lang="string").where("lang is not null").where(~held_out(F.col("doc_id")))
-    rows = []
-    for (lang,) in sorted(tuple(r) for r in known.select("lang").distinct().collect()):
-        ids = known.where(F.col("lang") == lang).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-        rows += [(r.doc_id, lang) for r in ids.collect()]
-    if not rows:
+    found = sample_texts(docs, known.select("doc_id", F.col("lang").alias("label")), max_rows, MAX_BYTES)
+    if not found:
         return None
-    chosen = docs.sparkSession.createDataFrame(rows, "chosen_id bigint, chosen_lang string").distinct()
-    texts = pick(docs, doc_id="bigint", text="string").join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id")).select("text", "chosen_lang", "doc_id")
-    found = sorted((r for r in texts.collect() if r.text), key=lambda r: (r.doc_id * 2654435761 % 4294967291, r.text))
-    labels = sorted({r.chosen_lang for r in found})
+    labels = sorted({r.label for r in found})
     batches = []
     for k in range(0, len(found), 64):
         part = found[k : k + 64]
         words = crf.Words([r.text for r in part], **FEATURES)
-        gold = np.array([labels.index(r.chosen_lang) for r in part])[words.doc]
+        gold = np.array([labels.index(r.label) for r in part])[words.doc]
         batches.append((words, gold, np.ones(len(gold), np.float32)))
     return crf.train(batches, labels, FEATURES, epochs) if labels else None
 
@@ -52,7 +50,7 @@ def predict(docs: DataFrame, model: crf.Model | None) -> DataFrame:
 
     def label(batches):
         for batch in slices(batches, "text", STEP_CHARS):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+            texts = texts_of(batch.column("text"))
             langs, scores, switched = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
             if model is not None:
                 words = model.words(texts)
@@ -75,20 +73,23 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: crf.Model | None, least: float) -> DataFrame:
-    """The rows of docs, with all their columns, whose language is known with a score of at least `least`."""
-    names = docs.columns
-    schema = docs.schema
-
-    def keep(batches):
-        for batch in slices(batches, "text", STEP_CHARS):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            sure = np.zeros(len(texts), bool)
-            if model is not None:
-                words = model.words(texts)
-                if len(words.doc):
+    """The rows of docs, with all their columns, whose language is known with a score of at least `least`.
+
+    Null texts and texts without a letter go, and all rows if there is no model; repeated rows go or stay together. Only
+    texts are sent to Python, in steps of STEP_CHARS bytes; further columns of any name stay where they are.
+    """
+
+    def sure(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            flags = []
+            for batch in slices([pa.record_batch({"text": column})], "text", STEP_CHARS):
+                clear = np.zeros(batch.num_rows, bool)
+                words = model.words(texts_of(batch.column("text"))) if model is not None else None
+                if words is not None and len(words.doc):
                     p = model.marginals(words)
-                    sums = np.stack([np.bincount(words.doc, p[:, y], minlength=len(texts)) for y in range(len(model.labels))], axis=1)
-                    sure = (words.per_doc > 0) & (sums.max(axis=1) >= least * words.per_doc)
-            yield batch.filter(pa.array(sure))
+                    sums = np.stack([np.bincount(words.doc, p[:, y], minlength=batch.num_rows) for y in range(len(model.labels))], axis=1)
+                    clear = (words.per_doc > 0) & (sums.max(axis=1) >= least * words.per_doc)
+                flags.append(clear)
+            yield pa.array(np.concatenate(flags) if flags else np.zeros(0, bool))
 
-    return docs.mapInArrow(keep, schema).select(*names)
+    return docs.where(F.arrow_udf(sure, "boolean")(F.col("text").cast("string")))

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from newslink.llm.common import pick, slices
+from newslink.llm.common import pick, raw_texts, slices
 
 BLOCK = 64
 #: Blocks that are decoded side by side at most, unless one image has more.
@@ -333,7 +333,7 @@ def store_media(docs: DataFrame) -> DataFrame:
 
     def store(batches):
         for batch in slices(batches, "text", LANES * BLOCK):
-            files = encode([(t or "").encode() for t in batch.column("text").to_pylist()])
+            files = encode(raw_texts(batch.column("text")))
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "media": pa.array(files, pa.binary())})
 
     return pick(docs, doc_id="bigint", text="string").mapInArrow(store, "doc_id bigint, media binary")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from newslink.llm.common import pick, materialize
+from newslink.llm.common import materialize
 
 LEVELS = ("domain", "lang", "source")
 #: Documents that a hash range of a leaf holds on average.
@@ -44,12 +44,13 @@ def domain_of(source: Column) -> Column:
     return F.when(number == "", F.lit("none")).otherwise(F.concat(F.lit("d"), (F.try_to_number(number, F.lit("999999")).cast("bigint") % 4).cast("string")))
 
 
-def prepare(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, tokens and the levels of each document."""
-    rows = pick(docs, doc_id="bigint", text="string", lang="string", source="string")
+def prepare(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, text_key, row (a column of docs that numbers its rows, else null), tokens and the levels of each document."""
+    number = F.col(row) if row else F.lit(None)
+    rows = docs.select(*[F.col(c).cast(kind).alias(c) for c, kind in (("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"))], number.cast("bigint").alias("row"))
     rows = rows.withColumns({"lang": F.coalesce("lang", F.lit("none")), "source": F.coalesce("source", F.lit("none"))})
     tokens = F.size(F.filter(_words(F.coalesce("text", F.lit(""))), lambda w: w != "")).cast("bigint")
-    return rows.select("doc_id", F.md5("text").alias("text_key"), tokens.alias("tokens"), domain_of(F.col("source")).alias("domain"), "lang", "source").where("tokens > 0")
+    return rows.select("doc_id", F.md5("text").alias("text_key"), "row", tokens.alias("tokens"), domain_of(F.col("source")).alias("domain"), "lang", "source").where("tokens > 0")
 
 
 def _share(children: DataFrame, family: list[str]) -> DataFrame:
@@ -97,12 +98,12 @@ WEIGHTS = {"domain": {"d0": 4, "d1": 2}, "lang": {"en": 3}}
 PERCENT, EPOCHS, SEED = 60, 2, 7
 
 
-def mix(docs: DataFrame, percent: int = PERCENT, weights: dict[str, dict[str, int]] | None = None, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
-    """doc_id, text_key, domain, lang, source, epoch, taken: the documents and token prefixes that make the mixture.
+def mix(docs: DataFrame, percent: int = PERCENT, weights: dict[str, dict[str, int]] | None = None, epochs: int = EPOCHS, seed: int = SEED, row: str | None = None) -> DataFrame:
+    """doc_id, text_key, row, domain, lang, source, epoch, taken, tokens: the documents and token prefixes that make the mixture.
 
     The total budget is `percent` of all tokens of docs.
     """
-    rows = materialize(prepare(docs), "mixture")
+    rows = materialize(prepare(docs, row), "mixture")
     leaves = materialize(rows.groupBy(*LEVELS).agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens")), "leaves")
     total = (leaves.agg(F.sum("tokens")).first()[0] or 0) * percent // 100
     plan = materialize(budgets(leaves, total, weights, epochs).where("budget > 0").select(*LEVELS, F.expr("budget div tokens").alias("full"), F.expr("budget % tokens").alias("part"), F.expr(f"docs div {RANGE_ROWS} + 1").alias("ranges")), "budgets")
@@ -115,22 +116,28 @@ def mix(docs: DataFrame, percent: int = PERCENT, weights: dict[str, dict[str, in
     ordered = W.partitionBy(*leaf).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     before = sums.withColumn("before", F.coalesce(F.sum("held").over(ordered), F.lit(0))).where("before < part").select(*leaf, "bucket", "before", (F.col("before") + F.col("held") <= F.col("part")).alias("inside"))
     partial = placed.where("part > 0").join(before, [*leaf, "bucket"])
-    whole = partial.where("inside").select("doc_id", "text_key", *leaf, F.col("full").alias("epoch"), F.col("tokens").alias("taken"))
-    inner = W.partitionBy(*leaf, "bucket").orderBy("key", "text_key").rowsBetween(W.unboundedPreceding, -1)
+    own = ["doc_id", "text_key", "row", *leaf]
+    whole = partial.where("inside").select(*own, F.col("full").alias("epoch"), F.col("tokens").alias("taken"), "tokens")
+    inner = W.partitionBy(*leaf, "bucket").orderBy("key", "text_key", "row").rowsBetween(W.unboundedPreceding, -1)
     cut = partial.where("not inside").withColumn("start", F.col("before") + F.coalesce(F.sum("tokens").over(inner), F.lit(0))).where("start < part")
-    cut = cut.select("doc_id", "text_key", *leaf, F.col("full").alias("epoch"), F.least("tokens", F.col("part") - F.col("start")).alias("taken"))
-    repeated = placed.where("full > 0").select("doc_id", "text_key", *leaf, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1)).alias("epoch"), F.col("tokens").alias("taken"))
+    cut = cut.select(*own, F.col("full").alias("epoch"), F.least("tokens", F.col("part") - F.col("start")).alias("taken"), "tokens")
+    repeated = placed.where("full > 0").select(*own, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1)).alias("epoch"), F.col("tokens").alias("taken"), "tokens")
     return repeated.unionByName(whole).unionByName(cut)
 
 
 def apply_mixture(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are in the mixture, once for each epoch, texts cut to the tokens taken."""
-    taken = mix(docs, **options).select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"), "epoch", F.col("taken").alias("__taken"))
-    taken = taken.groupBy("__doc", "__key", "epoch").agg(F.max("__taken").alias("__taken"))
-    met = docs.join(taken, docs["doc_id"].cast("bigint").eqNullSafe(F.col("__doc")) & (F.md5(docs["text"].cast("string")) == F.col("__key")))
-    words = _words(F.col("text"))
-    prefix = F.array_join(F.slice(words, 1, F.least("__taken", F.lit(2**31 - 1)).cast("int")), " ")
-    return met.withColumn("text", F.when(F.col("__taken") >= F.size(words), F.col("text")).otherwise(prefix)).select(*docs.columns)
+    """The rows of docs that are in the mixture, once for each epoch, texts cut after the last token taken.
+
+    A cut text keeps its white space before and between those tokens. Rows are numbered in a table of their own, so that
+    repeated rows are taken one by one and columns of any name can be among them. Null and empty texts are never taken;
+    an empty table gives no row.
+    """
+    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    taken = mix(numbered, row="__row", **options).select(F.col("row").alias("__row"), F.col("taken").alias("__taken"), F.col("tokens").alias("__tokens"))
+    words = F.regexp_extract_all("text", F.lit(r"([\t\n\x0B\f\r ]*[^\t\n\x0B\f\r ]+)"), F.lit(1))
+    prefix = F.array_join(F.slice(words, 1, F.least("__taken", F.lit(2**31 - 1)).cast("int")), "")
+    met = numbered.join(taken, "__row").withColumn("text", F.when(F.col("__taken") < F.col("__tokens"), prefix).otherwise(F.col("text")))
+    return met.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _oracle() -> str:

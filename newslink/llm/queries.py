@@ -14,7 +14,7 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), weights=mixing.WEIGHTS).drop("text_key")
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=mixing.WEIGHTS).drop("text_key", "row", "tokens")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

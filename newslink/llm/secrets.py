@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newslink.llm.common import pick
+from newslink.llm.common import materialize, pick
 
 SCOPE = 200
 #: Pattern, the group whose length counts, its least length. The order is the order of kinds.
@@ -81,7 +81,8 @@ def link(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base and spans (arrays of kind, start, end in order)."""
-    parts = find_parts(docs)
+    # Written once: the base spans and both sides of the join read them, and the texts are scanned a single time.
+    parts = materialize(find_parts(docs), "parts")
     none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
     linked = link(parts, scope).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", _rank(F.col("kind")).alias("rank"), "end")).alias("linked")).select(F.col("doc_id").alias("d3"), F.col("text_key").alias("t3"), "linked")
     base = F.array_sort(F.concat(*[F.transform(k, _ranked(ORDER.index(k))) for k in BASE]))

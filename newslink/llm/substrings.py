@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newslink.llm.common import SegmentHasher, mix, pick
+from newslink.llm.common import SegmentHasher, mix, pick, raw_texts
 
 LENGTH = 50
 GRAM = 16
@@ -47,7 +47,7 @@ class Batch:
         order = np.argsort(np.asarray(table.column("doc_id").fill_null(_NULL)), kind="stable")
         self.rows = table.take(pa.array(order))
         self.ids = np.asarray(self.rows.column("doc_id").fill_null(_NULL))
-        raw = [(t or "").encode() for t in self.rows.column("text").to_pylist()]
+        raw = raw_texts(self.rows.column("text").combine_chunks())
         self.data = np.frombuffer(b"".join(raw), np.uint8)
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         self.ends = np.cumsum(sizes)

@@ -34,16 +34,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from newslink.llm.common import LETTER, SPACE, STEP_CHARS, CodePoints, SegmentHasher, pick, shared_dir, slices
+from newslink.llm.common import LETTER, SPACE, STEP_CHARS, CodePoints, SegmentHasher, pick, shared_dir, slices, texts_of
 
 ROWS = 256
 SEQ_LEN = 2048
 END_ID = 2
-#: Words that a Python worker remembers; beyond it the memory is emptied.
-MEMORY = 1_500_000
+#: Words that a Python worker remembers, some 30 bytes each; beyond it the memory is emptied.
+MEMORY = 1_000_000
 _QUOTE, _NEWLINE, _BLANK = 39, 10, 32
 #: What may follow an apostrophe as one word in the pre-tokenizer's pattern.
 _ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+#: A text with every kind of cut, to compare a tokenizer's pre-tokenizer with.
+PROBE = "Don't we'll  12ab  \n x_y's\t\u00e9\u00df\u4e2d, '9 %%A   "
 
 
 def word_spans(cp: CodePoints) -> tuple[np.ndarray, np.ndarray]:
@@ -79,6 +81,13 @@ def word_spans(cp: CodePoints) -> tuple[np.ndarray, np.ndarray]:
     return starts[inside], ends[inside]
 
 
+def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two tables of sorted keys and their values as one."""
+    keys = np.concatenate([a[0], b[0]])
+    order = np.argsort(keys, kind="stable")
+    return keys[order], np.concatenate([a[1], b[1]])[order]
+
+
 class Encoder:
     """Token ids of whole texts; equal to the library's encode(text, add_special_tokens=False)."""
 
@@ -90,14 +99,33 @@ class Encoder:
         self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self._check_cuts()
         self._forget()
 
+    def _check_cuts(self) -> None:
+        """The tokenizer must cut texts as word_spans does."""
+        cut = self.tokenizer.pre_tokenizer.pre_tokenize_str(PROBE) if self.tokenizer.pre_tokenizer else None
+        starts, ends = word_spans(CodePoints([PROBE]))
+        if self.tokenizer.normalizer is not None or cut is None or [span for _, span in cut] != list(zip(starts.tolist(), ends.tolist(), strict=True)):
+            raise ValueError("the tokenizer does not cut texts by the pattern of byte-level BPE")
+
     def _forget(self) -> None:
-        self.slots: dict[int, int] = {}
-        self.offsets, self.lengths = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        # Keys in order with the slots they have; new ones wait in a small table until they are worth a merge.
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.old, self.new, self.count = none, none, 0
+        self.offsets, self.lengths = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
         self.pool, self.used = np.zeros(1 << 14, self.dtype), 0
 
-    def _remember(self, keys: list[int], words: list[str]) -> None:
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        """Slot of each key, -1 for those not seen before."""
+        out = np.full(len(keys), -1, np.int32)
+        for known, slots in (self.old, self.new):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                out = np.where(known[at] == keys, slots[at], out)
+        return out
+
+    def _remember(self, keys: np.ndarray, words: list[str]) -> None:
         """Encode words that were not seen before: joined by line breaks, which never merge with what is not white space."""
         solid = [i for i, w in enumerate(words) if not w.isspace()]
         pieces: list[np.ndarray] = [np.zeros(0, self.dtype)] * len(words)
@@ -117,7 +145,7 @@ class Encoder:
                 pieces[i] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype=self.dtype)
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         flat = np.concatenate(pieces)
-        base = len(self.slots)
+        base = self.count
         if base + len(words) > len(self.offsets):
             more = max(base + len(words), 2 * len(self.offsets))
             self.offsets, self.lengths = np.resize(self.offsets, more), np.resize(self.lengths, more)
@@ -127,7 +155,10 @@ class Encoder:
         self.offsets[base : base + len(words)] = self.used + np.cumsum(lengths) - lengths
         self.pool[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
-        self.slots.update(zip(keys, range(base, base + len(words)), strict=True))
+        self.count += len(words)
+        self.new = _merged(self.new, (keys, np.arange(base, self.count, dtype=np.int32)))
+        if 8 * len(self.new[0]) > len(self.old[0]):
+            self.old, self.new = _merged(self.old, self.new), (np.zeros(0, np.uint64), np.zeros(0, np.int32))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and how many each text has."""
@@ -135,14 +166,13 @@ class Encoder:
         cp = CodePoints(["" if i in odd else t for i, t in enumerate(texts)])
         starts, ends = word_spans(cp)
         keys, at, which = np.unique(SegmentHasher(cp.points).of(starts, ends), return_index=True, return_inverse=True)
-        if len(self.slots) + len(keys) > MEMORY:
+        if self.count + len(keys) > MEMORY:
             self._forget()
-        names = keys.tolist()
-        new = [i for i, key in enumerate(names) if key not in self.slots]
-        if new:
-            self._remember([names[i] for i in new], [cp.text[starts[at[i]] : ends[at[i]]] for i in new])
-        slots = np.fromiter((self.slots[key] for key in names), np.int64, len(names))[which]
-        lengths = self.lengths[slots]
+        new = np.flatnonzero(self._slots(keys) < 0)
+        if len(new):
+            self._remember(keys[new], [cp.text[a:b] for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
+        slots = self._slots(keys)[which]
+        lengths = self.lengths[slots].astype(np.int64)
         total = np.cumsum(lengths)
         ids = self.pool[np.repeat(self.offsets[slots] - (total - lengths), lengths) + np.arange(int(lengths.sum()))]
         bounds = np.append(0, total)[np.searchsorted(starts, cp.ends)]
@@ -244,7 +274,7 @@ def write_sequences(docs: DataFrame, out_dir: str, tokenizer_file: str, seq_len:
             if writer is None:
                 sink = fs.open_output_stream(posixpath.join(root, name + mine))
                 writer = SequenceWriter(sink, enc.dtype, seq_len)
-            ids, counts = enc.encode([t or "" for t in batch.column("text").to_pylist()])
+            ids, counts = enc.encode(texts_of(batch.column("text")))
             ids = np.insert(ids, np.cumsum(counts), enc.dtype(end_id))
             counts = counts + 1
             writer.add(ids)

@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newslink.llm import crf
-from newslink.llm.common import STEP_CHARS, held_out, mix, pick, slices
+from newslink.llm.common import STEP_CHARS, held_out, mix, pick, sample_texts, slices, texts_of
 
 FEATURES = {"bits": 18, "prefixes": (3, 4, 5, 6, 7), "suffixes": (3, 5), "grams": ()}
 #: Labelled documents of each kind that the model is fitted on at most (chosen by a hash of doc_id).
 MAX_ROWS = 2500
+#: Bytes of text that the sample of each kind has at most; documents that would pass it are left out.
+MAX_BYTES = 50_000_000
 #: A feature is toxic from so many toxic documents, and so many times as frequent in them as in the others.
 LEAST_DOCS, LEAST_RATIO = 6, 30.0
 SPAN = 0.5
@@ -75,12 +77,9 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, epochs:
     prior = sizes.get(1, 0) / max(1, sum(sizes.values()))
     if len(sizes) < 2:
         return Toxicity(None, np.zeros(3), prior)
-    rows = [tuple(r) for kind in (0, 1) for r in known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).collect()]
-    chosen = docs.sparkSession.createDataFrame(rows, "chosen_id bigint, chosen_toxic int")
-    texts = pick(docs, doc_id="bigint", text="string").join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id")).select("text", "chosen_toxic", "doc_id")
-    found = sorted((r for r in texts.collect() if r.text), key=lambda r: (r.doc_id * 2654435761 % 4294967291, r.text))
+    found = sample_texts(docs, known.select("doc_id", F.col("toxic").alias("label")), max_rows, MAX_BYTES)
     found = [found[i] for i in _without_copies([r.text for r in found])]
-    y = np.array([r.chosen_toxic for r in found], np.int64)
+    y = np.array([r.label for r in found], np.int64)
     if len(set(y.tolist())) < 2:
         return Toxicity(None, np.zeros(3), prior)
     # Every fourth document is left for the logistic function: on those it learned from, the field is too sure.
@@ -148,7 +147,7 @@ def score(docs: DataFrame, model: Toxicity) -> DataFrame:
     def tag(batches):
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
         for batch in slices(batches, "text", STEP_CHARS):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+            texts = texts_of(batch.column("text"))
             scores, words, p = model.of(texts)
             spans: list = [[] for _ in texts]
             if words is not None:

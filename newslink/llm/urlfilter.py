@@ -17,9 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Parts of a path up to which the SQL makes keys; its list has entries for first parts only.
-MAX_PARTS = 8
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)"
+#: The host, without user information before it and a port or a dot after it.
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^/?#\]]*\]|[^/?#:]*[^/?#:.])"
+#: Hosts that are addresses: they have no parent domains.
+ADDRESS = r"^([0-9]+(\.[0-9]+){3}|\[.*\])$"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)"
 
 
@@ -28,8 +29,9 @@ def url_keys(url: Column) -> Column:
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1))
     labels = F.split(host, r"\.")
     n = F.size(labels)
+    last = F.when(host.rlike(ADDRESS), 1).otherwise(F.greatest(n - 1, F.lit(1)))
     none = F.array().cast("array<struct<rank:int,key:string>>")
-    domains = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.struct((n - i + 1).cast("int").alias("rank"), F.array_join(F.slice(labels, i, n), ".").alias("key")))
+    domains = F.transform(F.sequence(F.lit(1), last), lambda i: F.struct((n - i + 1).cast("int").alias("rank"), F.array_join(F.slice(labels, i, n), ".").alias("key")))
     parts = F.filter(F.split(F.regexp_extract(F.coalesce(url, F.lit("")), PATH, 1), "/"), lambda p: p != "")
     paths = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: F.struct((i + 1000).cast("int").alias("rank"), F.concat_ws("/", host, F.array_join(F.slice(parts, 1, i), "/")).alias("key")))).otherwise(none)
     return F.when(host != "", F.concat(domains, paths)).otherwise(none)
@@ -58,8 +60,8 @@ def captures_of(pages: DataFrame) -> DataFrame:
 
 
 def entries_of(pages: DataFrame) -> DataFrame:
-    """Dated entries for the hosts, parent domains and first path parts that the pages have, by a hash of the key."""
-    keys = pages.select(F.explode(url_keys(F.col("url"))).alias("k")).where("k.rank < 1000 or k.rank = 1001").select("k.key", F.col("k.rank").alias("rank")).distinct()
+    """Dated entries for the hosts, parent domains and path prefixes that the pages have, by a hash of the key."""
+    keys = pages.select(F.explode(url_keys(F.col("url"))).alias("k")).select("k.key", F.col("k.rank").alias("rank")).distinct()
     h = F.conv(F.substring(F.md5("key"), 1, 6), 16, 10).cast("int")
     at = lambda n: F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'") + F.make_dt_interval(mins=(h * n) % 5000)
     first = keys.where(h % 3 != 0).select("key", at(1).alias("at"), F.when(F.col("rank") >= 1000, "allow").otherwise("block").alias("action"))
@@ -73,9 +75,9 @@ ORACLE = f"""
 WITH cap AS (SELECT page_id AS capture_id, url, {_TS.format('page_id % 100000')} AS fetched, lower(regexp_extract(url, '{HOST}', 1)) AS host,
   list_filter(string_split(regexp_extract(url, '{PATH}', 1), '/'), lambda p: p <> '') AS parts FROM pages),
 lab AS (SELECT *, string_split(host, '.') AS l FROM cap WHERE host <> ''),
-keys AS (SELECT capture_id, fetched, len(l) - i + 1 AS rank, array_to_string(l[i:], '.') AS key FROM (SELECT *, unnest(generate_series(1, greatest(len(l) - 1, 1))) AS i FROM lab)
-  UNION ALL SELECT capture_id, fetched, 1000 + i, host || '/' || array_to_string(parts[:i], '/') FROM (SELECT *, unnest(generate_series(1, least(len(parts), {MAX_PARTS}))) AS i FROM lab WHERE len(parts) > 0)),
-k AS (SELECT DISTINCT key, rank, CAST('0x' || left(md5(key), 6) AS INT) AS h FROM keys WHERE rank < 1000 OR rank = 1001),
+keys AS (SELECT capture_id, fetched, len(l) - i + 1 AS rank, array_to_string(l[i:], '.') AS key FROM (SELECT *, unnest(generate_series(1, CASE WHEN regexp_matches(host, '{ADDRESS}') THEN 1 ELSE greatest(len(l) - 1, 1) END)) AS i FROM lab)
+  UNION ALL SELECT capture_id, fetched, 1000 + i, host || '/' || array_to_string(parts[:i], '/') FROM (SELECT *, unnest(generate_series(1, len(parts))) AS i FROM lab WHERE len(parts) > 0)),
+k AS (SELECT DISTINCT key, rank, CAST('0x' || left(md5(key), 6) AS INT) AS h FROM keys),
 log AS (SELECT key, {_TS.format('h % 5000')} AS t, CASE WHEN rank >= 1000 THEN 'allow' ELSE 'block' END AS action FROM k WHERE h % 3 <> 0
   UNION ALL SELECT key, {_TS.format('(CAST(h AS BIGINT) * 7) % 5000')}, 'remove' FROM k WHERE h % 2 = 0 UNION ALL SELECT key, {_TS.format('(CAST(h AS BIGINT) * 11) % 5000')}, 'block' FROM k WHERE h % 5 = 0),
 one AS (SELECT key, t, max(action) AS action FROM log GROUP BY ALL),
