@@ -36,9 +36,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newslink.llm.common import STEP_CHARS, SegmentHasher, materialize, mix, pick, raw_texts, slices
 from newslink.operators.graph import components
@@ -46,7 +48,7 @@ from newslink.operators.graph import components
 SHINGLE = 4
 PERCENT = 85
 #: Sets and shingles that a block of a pool has on average at most.
-BLOCK, BLOCK_TOKENS = 1024, 500_000
+BLOCK, BLOCK_TOKENS = 512, 500_000
 #: Postings between two pointers into the index lists.
 SKIP = 64
 #: Documents up to which their ids are broadcast to choose them; beyond, both sides are shuffled.
@@ -94,6 +96,11 @@ def _least(n, percent: int):
     return -(-percent * n // 100)
 
 
+def _prefix_length(n, percent: int):
+    """Hashes in the prefix of a set of n; at most n, as n is at least 1 and percent some tens."""
+    return n - _least(n, percent) + 1 + n // 20
+
+
 def _named(batch: pa.RecordBatch, size: int) -> tuple[list[np.ndarray], dict]:
     """The sets of a batch, and the columns that name them."""
     sets = shingle_sets(raw_texts(batch.column("text")), size)
@@ -102,15 +109,22 @@ def _named(batch: pa.RecordBatch, size: int) -> tuple[list[np.ndarray], dict]:
     return sets, {k: v if k == "doc_id" else pa.array(v, pa.int64()) for k, v in columns.items()}
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, name and check (128 bits together) and the set's hashes as bytes."""
+def _with_sets(rows: DataFrame, size: int) -> DataFrame:
+    """rows without their column text, with the set's hashes as bytes; rows of empty sets go."""
+    names = [c for c in rows.columns if c != "text"]
+    schema = T.StructType([rows.schema[c] for c in names] + [T.StructField("tokens", T.BinaryType())])
 
     def make(batches):
         for batch in slices(batches, "text", STEP_CHARS):
-            sets, columns = _named(batch, size)
-            yield pa.record_batch(columns | {"tokens": pa.array([s.tobytes() for s in sets], pa.binary())})
+            texts = raw_texts(batch.column("text"))
+            # A document's rows come one after the other: its set is made once.
+            new = [i for i, t in enumerate(texts) if not i or t != texts[i - 1]]
+            sets = [s.tobytes() for s in shingle_sets([texts[i] for i in new], size)]
+            tokens = pa.array([sets[k] for k in np.searchsorted(new, np.arange(len(texts)), side="right") - 1], pa.binary())
+            out = pa.record_batch([*(batch.column(c) for c in names), tokens], names=[*names, "tokens"])
+            yield out.filter(pc.greater(pc.binary_length(tokens), 0))
 
-    return docs.mapInArrow(make, "doc_id bigint, n bigint, name bigint, check bigint, tokens binary")
+    return rows.mapInArrow(make, schema)
 
 
 def _prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -124,7 +138,7 @@ def _prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 key = columns["name"][i].as_py()
                 if len(s) and key not in seen:
                     seen.add(key)
-                    lengths[i] = min(len(s), len(s) - _least(len(s), percent) + 1 + len(s) // 20)
+                    lengths[i] = _prefix_length(len(s), percent)
             offsets = pa.array(np.append(0, np.cumsum(np.maximum(lengths, 0))), pa.int32(), mask=np.append(lengths < 0, False))
             flat = np.concatenate([s[: max(0, k)] for s, k in zip(sets, lengths, strict=True)])
             yield pa.record_batch(columns | {"prefix": pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64)))})
@@ -133,7 +147,7 @@ def _prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def pools(prefixes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """pool, name, n: which sets must be compared with each other.
+    """pool, name, n: which sets must be compared with each other; and share, how much of a set's prefix others have.
 
     The prefixes of linked sets share 1 + m // 20 tokens at least, m being the smaller size; a partner of a set of n has
     n * percent / 100 or more, so `sure` holds for any partner.
@@ -145,7 +159,8 @@ def pools(prefixes: DataFrame, percent: int = PERCENT) -> DataFrame:
     by_set = W.partitionBy("name", "n")
     sure: Column = F.lit(1) + F.floor(F.lit(percent) * F.col("n") / 2000)
     ranked = live.withColumns({"own": F.count(F.lit(1)).over(by_set), "rank": F.row_number().over(by_set.orderBy("often", "other"))})
-    return ranked.where((F.col("own") >= sure) & (F.col("rank") <= F.col("own") - sure + 1)).select("pool", "name", "n").distinct()
+    share = F.col("own") / F.expr(f"n - (({percent} * n + 99) div 100) + 1 + n div 20")
+    return ranked.where((F.col("own") >= sure) & (F.col("rank") <= F.col("own") - sure + 1)).select("pool", "name", "n", share.alias("share")).distinct()
 
 
 def pool_links(names: list[int], sets: list[np.ndarray], percent: int = PERCENT, groups: list[int] | None = None) -> list[tuple[int, int]]:
@@ -244,22 +259,27 @@ def _pivot_edges(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("pool", "first").sortWithinPartitions("pool", "first", "rank").select("pool", "first", "class_id", "tokens").mapInArrow(link, "a bigint, b bigint")
 
 
+def _central(among: Column | None = None) -> Column:
+    """The set of a group that shares most of its prefix with others, as the original of near copies does."""
+    order = F.struct("share", -F.col("class_id"))
+    return F.max_by("class_id", order if among is None else F.when(among, order))
+
+
 class _Linker:
     """The pools of one join with the class ids of their sets; tokens are made again from the documents when needed."""
 
     def __init__(self, texts: DataFrame, classes: DataFrame, members: DataFrame, size: int, percent: int):
         self.texts, self.size, self.percent = texts, size, percent
-        found = members.join(classes.where("class_id is not null").select("name", "n", "class_id"), ["name", "n"]).select("pool", "class_id", "n")
-        sizes = found.groupBy("pool").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("tokens"), F.min("class_id").alias("pivot")).where("size > 1")
+        found = members.join(classes.where("class_id is not null").select("name", "n", "class_id"), ["name", "n"]).select("pool", "class_id", "n", "share")
+        sizes = found.groupBy("pool").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("tokens"), _central().alias("pivot")).where("size > 1")
         blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
-        self.pools = materialize(found.join(sizes, "pool").select("pool", "class_id", "pivot", blocks.alias("blocks")), "pools")
+        self.pools = materialize(found.join(sizes, "pool").select("pool", "class_id", "share", "pivot", blocks.alias("blocks")), "pools")
 
     def with_tokens(self, rows: DataFrame) -> DataFrame:
-        wanted = rows.select(F.col("class_id").alias("wanted_id")).distinct()
-        few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-        chosen = self.texts.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("wanted_id"), "left_semi")
-        # Rows that repeat come twice here; of one doc_id with several texts, each is looked at.
-        return rows.join(_sets(chosen, self.size).where("n > 0").select(F.col("doc_id").alias("class_id"), "tokens").distinct(), "class_id")
+        """The rows of a written table with their sets' hashes; a doc_id with several texts has a row for each."""
+        few = rows.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        met = self.texts.join(F.broadcast(rows) if few else rows, F.col("doc_id") == F.col("class_id")).drop("doc_id")
+        return _with_sets(met, self.size)
 
     def small(self) -> DataFrame:
         rows = self.pools.where("blocks = 1").select("pool", F.lit(0).alias("first"), F.lit(0).alias("second"), "class_id", F.col("class_id").alias("component"))
@@ -282,15 +302,15 @@ class _Linker:
             named = ids.join(label, F.col("class_id") == F.col("id"), "left").select("class_id", F.coalesce("component", "class_id").alias("component"))
             home = named.select(F.col("class_id").alias("pivot"), F.col("component").alias("home"))
             state = state.drop("component", "home").join(named, "class_id").join(home, "pivot")
-            outside = F.when(F.col("component") != F.col("home"), F.col("class_id"))
-            nexts = state.groupBy("pool").agg(F.min(outside).alias("next"), F.count(outside).alias("outside"), F.count(F.lit(1)).alias("all"))
+            outside = F.col("component") != F.col("home")
+            nexts = state.groupBy("pool").agg(_central(outside).alias("next"), F.count_if(outside).alias("outside"), F.count(F.lit(1)).alias("all"))
             state = materialize(state.join(nexts.where("outside > 0"), "pool"), "outside")
             before, left = left, state.where("component <> home").count()
             if not left:
                 return edges
             if 2 * left > before:
                 break
-            state = state.select("pool", "class_id", F.col("next").alias("pivot"), "blocks", "component")
+            state = state.select("pool", "class_id", "share", F.col("next").alias("pivot"), "blocks", "component")
         # Blocks of the component's sets come before those of the others; pairs of two of the former are not made.
         state = state.withColumn("out", F.ceil(F.col("blocks") * F.col("outside") / F.col("all")).cast("int"))
         hashed = F.xxhash64("class_id")
