@@ -6,6 +6,10 @@
 4. Mixture: documents and token prefixes by target weights and seeded epochs.
 5. Token output: Arrow files of equal-length sequences; the result has each document's place in them.
 
+Every stage but the last returns the columns of its documents. Null and empty texts go in stage 1, as they have no
+language; repeated rows of a document that stays stay in stages 1 to 3 and are taken one by one in stage 4. Columns of other
+names, also such as the operators use, pass through; texts of any length are read whole; without documents there is no row.
+
 The model of stage 1 learns from the documents themselves, so no SQL gives the pipeline's rows.
 """
 
@@ -16,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from newslink.llm import decontam, jaccard, langid, mixing, tokens
 from newslink.llm.common import materialize, table
+from newslink.sources.storage import discard
 
 #: A language is clear if its mean probability over the words is at least this much (an even share of four is 0.25).
 CLEAR = 0.3
@@ -54,7 +59,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

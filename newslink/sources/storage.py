@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,12 +28,27 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return folder
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+_made: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that are materialized inside are deleted at the end, but for those with keep=True."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        discard(*_made.pop())
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     stored = df.sparkSession.read.schema(df.schema).parquet(path)
     stored.stored_at = path
+    if _made and not keep:
+        _made[-1].append(stored)
     return stored
 
 
