@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from newslink.sources.storage import discard, materialize, shared_dir
+from newslink.sources.storage import materialize, scratch, shared_dir
 
-__all__ = ["discard", "materialize", "shared_dir"]
+__all__ = ["materialize", "scratch", "shared_dir"]
 
 #: Text characters that one numpy step handles at most (a single longer text makes a step of its own).
 STEP_CHARS = 500_000

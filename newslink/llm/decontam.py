@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newslink.llm.common import pick, materialize
+from newslink.llm.common import materialize, pick, scratch
 
 WINDOW = 10
 #: Words of a shingle; windows of fewer words are searched by shingles of their own size.
@@ -122,7 +122,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Null and empty texts stay; repeated rows stay or go together; columns of any name may be among them.
     """
-    hits = materialize(occurrences(cut_words(docs), benchmark).select(F.col("doc_id").alias("__hit_id"), F.col("text_key").alias("__hit_key")).distinct(), "hits")
+    with scratch():
+        found = occurrences(cut_words(docs), benchmark).select(F.col("doc_id").alias("__hit_id"), F.col("text_key").alias("__hit_key")).distinct()
+        hits = materialize(found, "hits", keep=True)
     return docs.join(_sized(hits), docs["doc_id"].cast("bigint").eqNullSafe(F.col("__hit_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__hit_key")), "left_anti")
 
 

@@ -42,7 +42,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newslink.llm.common import STEP_CHARS, SegmentHasher, materialize, mix, pick, raw_texts, slices
+from newslink.llm.common import STEP_CHARS, SegmentHasher, materialize, mix, pick, raw_texts, scratch, slices
 from newslink.operators.graph import components
 
 SHINGLE = 4
@@ -154,6 +154,8 @@ def pools(prefixes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     rows = prefixes.select("name", "n", F.explode("prefix").alias("token"))
     shared = rows.groupBy("token").agg(F.min("name").alias("pool"), F.max("name").alias("high"), F.count(F.lit(1)).alias("often")).where("pool <> high").drop("high")
+    # Written, so that the join reads both sides from shuffles and can split a frequent token's rows among tasks.
+    shared = materialize(shared, "tokens")
     # Under another name and value, the token's rows can be split among tasks: nothing after the join asks for them together.
     live = rows.join(shared, "token").select("pool", "often", F.bitwise_not("token").alias("other"), "name", "n").distinct()
     by_set = W.partitionBy("name", "n")
@@ -270,8 +272,9 @@ class _Linker:
 
     def __init__(self, texts: DataFrame, classes: DataFrame, members: DataFrame, size: int, percent: int):
         self.texts, self.size, self.percent = texts, size, percent
-        found = members.join(classes.where("class_id is not null").select("name", "n", "class_id"), ["name", "n"]).select("pool", "class_id", "n", "share")
+        found = materialize(members.join(classes.where("class_id is not null").select("name", "n", "class_id"), ["name", "n"]).select("pool", "class_id", "n", "share"), "found")
         sizes = found.groupBy("pool").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("tokens"), _central().alias("pivot")).where("size > 1")
+        sizes = materialize(sizes, "sizes")
         blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
         self.pools = materialize(found.join(sizes, "pool").select("pool", "class_id", "share", "pivot", blocks.alias("blocks")), "pools")
 
@@ -300,11 +303,12 @@ class _Linker:
             edges = materialize(found if edges is None else edges.unionByName(found), "pivot-links")
             label = components(edges)
             named = ids.join(label, F.col("class_id") == F.col("id"), "left").select("class_id", F.coalesce("component", "class_id").alias("component"))
-            home = named.select(F.col("class_id").alias("pivot"), F.col("component").alias("home"))
-            state = state.drop("component", "home").join(named, "class_id").join(home, "pivot")
+            named = materialize(named, "named")
+            homes = state.where("class_id = pivot").select("pool", "class_id").join(named, "class_id").select("pool", F.col("component").alias("home"))
+            state = materialize(state.drop("component").join(named, "class_id").join(materialize(homes, "homes"), "pool"), "labelled")
             outside = F.col("component") != F.col("home")
             nexts = state.groupBy("pool").agg(_central(outside).alias("next"), F.count_if(outside).alias("outside"), F.count(F.lit(1)).alias("all"))
-            state = materialize(state.join(nexts.where("outside > 0"), "pool"), "outside")
+            state = materialize(state.join(materialize(nexts.where("outside > 0"), "nexts"), "pool"), "outside")
             before, left = left, state.where("component <> home").count()
             if not left:
                 return edges
@@ -340,7 +344,9 @@ def drop_near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
     Rows with a null doc_id stay, as do all rows of a doc_id that stays; null and empty texts stay. Columns of any name may
     be among them; an empty table gives no row.
     """
-    copies = materialize(jaccard_components(docs, size, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("__copy_id")).distinct(), "copies")
+    with scratch():
+        found = jaccard_components(docs, size, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("__copy_id")).distinct()
+        copies = materialize(found, "copies", keep=True)
     few = copies.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(copies) if few else copies, docs["doc_id"].cast("bigint") == F.col("__copy_id"), "left_anti")
 

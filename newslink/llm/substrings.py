@@ -1,22 +1,25 @@
-"""Exact substring deduplication by bucket-pointer refinement over a partitioned suffix collection.
+"""Exact substring deduplication over a partitioned collection of suffixes that are refined in buckets.
 
 A byte goes if a string of LENGTH bytes that covers it also starts in a document with a smaller doc_id. Suffixes are
-put in buckets by their first GRAM bytes; a bucket is refined by the bucket identifiers of later offsets, first GRAM + 1
-bytes on, then as far as LENGTH; identifiers once made are used again for every longer string. Three things keep the
-buckets small:
+put in buckets by two grams of GRAM bytes, the second one STEP bytes on. Three things keep the buckets small:
 
 * Of the suffixes in each stretch of LENGTH bytes, the one whose gram has the least hash stands for all strings that
   share it (a segment). Equal strings have the same representative, so equal segments meet in one bucket.
-* A batch of documents (a range of doc_id) sends each different segment of a bucket once. A segment that an earlier
-  batch has sent is repeated as a whole; a bucket whose segments are all equal, or that one batch alone has sent, needs
-  no refinement.
-* Only segments of mixed buckets that are not repeated as a whole are refined to all their strings.
-
-The identifiers are 64-bit hashes of the bytes. What batches get back is one flag for each segment they have sent, in
-the order sent; they compute the same list again from their documents.
+* A batch of documents (a range of doc_id) sends each different segment of a bucket once, with an identifier of its whole
+  content. A segment that an earlier batch has sent is repeated as a whole and is not refined.
+* Only segments of buckets with several contents that are not repeated as a whole are refined to all their strings of
+  LENGTH bytes; a string's identifier is made of those of its eight-byte words, one offset after the other.
+
+This is less than bucket-pointer refinement by name: buckets are refined once by the identifier of a later offset and then
+by identifiers of whole contents, not by sorting again and again on the buckets of later offsets, and no suffix order is
+made. Identifiers that all batches agree on and that are refined to 50 bytes would send every suffix in each round.
+Contents match by 64 bits of the content and 64 bits of the bucket together, single strings by 64 bits; bytes are not
+compared. What batches get back is one flag for each segment they have sent, in the order sent; they compute the same list
+again from their documents.
 
 Null and empty texts, and texts under LENGTH bytes, lose nothing. Rows with the same doc_id do not repeat each other.
-A null doc_id counts as smaller than all others. An empty table gives no row.
+A null doc_id counts as smaller than all others. An empty table gives no row. Bytes need not be UTF-8; columns beside
+doc_id and text are not looked at. A very long text is one batch's, whatever its length.
 """
 
 from __future__ import annotations
