@@ -78,6 +78,20 @@ def editor_type(user: Column) -> Column:
     return F.when(v4, "ipv4").when(v6, "ipv6").otherwise("registered")
 
 
+def ip_bits(ip: Column) -> Column:
+    """The 32 or 128 bits of an IPv4 or IPv6 address as a string of 0 and 1; null for what is no address."""
+    octets = F.split(ip, r"\.")
+    v4 = F.array_join(F.transform(octets, lambda o: F.lpad(F.bin(o.cast("bigint")), 8, "0")), "")
+    sides = F.transform(F.split(ip, "::"), lambda s: F.filter(F.split(s, ":"), lambda g: g != ""))
+    left, right = sides[0], F.coalesce(F.get(sides, F.lit(1)), F.array().cast("array<string>"))
+    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(0)))
+    groups = F.when(ip.contains("::"), F.concat(left, zeros, right)).otherwise(left)
+    v6 = F.array_join(F.transform(groups, lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")), "")
+    is_v4 = ip.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$") & F.forall(octets, lambda o: o.cast("int") <= 255)
+    is_v6 = ip.rlike(r"^[0-9a-fA-F:]*:[0-9a-fA-F:]*$") & ~ip.rlike("[0-9a-fA-F]{5}") & (F.size(groups) == 8) & (F.size(F.split(ip, "::")) <= 2)
+    return F.when(is_v4, v4).when(is_v6, v6)
+
+
 def json_from_text(text: Column, schema: str) -> Column:
     """The JSON object within free text; null where there is none or it is malformed."""
     return F.from_json(F.regexp_extract(text, r"(?s)\{.*\}", 0), schema)

@@ -11,21 +11,26 @@ from newslink.operators.tfidf import content_weights, pairs_of
 from newslink.sources.storage import discard, materialize
 
 
-def keep_first(df: DataFrame, keys: list, order: list) -> DataFrame:
-    """One row for each combination of keys (nulls are equal): the first in the given order."""
-    return df.withColumn("__rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("__rank = 1").drop("__rank")
+def keep_first(df: DataFrame, keys: list, order: Column) -> DataFrame:
+    """One row for each combination of keys (nulls are equal): the one with the least order.
+
+    An aggregate, so that the rows of a frequent key are reduced before they are shuffled.
+    """
+    named = [(k if isinstance(k, Column) else F.col(k)).alias(f"__key{i}") for i, k in enumerate(keys)]
+    return df.groupBy(*named).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), order).alias("__row")).select("__row.*")
 
 
 def by_content_id(art: DataFrame) -> DataFrame:
-    return keep_first(art, ["content_id"], [F.desc("id")])
+    return keep_first(art, ["content_id"], -F.col("id"))
 
 
 def by_head_and_link(art: DataFrame) -> DataFrame:
-    return keep_first(art, ["head", "article_link"], [F.desc("id")])
+    return keep_first(art, ["head", "article_link"], -F.col("id"))
 
 
-def newest() -> list:
-    return [F.desc_nulls_last("pubtime"), F.col("id")]
+def newest() -> Column:
+    """The latest pubtime first, null ones last, ties by id."""
+    return F.struct(F.coalesce(-F.unix_micros(F.col("pubtime").cast("timestamp")), F.lit(2**63 - 1)), "id")
 
 
 def by_url_segment(art: DataFrame, url: Column) -> DataFrame:
@@ -64,7 +69,7 @@ def by_reachability(art: DataFrame, group: list[str], threshold: float) -> DataF
     valid = art.where(F.length(F.trim(F.coalesce("content", F.lit("")))) > 0).select("id", block.alias("block"), "pubtime", F.col("content").alias("text"))
     pairs = pairs_of(content_weights(valid.select("id", "block", "text")), threshold, strict=False)
     arcs = materialize(pairs.select("i", "j").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"))), "arcs")
-    first = F.row_number().over(W.partitionBy("block").orderBy(*newest())) == 1
+    first = F.row_number().over(W.partitionBy("block").orderBy(newest())) == 1
     state = materialize(valid.select("id", "block", "pubtime").withColumn("in", first).drop("pubtime"), "reach")
     reached = state.where("in").count()
     while True:

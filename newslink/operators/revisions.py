@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import difflib
+import hashlib
 import html
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -13,14 +15,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: What is stripped from article HTML, and void elements that have no end tag.
-DROP_CLASSES = ("mw-editsection", "reference", "navbox", "metadata", "noprint")
-DROP_IDS = ("toc", "catlinks", "siteSub", "contentSub", "jump-to-nav")
+#: Classes (one, or a whole attribute), ids (their first element) and tags that are stripped from article
+#: HTML; void elements; elements that are diffed; beginnings of lines that a wiki parser reports about itself.
+DROP_CLASSES = ("mw-editsection", "sisterproject", "coordinates plainlinks-print", "references", "NavFrame erweiterte-navigationsleiste navigation-not-searchable erw-nav-farbschema-blau")
+DROP_IDS = ("Weblinks", "Einzelnachweise", "Vorlage_Begriffsklärungshinweis", "Literatur", "normdaten")
 DROP_TAGS = ("li", "sup")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 BLOCKS = ("title", "h1", "p", "th")
-#: Beginnings of lines that a wiki parser reports about itself.
-REPORT_PREFIXES = ("NewPP", "Cached time", "Cache expiry", "Reduced expiry", "Complications", "CPU time usage", "Real time usage", "Preprocessor", "Transclusion", "Saved in parser cache")
+REPORT_LINES = ("NewPP", "Cache expiry", "CPU time usage", "Real time usage", "Preprocessor visited node count", "Post-expand", "Unstrip", "RevisionOutputCache", "Transclusion expansion time report", "Saved in parser cache")
 TOKEN = re.compile(r"\w+|[^\w\s]|\s+")
 
 
@@ -30,24 +32,33 @@ class _Rewriter(HTMLParser):
     def __init__(self, strip: bool):
         super().__init__(convert_charrefs=False)
         self.strip, self.out, self.skipping, self.seen_ids, self.links = strip, [], [], set(), []
+        self.hidden = 0  # depth of skipping from which on nothing has an id any more
+
+    def _by_class(self, attrs: dict) -> bool:
+        names = (attrs.get("class") or "").split()
+        return any(c in names or c == " ".join(names) for c in DROP_CLASSES)
 
     def _drops(self, tag: str, attrs: dict) -> bool:
+        """Classes go first, then the first element left of each id (which may be in an element that goes by its tag)."""
         if not self.strip:
             return False
+        if self._by_class(attrs):
+            self.hidden = self.hidden or len(self.skipping) + 1
+            return True
         ident = attrs.get("id")
-        first = ident in DROP_IDS and ident not in self.seen_ids
-        if first:
+        if not self.hidden and ident in DROP_IDS and ident not in self.seen_ids:
             self.seen_ids.add(ident)
-        return tag in DROP_TAGS or first or any(c in DROP_CLASSES for c in (attrs.get("class") or "").split())
+            self.hidden = len(self.skipping) + 1
+            return True
+        return tag in DROP_TAGS
 
     def handle_starttag(self, tag, attrs):
-        if self.skipping:
-            if tag not in VOID:
-                self.skipping.append(tag)
-            return
-        if self._drops(tag, dict(attrs)):
+        drops = self._drops(tag, dict(attrs))
+        if self.skipping or drops:
             if tag not in VOID:
                 self.skipping.append(tag)
+            elif self.hidden > len(self.skipping):
+                self.hidden = 0
             return
         href = dict(attrs).get("href") or ""
         if tag == "a":
@@ -55,7 +66,10 @@ class _Rewriter(HTMLParser):
         self.out.append(self.get_starttag_text())
 
     def handle_startendtag(self, tag, attrs):
-        if not self.skipping:
+        if self._drops(tag, dict(attrs)):
+            if self.hidden > len(self.skipping):
+                self.hidden = 0
+        elif not self.skipping:
             self.out.append(self.get_starttag_text())
 
     def handle_endtag(self, tag):
@@ -63,6 +77,8 @@ class _Rewriter(HTMLParser):
             if tag in self.skipping:
                 while self.skipping.pop() != tag:
                     pass
+                if self.hidden > len(self.skipping):
+                    self.hidden = 0
             return
         if tag == "a" and self.links:
             at, internal = self.links.pop()
@@ -81,6 +97,9 @@ class _Rewriter(HTMLParser):
     def handle_charref(self, name):
         self.handle_data(f"&#{name};")
 
+    def handle_comment(self, data):
+        self.handle_data(f"<!--{data}-->")
+
     def handle_decl(self, decl):
         self.handle_data(f"<!{decl}>")
 
@@ -159,6 +178,8 @@ def revision_diff(revisions: DataFrame) -> DataFrame:
     Unchanged revisions are left out before the Python function sees them.
     """
     changed = with_previous(revisions).where(~F.col("content").eqNullSafe(F.col("prev_content")))
+    # Diffs of one article are independent once each row has its predecessor: they are dealt to all tasks.
+    changed = changed.repartition("article_id", "revid")
     return changed.select("article_id", "revid", "user_name", diff_ops(F.coalesce("prev_content", F.lit("")), "content").alias("ops"))
 
 
@@ -173,34 +194,132 @@ def token_delta(revisions: DataFrame) -> DataFrame:
 
 
 def is_report_line(text: Column) -> Column:
-    return F.trim(text).rlike("(?i)^(" + "|".join(REPORT_PREFIXES) + ")")
+    """Whether a text begins with one of REPORT_LINES, in upper or lower case."""
+    return F.coalesce(text, F.lit("")).rlike("(?i)^(?:" + "|".join(REPORT_LINES) + ")")
 
 
-def change_view(requests: DataFrame, diffs: DataFrame, revisions: DataFrame) -> DataFrame:
-    """requests(request, article_id, lo, hi): the last revision's text with every change in range marked by its user.
+class _Nodes(HTMLParser):
+    """HTML as a list of nodes (kind, value, tag): text is unescaped, everything else as it stands."""
+
+    def __init__(self, text: str):
+        super().__init__(convert_charrefs=True)
+        self.nodes: list[tuple[str, str, str]] = []
+        self.feed(text)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.nodes.append(("start", self.get_starttag_text(), tag))
+
+    def handle_startendtag(self, tag, attrs):
+        self.nodes.append(("void", self.get_starttag_text(), tag))
+
+    def handle_endtag(self, tag):
+        self.nodes.append(("end", f"</{tag}>", tag))
+
+    def handle_data(self, data):
+        self.nodes.append(("raw" if self.cdata_elem else "text", data, ""))
+
+    def handle_comment(self, data):
+        self.nodes.append(("comment", f"<!--{data}-->", ""))
+
+    def handle_decl(self, decl):
+        self.nodes.append(("decl", f"<!{decl}>", ""))
+
+    def blocks(self) -> dict[tuple[str, int], tuple[int, int, str]]:
+        """The k-th outermost closed element of each tag in BLOCKS: its first and last node, its texts joined by blanks."""
+        found, counts, tag, begin, depth = {}, Counter(), "", 0, 0
+        for i, (kind, _, name) in enumerate(self.nodes):
+            if not tag and kind == "start" and name in BLOCKS:
+                tag, begin, depth = name, i, 1
+            elif tag and name == tag:
+                depth += (kind == "start") - (kind == "end")
+                if not depth:
+                    text = " ".join(value for k, value, _ in self.nodes[begin:i] if k == "text")
+                    found[tag, counts[tag]] = (begin, i, text)
+                    counts[tag] += 1
+                    tag = ""
+        return found
+
 
-    A change is marked at the first place where its text stands (additions) or put at the end (deletions).
+def _html(nodes: list) -> str:
+    return "".join(html.escape(value, quote=False) if kind == "text" else value for kind, value, *_ in nodes)
+
+
+def _span(op: str, text: str, user: str, color: str = "orange") -> list[tuple[str, str, str]]:
+    style = f"background-color: {color};" if op == "+" else f"text-decoration: line-through; text-decoration-color: {color};"
+    name = html.escape(user, quote=True)
+    return [("start", f'<span style="{style}" user-{"add" if op == "+" else "del"}="{name}">', "span"), ("text", text, ""), ("end", "</span>", "span")]
+
+
+def splice_diff(old: str | None, new: str | None, user: str | None) -> dict:
+    """The new page with the changes of each title, h1, p and th marked in spans, and the marks alone.
+
+    A block is compared with the old page's block of the same tag and place; blocks without one stay as they are. Blocks
+    within others and blocks that are not closed belong to what is around them.
     """
-    within = diffs.join(requests, "article_id").where("revid between lo and hi")
-    last = revisions.join(requests, "article_id").where("revid between lo and hi").groupBy("request").agg(F.max_by("content", "revid").alias("base"))
-    rows = within.join(last, "request").select("request", "revid", "user_name", "ops", "base")
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("revid")
-        text = html.escape(group["base"].iloc[0] or "")
-        marks = 0
-        for user, ops in zip(group["user_name"], group["ops"], strict=True):
-            for op in ops:
-                piece = html.escape(op["text"])
-                if op["op"] == " " or not piece.strip():
-                    continue
-                tag = "ins" if op["op"] == "+" else "del"
-                span = f'<{tag} data-user="{html.escape(user or "", quote=True)}">{piece}</{tag}>'
-                if tag == "ins" and piece in text:
-                    text = text.replace(piece, span, 1)
+    page, before = _Nodes(new or ""), _Nodes(old or "").blocks()
+    out, at, spans = [], 0, []
+    for key, (begin, end, text) in sorted(page.blocks().items(), key=lambda x: x[1][0]):
+        if key in before and before[key][2] != text:
+            out += page.nodes[at : begin + 1]
+            for run in diff_tokens(before[key][2], text):
+                if run["op"] == " ":
+                    out.append(("text", run["text"], ""))
                 else:
-                    text += span if tag == "del" else ""
-                marks += 1
-        return pd.DataFrame({"request": [group["request"].iloc[0]], "marks": [marks], "html": [text]})
+                    out += _span(run["op"], run["text"], user or "")
+                    spans.append({"op": run["op"], "text": run["text"]})
+            at = end
+    return {"html": _html(out + page.nodes[at:]), "spans": spans}
+
+
+_SPLICED = T.StructType([T.StructField("html", T.StringType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("text", T.StringType())])))])
+
+
+@F.pandas_udf(_SPLICED)
+def _spliced(old: pd.Series, new: pd.Series, user: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([splice_diff(*x) for x in zip(old, new, user, strict=True)], columns=["html", "spans"])
+
+
+def html_diffs(pages: DataFrame) -> DataFrame:
+    """(article_id, revid, user_name, html, spans) of every changed HTML revision against its predecessor."""
+    changed = with_previous(pages).where(~F.col("content").eqNullSafe(F.col("prev_content"))).repartition("article_id", "revid")
+    return changed.select("article_id", "revid", "user_name", _spliced("prev_content", "content", "user_name").alias("d")).select("article_id", "revid", "user_name", "d.html", "d.spans")
+
+
+def merge_marks(base: str | None, marks: list[tuple[str, list[dict]]]) -> tuple[int, str]:
+    """The base page with each mark put where its text first stands in a text node; how many were put.
+
+    marks: user and spans, oldest first; of one user's spans additions come before deletions. A mark whose text stands
+    nowhere is left out. Comments and lines that a wiki parser reports go; spans get the colour of their user.
+    """
+    nodes = [n for n in _Nodes(base or "").nodes if n[0] != "comment"]
+    put = 0
+    for user, spans in marks:
+        color = "#" + hashlib.md5((user or "").encode()).hexdigest()[:6]
+        for span in sorted(spans, key=lambda x: x["op"] != "+"):
+            for i, (kind, value, _) in enumerate(nodes):
+                if kind == "text" and span["text"] and span["text"] in value:
+                    before, after = value.split(span["text"], 1)
+                    nodes[i : i + 1] = [("text", before, "")] * bool(before) + _span(span["op"], span["text"], user or "", color) + [("text", after, "")] * bool(after)
+                    put += 1
+                    break
+    return put, _html([n for n in nodes if n[0] != "text" or not REPORT.match(n[1])])
+
+
+REPORT = re.compile("|".join(REPORT_LINES), re.IGNORECASE)
+
+
+def change_view(requests: DataFrame, diffs: DataFrame, revisions: DataFrame) -> DataFrame:
+    """requests(request, article_id, lo, hi): the last revision's page with every change in range marked by its user.
+
+    The base page and the marks of a request meet in one group; its size is that of the request, which is bounded.
+    """
+    within = diffs.join(requests, "article_id").where("revid between lo and hi").select("request", "revid", "user_name", "spans")
+    last = revisions.join(requests, "article_id").where("revid between lo and hi").groupBy("request").agg(F.max_by("content", F.struct("ts", "revid")).alias("base")).toDF("request", "base")
+
+    def merge(base: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
+        marks = marks.sort_values("revid")
+        put, page = merge_marks(base["base"].iloc[0] if len(base) else "", list(zip(marks["user_name"], marks["spans"], strict=True)))
+        return pd.DataFrame({"request": [(base if len(base) else marks)["request"].iloc[0]], "marks": [put], "html": [page]})
 
-    return rows.groupBy("request").applyInPandas(merge, "request bigint, marks bigint, html string")
+    return last.groupBy("request").cogroup(within.groupBy("request")).applyInPandas(merge, "request bigint, marks bigint, html string")

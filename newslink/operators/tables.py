@@ -34,7 +34,7 @@ def source_query(art: DataFrame, media: list[str], start: str, end: str, lang: s
 
 def insert_ignore(target: DataFrame, source: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The rows to append: first of each key in the source, keys of the target left out."""
-    return keep_first(source, keys, order).join(target.select(*keys), keys, "left_anti")
+    return keep_first(source, keys, F.struct(*order)).join(target.select(*keys), keys, "left_anti")
 
 
 def upsert(target: DataFrame, source: DataFrame, key: str, values: list[str]) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from newslink.functions.scalars import ip_bits
+
 
 def revision_range(revisions: DataFrame, requests: DataFrame) -> DataFrame:
     """requests(request, article_id, rev_a, rev_b): all revisions between the times of the two, in either order."""
@@ -34,10 +36,18 @@ def nearest(points: DataFrame, revisions: DataFrame) -> DataFrame:
     return as_of(points, revisions).withColumn("nearest", near)
 
 
-def enrich_ips(log: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """The longest of the networks that cover each IPv4 editor: joined on masked octets for each prefix length."""
-    octets = F.split("user_name", r"\.")
-    v4 = log.where(F.col("user_name").rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")).select("revid", "user_name", *[octets[i].cast("int").alias(f"q{i + 1}") for i in range(3)])
-    keyed = v4.select("revid", "user_name", "q1", "q2", F.explode(F.array(F.lit(-1), F.col("q3"))).alias("q3"))
-    found = keyed.join(prefixes, (F.col("q1") == F.col("o1")) & (F.col("q2") == F.col("o2")) & (F.col("q3") == F.col("o3")))
-    return found.groupBy("revid", "user_name").agg(F.max(F.struct("plen", "asn", "org")).alias("m")).select("revid", "user_name", "m.plen", "m.asn", "m.org")
+def enrich_ips(log: DataFrame, networks: DataFrame) -> DataFrame:
+    """log(revid, user_name, ts): the longest network that covers each IPv4 or IPv6 editor at the time of the edit.
+
+    networks(prefix, since, until, asn, org): prefixes as text, of any length, valid from since until before until (null:
+    no bound). Addresses are joined on their first bits for each prefix length that occurs; a family has 33 or 129 at most.
+    """
+    parts = F.split("prefix", "/")
+    nets = networks.withColumns({"bits": ip_bits(parts[0]), "plen": parts[1].cast("int")}).where("bits is not null")
+    nets = nets.select(F.length("bits").alias("family"), "plen", F.substring("bits", F.lit(1), F.col("plen")).alias("net"), "since", "until", "asn", "org")
+    lengths = nets.groupBy("family").agg(F.collect_set("plen").alias("lengths"))
+    asked = log.select("revid", "user_name", "ts", ip_bits(F.col("user_name")).alias("bits")).where("bits is not null")
+    keyed = asked.withColumn("family", F.length("bits")).join(F.broadcast(lengths), "family").select("revid", "user_name", "ts", "family", "bits", F.explode("lengths").alias("plen"))
+    keyed = keyed.withColumn("net", F.substring("bits", F.lit(1), F.col("plen"))).drop("bits")
+    met = keyed.join(nets, ["family", "plen", "net"]).where("(since is null or since <= ts) and (until is null or ts < until)")
+    return met.groupBy("revid", "user_name").agg(F.max(F.struct("plen", "asn", "org")).alias("m")).select("revid", "user_name", "m.plen", "m.asn", "m.org")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newslink.functions.scalars import sentences, word_count
+from newslink.operators.events import ENTITY
 from newslink.operators.tfidf import tokens
 
 NO_SUMMARY = "Keine Zusammenfassung verfügbar."
@@ -23,19 +25,28 @@ def chunks(texts: DataFrame, key: str, words: int, limit: int | None = None) ->
 
     All chunks of a text, or the first `limit` (5 for the summary step).
     """
-    start = F.array().cast("array<struct<words: bigint, text: string>>")
+    cut = texts.select(key, sentences(F.coalesce("text", F.lit(""))).alias("s")).withColumn("n", F.transform("s", word_count))
+    placed = cut.withColumn("chunk", _packing(words)(F.col("n")))
+    each = placed.select(key, F.posexplode(F.arrays_zip("chunk", "n", "s")).alias("place", "x")).select(key, "x.chunk", "place", "x.n", "x.s")
+    taken = each if limit is None else each.where(F.col("chunk") < limit)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "s"))), lambda x: x["s"]), " ")
+    return taken.groupBy(key, "chunk").agg(F.sum("n").alias("words"), joined.alias("text"))
 
-    def pack(done, s):
-        n = word_count(s)
-        last = F.try_element_at(done, F.lit(-1))
-        joined = F.struct((last["words"] + n).alias("words"), F.concat_ws(" ", last["text"], s).alias("text"))
-        alone = F.struct(n.alias("words"), s.alias("text"))
-        room = F.coalesce(last["words"] + n <= words, F.lit(False))
-        return F.when(room, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(alone)))
 
-    packed = F.aggregate(sentences(F.coalesce("text", F.lit(""))), start, pack)
-    taken = packed if limit is None else F.slice(packed, 1, limit)
-    return texts.select(key, F.posexplode(taken).alias("chunk", "c")).select(key, F.col("chunk").cast("bigint").alias("chunk"), "c.words", "c.text")
+def _packing(words: int):
+    """A function of arrays of word counts: the chunk of each sentence, in one pass over them."""
+
+    def place(column: pa.Array) -> pa.Array:
+        out = []
+        for counts in column.to_pylist():
+            chunk, filled, chunks = -1, words + 1, []
+            for n in counts:
+                chunk, filled = (chunk + 1, n) if chunk < 0 or filled + n > words else (chunk, filled + n)
+                chunks.append(chunk)
+            out.append(chunks)
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return F.arrow_udf(place, "array<bigint>")
 
 
 def summaries(clusters: DataFrame, members: DataFrame, size: int) -> DataFrame:
@@ -76,11 +87,23 @@ def relevant(titles: DataFrame, summaries: DataFrame) -> DataFrame:
     return joined.withColumn("some", some).where("fits or not some").select("cluster", "title")
 
 
-def gather(texts: DataFrame, key: str, size: int) -> DataFrame:
-    """(key, n, joined): all pieces of `size` characters numbered and gathered again in order; an empty text has none."""
+def chunk_titles(chunks: DataFrame, key: str, size: int) -> DataFrame:
+    """chunks(key, chunk, text) to (key, n, titles): the first `size` capitalised words of every chunk, flattened in order."""
+    found = F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit(ENTITY), F.lit(1))), 1, size)
+    ordered = F.array_sort(F.collect_list(F.struct("chunk", found.alias("titles"))))
+    return chunks.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.flatten(F.transform(ordered, lambda x: x["titles"])).alias("titles"))
+
+
+def pieces(texts: DataFrame, key: str, size: int) -> DataFrame:
+    """(key, chunk, text): a text's pieces of `size` characters; an empty text has none."""
     count = F.ceil(F.length("text") / size).cast("int")
     cut = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.substring("text", k * size + 1, F.lit(size)))
-    none = F.array().cast("array<string>")
-    pieces = texts.where("text is not null").select(key, F.posexplode_outer(F.when(count > 0, cut).otherwise(none)).alias("k", "piece"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"])
-    return pieces.groupBy(key).agg(F.count("piece").alias("n"), F.array_join(ordered, "").alias("joined"))
+    return texts.where("length(text) > 0").select(key, F.posexplode(cut).alias("chunk", "text"))
+
+
+def gather(texts: DataFrame, key: str, size: int) -> DataFrame:
+    """(key, n, joined): all pieces of `size` characters numbered and gathered again in order; an empty text has none."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("chunk", "text"))), lambda x: x["text"])
+    joined = pieces(texts, key, size).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.array_join(ordered, "").alias("joined"))
+    empty = texts.where("length(text) = 0").select(key, F.lit(0).cast("bigint").alias("n"), F.lit("").alias("joined"))
+    return joined.unionByName(empty)

@@ -85,11 +85,13 @@ def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
     return T.chunks(X.read(spark, d, "documents").select("doc_id", "text"), "doc_id", 1000)
 
 
-@query(f"""WITH {X.CLUSTERS}, {CL_M}, s AS (SELECT leader, id, unnest({SENT.format('content')}) AS sentence FROM m JOIN art USING (id)),
- d AS (SELECT DISTINCT leader, sentence FROM s), tok AS (SELECT leader, sentence, unnest(list_distinct(regexp_extract_all(lower(sentence), '[\\p{{L}}\\p{{N}}_]{{2,}}'))) AS term FROM d), tk AS (SELECT * FROM tok WHERE term NOT IN {STOPS}),
- f AS (SELECT leader, term, count(*) AS f FROM tk GROUP BY ALL), sc AS (SELECT d.leader, d.sentence, CAST(coalesce(sum(f), 0) AS BIGINT) AS score FROM d LEFT JOIN tk USING (leader, sentence) LEFT JOIN f ON f.leader = d.leader AND f.term = tk.term GROUP BY ALL),
- top AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY leader ORDER BY score DESC, sentence) <= 4)
- SELECT c.cluster_id AS leader, coalesce(string_agg(sentence, ' ' ORDER BY score DESC, sentence), 'Keine Zusammenfassung verfügbar.') AS summary FROM cl c LEFT JOIN top ON top.leader = c.cluster_id GROUP BY ALL""")
+SUMMARY_C = f"""sn AS (SELECT leader, id, unnest({SENT.format('content')}) AS sentence FROM m JOIN art USING (id)),
+ ds AS (SELECT DISTINCT leader, sentence FROM sn), tok AS (SELECT leader, sentence, unnest(list_distinct(regexp_extract_all(lower(sentence), '[\\p{{L}}\\p{{N}}_]{{2,}}'))) AS term FROM ds), tk AS (SELECT * FROM tok WHERE term NOT IN {STOPS}),
+ f AS (SELECT leader, term, count(*) AS f FROM tk GROUP BY ALL), sc AS (SELECT ds.leader, ds.sentence, CAST(coalesce(sum(f), 0) AS BIGINT) AS score FROM ds LEFT JOIN tk USING (leader, sentence) LEFT JOIN f ON f.leader = ds.leader AND f.term = tk.term GROUP BY ALL),
+ top AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY leader ORDER BY score DESC, sentence) <= 4)"""
+
+
+@query(f"WITH {X.CLUSTERS}, {CL_M}, {SUMMARY_C} SELECT c.cluster_id AS leader, coalesce(string_agg(sentence, ' ' ORDER BY score DESC, sentence), 'Keine Zusammenfassung verfügbar.') AS summary FROM cl c LEFT JOIN top ON top.leader = c.cluster_id GROUP BY ALL")
 def cluster_summary_extract(spark: SparkSession, d: str) -> DataFrame:
     art, m = _members(spark, d)
     return T.summaries(X.clusters(art).select(F.col("cluster_id").alias("leader")), m.join(art.select("id", "content"), "id"), 4)
@@ -122,13 +124,26 @@ def titles_validated(spark: SparkSession, d: str) -> DataFrame:
     return T.validate(_asked(spark, d), X.titles(spark, d))
 
 
-@query(f"WITH {ASK}, t AS (SELECT cluster, title, len(list_filter(string_split(lower(title), ' '), lambda w: w IN ('ring', 'widget', 'economy', 'small'))) > 0 AS fits FROM ask) SELECT cluster, title FROM t QUALIFY fits OR NOT bool_or(fits) OVER (PARTITION BY cluster)")
+@query(f"""WITH {X.CLUSTERS}, {ENT}, {CL_M}, {TITLE_C}, {SUMMARY_C}, s AS (SELECT c.cluster_id AS cluster, coalesce(string_agg(sentence, ' ' ORDER BY score DESC, sentence), 'Keine Zusammenfassung verfügbar.') AS summary FROM cl c LEFT JOIN top ON top.leader = c.cluster_id GROUP BY ALL),
+ t AS (SELECT leader AS cluster, title, len(list_intersect(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_]+'), regexp_extract_all(lower(summary), '[\\p{{L}}\\p{{N}}_]+'))) > 0 AS fits FROM top5 JOIN s ON s.cluster = leader)
+ SELECT cluster, title FROM t QUALIFY fits OR NOT bool_or(fits) OVER (PARTITION BY cluster)""")
 def titles_relevant(spark: SparkSession, d: str) -> DataFrame:
-    asked = _asked(spark, d)
-    summaries = asked.select("cluster").distinct().withColumn("summary", F.lit("Small ring, widget: economy."))
-    return T.relevant(asked, summaries)
+    art, m = _members(spark, d)
+    leaders = X.clusters(art).select(F.col("cluster_id").alias("leader"))
+    found = T.candidates(leaders.withColumn("fallback", F.array().cast("array<string>")), m, E.entity_weights(art), 5)
+    summaries = T.summaries(leaders, m.join(art.select("id", "content"), "id"), 4)
+    return T.relevant(found.select(F.col("leader").alias("cluster"), F.explode("titles").alias("title")), summaries.withColumnRenamed("leader", "cluster"))
 
 
-@query(f"""WITH RECURSIVE s AS (SELECT doc_id, text FROM documents) SELECT doc_id, CAST(ceil(length(text) / 1500) AS BIGINT) AS n, text AS joined FROM s""")
+@query(f"""WITH p AS (SELECT doc_id, text, unnest(generate_series(1, CAST(ceil(length(text) / 1500) AS BIGINT))) AS k FROM documents), c AS (SELECT doc_id, k, text[(k - 1) * 1500 + 1:k * 1500] AS piece FROM p),
+ e AS (SELECT doc_id, k, unnest(regexp_extract_all(piece, '\\p{{Lu}}[\\p{{L}}\\p{{N}}]{{2,}}')) AS title, generate_subscripts(regexp_extract_all(piece, '\\p{{Lu}}[\\p{{L}}\\p{{N}}]{{2,}}'), 1) AS i FROM c),
+ f AS (SELECT doc_id, k, title, min(i) AS i FROM e GROUP BY ALL), t AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, k ORDER BY i) <= 3)
+ SELECT n.doc_id, n.n, coalesce(string_agg(title, '|' ORDER BY k, i), '') AS titles FROM (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id) n LEFT JOIN t USING (doc_id) GROUP BY ALL""")
 def chunk_gather(spark: SparkSession, d: str) -> DataFrame:
+    pieces = T.pieces(X.read(spark, d, "documents").select("doc_id", "text"), "doc_id", 1500)
+    return T.chunk_titles(pieces, "doc_id", 3).select("doc_id", "n", F.array_join("titles", "|").alias("titles"))
+
+
+@query("SELECT doc_id, CAST(ceil(length(text) / 1500) AS BIGINT) AS n, text AS joined FROM documents")
+def chunk_join(spark: SparkSession, d: str) -> DataFrame:
     return T.gather(X.read(spark, d, "documents").select("doc_id", "text"), "doc_id", 1500)

@@ -105,9 +105,11 @@ def snap_backward(spark: SparkSession, d: str) -> DataFrame:
     return L.as_of(_points(spark, d), X.revision_log(spark, d)).select("point", F.coalesce("before", "after").alias("ts"))
 
 
-@query(f"WITH {X.REVM}, {X.PREFIXES}, ip AS (SELECT revid, user_name, string_split(user_name, '.') AS q FROM revm WHERE user_name LIKE '10.%') SELECT revid, user_name, plen, asn, org FROM ip JOIN prefixes ON CAST(q[1] AS INT) = o1 AND CAST(q[2] AS INT) = o2 AND (o3 = -1 OR o3 = CAST(q[3] AS INT)) QUALIFY row_number() OVER (PARTITION BY revid ORDER BY plen DESC, asn DESC) = 1")
+@query(f"""WITH {X.REVM}, {X.NETWORKS}, ip AS (SELECT revid, user_name, ts, {X.BITS.format('user_name')} AS bits FROM revm WHERE user_name LIKE '10.%' OR user_name LIKE '2001:%')
+ SELECT revid, user_name, plen, asn, org FROM ip JOIN networks n ON length(n.bits) = length(ip.bits) AND left(n.bits, n.plen) = left(ip.bits, n.plen) AND (since IS NULL OR since <= ts) AND (until IS NULL OR ts < until)
+ QUALIFY row_number() OVER (PARTITION BY revid ORDER BY plen DESC, asn DESC) = 1""")
 def ip_enrich(spark: SparkSession, d: str) -> DataFrame:
-    return L.enrich_ips(X.revision_log(spark, d), X.prefixes(spark, d))
+    return L.enrich_ips(X.revision_log(spark, d), X.networks(spark, d))
 
 
 @query(f"WITH {X.PAGE_REV}, b AS (SELECT article_id, revid, regexp_extract_all(content, '(?s)<p[^>]*>(.*?)</p>', 1) AS p FROM page_rev) SELECT article_id, revid, unnest(generate_series(1, len(p))) AS idx, unnest(p) AS text FROM b")
@@ -134,9 +136,14 @@ def edit_contribution(spark: SparkSession, d: str) -> DataFrame:
     return R.token_delta(rev).join(rev.select("article_id", "revid", "user_name"), ["article_id", "revid"]).groupBy("article_id", "user_name").agg(F.sum("added").alias("added"), F.sum("removed").alias("removed"))
 
 
-@query(f"WITH {X.PAGE_REV} SELECT revid, CASE WHEN revid % 4 = 0 THEN 'newpp limit' ELSE url END AS line FROM page_rev WHERE revid % 4 <> 0")
+REPORT = "['NewPP', 'Cache expiry', 'CPU time usage', 'Real time usage', 'Preprocessor visited node count', 'Post-expand', 'Unstrip', 'RevisionOutputCache', 'Transclusion expansion time report', 'Saved in parser cache', 'Complications', 'Transclusion of']"
+
+
+@query(f"WITH {X.PAGE_REV}, l AS (SELECT revid, CASE WHEN revid % 13 = 12 THEN url ELSE concat(upper({REPORT}[revid % 13 + 1]), ' ', url) END AS line FROM page_rev) SELECT revid, line FROM l WHERE revid % 13 >= 10")
 def report_line_filter(spark: SparkSession, d: str) -> DataFrame:
-    lines = X.page_revisions(spark, d).select("revid", F.when(F.col("revid") % 4 == 0, "newpp limit").otherwise(F.col("url")).alias("line"))
+    k = F.col("revid") % 13
+    kinds = F.array(*[F.lit(x) for x in (*R.REPORT_LINES, "Complications", "Transclusion of")])
+    lines = X.page_revisions(spark, d).select("revid", F.when(k == 12, F.col("url")).otherwise(F.concat(F.upper(F.get(kinds, k.cast("int"))), F.lit(" "), "url")).alias("line"))
     return lines.where(~R.is_report_line(F.col("line")))
 
 
@@ -162,8 +169,14 @@ def revision_diff(spark: SparkSession, d: str) -> DataFrame:
     return R.revision_diff(X.revisions(spark, d)).select("article_id", "revid", "user_name", F.explode("ops").alias("o")).select("article_id", "revid", "user_name", "o.op", "o.text", "o.tokens")
 
 
+@query()
+def html_diff(spark: SparkSession, d: str) -> DataFrame:
+    pages = X.page_revisions(spark, d).withColumn("user_name", F.concat(F.lit("user"), (F.col("revid") % 7).cast("string")))
+    return R.html_diffs(pages)
+
+
 @query()
 def change_view(spark: SparkSession, d: str) -> DataFrame:
-    rev = X.revisions(spark, d)
-    asked = rev.groupBy("article_id").agg(F.min("revid").alias("lo"), F.max("revid").alias("hi")).withColumn("request", F.col("article_id"))
-    return R.change_view(asked, R.revision_diff(rev), rev)
+    pages = X.page_revisions(spark, d).withColumn("user_name", F.concat(F.lit("user"), (F.col("revid") % 7).cast("string")))
+    asked = pages.groupBy("article_id").agg(F.min("revid").alias("lo"), F.max("revid").alias("hi")).withColumn("request", F.col("article_id"))
+    return R.change_view(asked, R.html_diffs(pages), pages)

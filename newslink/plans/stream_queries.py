@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,14 +9,16 @@ from newslink.registry import query
 from newslink.sources import fixtures as X
 from newslink.sources import tsv
 from newslink.streaming import streams
-from newslink.sources.storage import materialize
+from newslink.sources.storage import materialize, shared_dir
 
 
-def _stream(table: DataFrame) -> tuple[DataFrame, str]:
-    """The table written as files and read as a stream; a path for the result."""
-    files = materialize(table, "stream")
-    folder = files.inputFiles()[0].rsplit("/", 1)[0]
-    return table.sparkSession.readStream.schema(files.schema).parquet(folder), f"{folder}-out-{uuid.uuid4().hex}"
+def _stream(table: DataFrame, files: int | None = None) -> tuple[DataFrame, str]:
+    """The table written as files and read as a stream, so many files a micro-batch; a path for the result."""
+    stored = materialize(table, "stream")
+    reader = table.sparkSession.readStream.schema(stored.schema)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
+    return reader.parquet(stored.stored_at), shared_dir(table.sparkSession, "stream-out")
 
 
 def _articles(spark: SparkSession, d: str) -> DataFrame:
@@ -27,14 +27,20 @@ def _articles(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {X.ART} SELECT DISTINCT content_id FROM art")
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
+    source, path = _stream(_articles(spark, d).repartition(6, "id"), files=2)
+    return streams.ingest_once(source, path, ["content_id"], ["id"]).select("content_id")
+
+
+@query(f"WITH {X.ART} SELECT DISTINCT content_id FROM art")
+def stream_deduplicated(spark: SparkSession, d: str) -> DataFrame:
     source, path = _stream(_articles(spark, d))
-    return streams.run_once(streams.deduplicated(source), path).select("content_id")
+    return streams.run_once(streams.deduplicated(source, "10 days"), path).select("content_id")
 
 
-@query(f"WITH {X.ART} SELECT strftime(pubtime, '%Y-%m-%d') AS day, medium_name, count(*) AS n FROM art GROUP BY ALL")
+@query(f"WITH {X.ART} SELECT strftime(pubtime, '%Y-%m-%d') AS day, medium_name, count(*) AS n FROM art WHERE CAST(pubtime AS DATE) + INTERVAL 1 DAY <= (SELECT max(pubtime) - INTERVAL 2 DAY FROM art) GROUP BY ALL")
 def stream_daily_counts(spark: SparkSession, d: str) -> DataFrame:
     source, path = _stream(_articles(spark, d))
-    return streams.run_once(streams.daily_counts(source), path, "complete").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "medium_name", "n")
+    return streams.run_once(streams.daily_counts(source), path).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "medium_name", "n")
 
 
 @query(f"WITH {X.REV}, lg AS (SELECT *, lag(content) OVER (PARTITION BY article_id ORDER BY ts, revid) AS prev FROM rev) SELECT article_id, revid FROM lg WHERE content IS DISTINCT FROM prev AND content <> coalesce(prev, '')")
@@ -46,11 +52,18 @@ def stream_revision_diff(spark: SparkSession, d: str) -> DataFrame:
 GAP = "g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM revm WINDOW w AS (PARTITION BY article_id ORDER BY ts, revid)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY article_id ORDER BY ts, revid) AS run FROM g)"
 
 
-@query(f"WITH {X.REVM}, {GAP} SELECT article_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS edits FROM s GROUP BY article_id, run")
+@query(f"WITH {X.REVM}, {GAP} SELECT article_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS edits FROM s GROUP BY article_id, run HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 DAY FROM revm)")
 def stream_edit_sessions(spark: SparkSession, d: str) -> DataFrame:
     log = X.revision_log(spark, d).select("article_id", "revid", F.col("ts").cast("timestamp").alias("ts"))
     source, path = _stream(log)
-    return streams.run_once(streams.edit_sessions(source), path, "complete").select("article_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "edits")
+    return streams.run_once(streams.edit_sessions(source), path).select("article_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "edits")
+
+
+@query(f"""WITH {X.REVM}, w AS (SELECT article_id, unnest(generate_series(time_bucket(INTERVAL 10 MINUTE, ts) - INTERVAL 50 MINUTE, time_bucket(INTERVAL 10 MINUTE, ts), INTERVAL 10 MINUTE)) AS start FROM revm)
+ SELECT article_id, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS edits FROM w WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM revm) GROUP BY ALL""")
+def stream_edit_rate(spark: SparkSession, d: str) -> DataFrame:
+    source, path = _stream(X.revision_log(spark, d).select("article_id", "revid", F.col("ts").cast("timestamp").alias("ts")))
+    return streams.run_once(streams.edit_rate(source), path).select("article_id", F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "edits")
 
 
 @query("SELECT e.event_id, CASE WHEN event_type = 'view' THEN 'start' ELSE 'die' END AS action, 'c' || CAST(user_id AS VARCHAR) AS name FROM events e WHERE event_type IN ('view', 'error') AND event_id % 2 = 0 AND user_id IN (SELECT s_suppkey FROM supplier)")

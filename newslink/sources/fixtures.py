@@ -63,13 +63,16 @@ def page_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select((p % 25).alias("article_id"), p.alias("revid"), _at(hours=p.cast("int")).alias("ts"), "url", F.col("html").alias("content"))
 
 
-def prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """IPv4 networks of 16 bits and some of 24 within them (third octet -1: any)."""
+def networks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IPv4 networks of 16, 23, 24 and 32 bits and IPv6 networks of 32, 118 and 128, some of them for a time only."""
     s = read(spark, sf_dir, "supplier")
-    octet = (F.col("s_suppkey") % 100).cast("int")
-    wide = s.select(F.lit(10).alias("o1"), octet.alias("o2"), F.lit(-1).alias("o3"), F.lit(16).alias("plen"), F.col("s_suppkey").alias("asn"), F.col("s_name").alias("org"))
-    narrow = s.where("s_suppkey % 3 = 0").select(F.lit(10), octet, (F.col("s_suppkey") % 4).cast("int"), F.lit(24), F.col("s_suppkey") + 100000, "s_name")
-    return wide.union(narrow)
+    k = F.col("s_suppkey")
+    text = lambda c: c.cast("string")
+    v4 = F.concat(F.lit("10."), text(k % 100), F.lit("."), text(k % 4), F.lit("."))
+    plen = F.expr("case s_suppkey % 7 when 0 then 16 when 1 then 24 when 2 then 23 when 3 then 32 when 4 then 32 when 5 then 118 else 128 end")
+    address = F.when(k % 7 < 3, F.concat(v4, F.lit("0"))).when(k % 7 == 3, F.concat(v4, text(k % 250))).when(k % 7 == 4, F.lit("2001:db8::")).otherwise(F.concat(F.lit("2001:db8::"), text(k % 1000)))
+    until = F.when(k % 3 == 0, _at(days=(k % 25).cast("int")))
+    return s.select(F.concat(address, F.lit("/"), text(plen)).alias("prefix"), F.when(k % 2 == 0, _at(days=(k % 11).cast("int"))).alias("since"), until.alias("until"), k.alias("asn"), F.col("s_name").alias("org"))
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +101,14 @@ REV = """rev AS (SELECT conv_id AS article_id, conv_id * 100 + turn AS revid, TI
  concat(role, '-', CAST(conv_id % 7 AS STRING)) AS user_name, text AS content FROM conversations)"""
 REVM = """revm AS (SELECT user_id AS article_id, event_id AS revid, CAST(ts AS TIMESTAMP) AS ts, CASE WHEN event_id % 5 = 0 THEN concat('10.', CAST(event_id % 100 AS STRING), '.', CAST(event_id % 4 AS STRING), '.', CAST(event_id % 250 AS STRING)) WHEN event_id % 5 = 1 THEN concat('2001:db8::', CAST(event_id % 1000 AS STRING)) ELSE concat('user', CAST(event_id % 40 AS STRING)) END AS user_name, event_type AS comment FROM events)"""
 PAGE_REV = """page_rev AS (SELECT page_id % 25 AS article_id, page_id AS revid, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 HOUR * CAST(page_id AS INT) AS ts, url, html AS content FROM pages)"""
-PREFIXES = """prefixes AS (SELECT 10 AS o1, CAST(s_suppkey % 100 AS INT) AS o2, CAST(-1 AS INT) AS o3, 16 AS plen, s_suppkey AS asn, s_name AS org FROM supplier UNION ALL SELECT 10, CAST(s_suppkey % 100 AS INT), CAST(s_suppkey % 4 AS INT), 24, 100000 + s_suppkey, s_name FROM supplier WHERE s_suppkey % 3 = 0)"""
+#: Bits of IPv4 addresses, and of IPv6 addresses 2001:db8::<one group>, as strings of 0 and 1.
+V4_BITS = "array_to_string(list_transform(string_split({0}, '.'), lambda o: lpad(bin(CAST(o AS INT)), 8, '0')), '')"
+V6_BITS = "lpad(bin(CAST('0x2001' AS INT)), 16, '0') || lpad(bin(CAST('0xdb8' AS INT)), 16, '0') || repeat('0', 80) || lpad(bin(CAST('0x0' || split_part({0}, '::', 2) AS INT)), 16, '0')"
+BITS = f"CASE WHEN contains({{0}}, '::') THEN {V6_BITS} ELSE {V4_BITS} END"
+NETWORKS = f"""net0 AS (SELECT s_suppkey AS asn, s_name AS org, CASE s_suppkey % 7 WHEN 0 THEN 16 WHEN 1 THEN 24 WHEN 2 THEN 23 WHEN 3 THEN 32 WHEN 4 THEN 32 WHEN 5 THEN 118 ELSE 128 END AS plen,
+ CASE WHEN s_suppkey % 7 < 3 THEN concat('10.', s_suppkey % 100, '.', s_suppkey % 4, '.0') WHEN s_suppkey % 7 = 3 THEN concat('10.', s_suppkey % 100, '.', s_suppkey % 4, '.', s_suppkey % 250) WHEN s_suppkey % 7 = 4 THEN '2001:db8::' ELSE concat('2001:db8::', s_suppkey % 1000) END AS address,
+ CASE WHEN s_suppkey % 2 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 DAY * CAST(s_suppkey % 11 AS INT) END AS since, CASE WHEN s_suppkey % 3 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 DAY * CAST(s_suppkey % 25 AS INT) END AS until FROM supplier),
+ networks AS (SELECT asn, org, plen, since, until, {BITS.format('address')} AS bits FROM net0)"""
 TITLES = "titles AS (SELECT p_partkey AS title_id, p_name AS title, p_brand AS redirect_to FROM part)"
 CLUSTERS = ART + """,
  cl AS (SELECT sha256(concat(CAST(cluster_rank AS VARCHAR), CAST(date AS VARCHAR))) AS cluster_id, *, CASE WHEN cluster_rank % 4 = 3 THEN NULL ELSE concat('Zusammenfassung ', medium_name) END AS summary_text

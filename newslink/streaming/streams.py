@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from newslink.operators.revisions import OPS, diff_tokens
+from newslink.operators.tables import insert_ignore
 
 
 def deduplicated(articles: DataFrame, delay: str = "2 days") -> DataFrame:
@@ -17,13 +18,41 @@ def deduplicated(articles: DataFrame, delay: str = "2 days") -> DataFrame:
     return articles.withWatermark("pubtime", delay).dropDuplicatesWithinWatermark(["content_id"])
 
 
+def ingest_once(articles: DataFrame, path: str, keys: list[str], order: list[str]) -> DataFrame:
+    """Append what is there now to the table at path but for keys that it has; of repeated keys the first in order.
+
+    Each micro-batch is compared with the table (insert-ignore) and has a folder of its own, which is written again if the
+    batch is: a restart neither loses nor doubles rows.
+    """
+    spark: SparkSession = articles.sparkSession
+    schema = articles.schema
+
+    def add(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        folder = session._jvm.org.apache.hadoop.fs.Path(path)
+        new = batch
+        if folder.getFileSystem(session._jsc.hadoopConfiguration()).exists(folder):
+            new = insert_ignore(session.read.schema(schema).parquet(path).where(F.col("batch") != number), batch, keys, order)
+        else:
+            new = insert_ignore(batch.limit(0), batch, keys, order)
+        new.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    articles.writeStream.foreachBatch(add).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
+
+
+def edit_rate(log: DataFrame, width: str = "1 hour", step: str = "10 minutes", delay: str = "1 day") -> DataFrame:
+    """Edits of each article in sliding windows; a window is given once the watermark has passed its end."""
+    return log.withWatermark("ts", delay).groupBy(F.window("ts", width, step), "article_id").agg(F.count(F.lit(1)).alias("edits"))
+
+
 def daily_counts(articles: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Articles for each day and medium."""
+    """Articles for each day and medium; a day is given once the watermark has passed its end, and then forgotten."""
     return articles.withWatermark("pubtime", delay).groupBy(F.window("pubtime", "1 day"), "medium_name").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("day"), "medium_name", "n")
 
 
 def edit_sessions(log: DataFrame, gap: str = "30 minutes", delay: str = "1 day") -> DataFrame:
-    """Runs of edits of an article without a gap."""
+    """Runs of edits of an article without a gap; a run is given once the watermark has passed its end, and then forgotten."""
     return log.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), "article_id").agg(F.count(F.lit(1)).alias("edits"))
 
 
@@ -49,12 +78,8 @@ def incremental_diffs(revisions: DataFrame) -> DataFrame:
     return revisions.groupBy("article_id").applyInPandasWithState(step, f"article_id bigint, revid bigint, ops {OPS}", "content string", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_once(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+def run_once(stream: DataFrame, path: str) -> DataFrame:
     """Run a stream over what is there now into a Parquet table at path (with its checkpoint beside it) and read it."""
     spark: SparkSession = stream.sparkSession
-    if mode == "append":
-        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
-    else:
-        write = lambda batch, _: batch.write.mode("overwrite").parquet(path)
-        stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from newslink.functions import scalars as S
-from newslink.operators import dedup, events, graph, revisions, tables
+from newslink.operators import dedup, events, graph, revisions, tables, timeline
 from newslink.streaming import streams
 
 
@@ -61,15 +61,32 @@ def test_required_columns(spark):
         tables.require_columns(spark.range(1), ["id", "head"])
 
 
-def test_links_and_unwanted_elements():
-    text = 'see <a href="/wiki/Bern">Bern</a>, <a href="/wiki/File:X.png"><img src="x"></a> <a href="https://e.org">e</a><ul><li>gone</li></ul><sup>1</sup>'
-    assert revisions.rewrite_html(text, False).startswith('see Bern, <a href="/wiki/File:X.png"><img src="x"></a> <a href="https://e.org">e</a>')
-    assert "gone" not in revisions.rewrite_html(text, True) and "<sup>" not in revisions.rewrite_html(text, True)
+def test_links_are_unwrapped():
+    text = 'see <a href="/wiki/Bern">Bern</a>, <a href="/wiki/File:X.png"><img src="x"></a> <a href="https://e.org">e</a>'
+    assert revisions.rewrite_html(text, False) == 'see Bern, <a href="/wiki/File:X.png"><img src="x"></a> <a href="https://e.org">e</a>'
+
+
+def test_unwanted_elements_go():
+    kept = '<div id="toc">a</div><p class="navbox">b</p><i id="Literatur">second</i><!--c--><b class="coordinates">d</b>'
+    for c in revisions.DROP_CLASSES:
+        assert revisions.rewrite_html(f'x<div class="{c}"><b>gone</b><br></div>y', True) == "xy"
+    for i in revisions.DROP_IDS:
+        assert revisions.rewrite_html(f'x<h2 id="{i}">gone</h2>y<i id="{i}">stays</i>', True) == f'xy<i id="{i}">stays</i>'
+    assert revisions.rewrite_html(f'<i id="Literatur">first</i>{kept}<ul><li>e<li>f</li></li></ul><sup>1</sup>', True) == f"{kept}<ul></ul>"
+    # An id within an element that goes by its tag is the first one; within one that goes by its class it is not.
+    assert revisions.rewrite_html('<li><b id="Weblinks">x</b></li><b id="Weblinks">y</b>', True) == '<b id="Weblinks">y</b>'
+    assert revisions.rewrite_html('<p class="references"><b id="Weblinks">x</b></p><b id="Weblinks">y</b>', True) == ""
+
+
+def test_report_lines(spark):
+    lines = [*revisions.REPORT_LINES, "newpp limit report", " NewPP", "Complications of the treaty", "Transclusion of a painting", "", None]
+    rows = spark.createDataFrame([(x,) for x in lines], "x string").select("x", revisions.is_report_line(F.col("x")).alias("y")).collect()
+    assert [r.y for r in rows] == [True] * (len(revisions.REPORT_LINES) + 1) + [False] * 5
 
 
 @pytest.mark.parametrize(
     ("old", "new", "added", "removed"),
-    [("Hello world!", "Hello brave new world!", "brave new ", ""), ("The quick brown fox.", "The fox.", "", "quick brown "), ("Alpha beta gamma.", "Alpha delta gamma.", "delta", "beta"), ("End of line!", "End of new line!", "new ", "")],
+    [("Die Sonne scheint!", "Die helle warme Sonne scheint!", "helle warme ", ""), ("Ein sehr alter Baum.", "Ein Baum.", "", "sehr alter "), ("Rot, blau, gelb.", "Rot, lila, gelb.", "lila", "blau"), ("Am Rand?", "Am oberen Rand?", "oberen ", "")],
 )
 def test_token_diff(old, new, added, removed):
     runs = revisions.diff_tokens(old, new)
@@ -77,6 +94,45 @@ def test_token_diff(old, new, added, removed):
     assert bag("+") == Counter(revisions.TOKEN.findall(added)) and bag("-") == Counter(revisions.TOKEN.findall(removed))
 
 
+def plain_text(page):
+    return "".join(v for k, v, _ in revisions._Nodes(page).nodes if k == "text")
+
+
+def test_diffs_are_spliced_into_the_page():
+    old = "<html><title>T</title><h1>Eins</h1><p class='a'>Rot <b>und</b> blau.</p><div>x</div><p>gleich &amp; gut</p></html>"
+    new = "<html><title>T</title><h1>Eins</h1><p class='a'>Rot <b>und</b> gelb.</p><div>y</div><p>gleich &amp; gut</p><p>neu</p></html>"
+    got = revisions.splice_diff(old, new, 'u"1')
+    assert got["html"] == "<html><title>T</title><h1>Eins</h1><p class='a'>Rot  und  " + '<span style="text-decoration: line-through; text-decoration-color: orange;" user-del="u&quot;1">blau</span><span style="background-color: orange;" user-add="u&quot;1">gelb</span>.</p><div>y</div><p>gleich &amp; gut</p><p>neu</p></html>'
+    assert got["spans"] == [{"op": "-", "text": "blau"}, {"op": "+", "text": "gelb"}]
+    assert revisions.splice_diff(new, new, "u") == {"html": new, "spans": []} and revisions.splice_diff(None, new, "u")["html"] == new
+
+
+def test_marks_are_put_into_text_nodes():
+    base = "<p title='user'>the user said user &lt;b&gt;</p><!--NewPP--><div>NewPP limit report</div>"
+    put, page = revisions.merge_marks(base, [("u", [{"op": "+", "text": "user"}]), ("v", [{"op": "-", "text": "span"}, {"op": "+", "text": "user"}]), (None, [{"op": "-", "text": "<b>"}])])
+    assert put == 3 and plain_text(page) == "the user said user <b>" and "NewPP" not in page
+    assert page.startswith("<p title='user'>the <span style=") and page.count("<span ") == page.count("</span>") == 3
+    assert '<span style="background-color: #7b774e;" user-add="u"><span' in page or page.count('user-add="v">user</span></span>') == 1
+
+
+def test_longest_network_at_the_time_of_the_edit(spark):
+    at = lambda day: datetime(2024, 1, day)
+    nets = [("10.0.0.0/8", None, None, 1), ("10.1.0.0/23", None, at(5), 2), ("10.1.1.7/32", at(3), None, 3), ("2001:db8::/32", None, None, 4), ("2001:db8:0:0:0:0:0:ff/128", None, None, 5), ("::/0", None, None, 6), ("bad/9", None, None, 7)]
+    networks = spark.createDataFrame([(*n, f"org{n[3]}") for n in nets], "prefix string, since timestamp_ntz, until timestamp_ntz, asn bigint, org string")
+    edits = [("10.1.1.7", 1, 2), ("10.1.1.7", 4, 3), ("10.1.1.8", 4, 2), ("10.1.1.8", 6, 1), ("2001:db8::ff", 1, 5), ("2001:DB8::fe", 1, 4), ("fe80::1", 1, 6), ("11.0.0.1", 1, None), ("300.1.1.1", 1, None), ("Alice", 1, None), ("1::2::3", 1, None), (None, 1, None)]
+    log = spark.createDataFrame([(k, u, at(day)) for k, (u, day, _) in enumerate(edits)], "revid bigint, user_name string, ts timestamp_ntz")
+    got = {r.revid: r.asn for r in timeline.enrich_ips(log, networks).collect()}
+    assert got == {k: asn for k, (_, _, asn) in enumerate(edits) if asn}
+
+
+def test_ingest_ignores_known_keys_and_goes_on(spark, tmp_path):
+    schema, source, out = "id bigint, content_id string", str(tmp_path / "in"), str(tmp_path / "out")
+    for rows in ([(1, "a"), (2, "a"), (3, "b")], [(4, "b"), (5, "c")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        got = streams.ingest_once(spark.readStream.schema(schema).parquet(source), out, ["content_id"], ["id"])
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "a"), (3, "b"), (5, "c")]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab c.\n", max_size=40), st.text(alphabet="ab c.\n", max_size=40))
 def test_diff_reconstructs_both_sides(old, new):
