@@ -13,6 +13,8 @@ from newslink.operators.graph import components
 from newslink.operators.tfidf import similar_pairs
 from newslink.sources.storage import materialize
 
+#: Similar pairs (each counted twice) of a component up to which it is one group of a pandas function.
+GROUP_ARCS = 200_000
 ENTITY = r"(\p{Lu}[\p{L}\p{N}]{2,})"
 
 
@@ -36,19 +38,37 @@ def leader_clusters(art: DataFrame, entities: DataFrame, threshold: float = 0.35
     """(date, leader, id, leader_rank): articles in order of rank lead; a leader takes all unused similar articles.
 
     A group whose most frequent entity weighs less than min_entity gives its members back, but not its leader.
-    Leaders only see their neighbours, so components of the similarity graph are independent: each is a group of
-    ids, ranks and neighbour lists for a pandas function, articles without neighbours need none.
+    Leaders only see their neighbours, so components of the similarity graph are independent: those of GROUP_ARCS at
+    most are each one group for a pandas function, larger ones are led in rounds of joins; articles without neighbours
+    need neither.
     """
     block = F.date_format("pubtime", "yyyy-MM-dd")
     docs = art.select("id", block.alias("block"), F.concat_ws(" ", "head", "content").alias("text"))
-    pairs = materialize(similar_pairs(docs, threshold), "pairs")
-    edges = pairs.select(F.col("i").alias("a"), F.col("j").alias("b"))
-    both = pairs.select("i", "j").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j")))
-    neighbours = both.groupBy("i").agg(F.collect_list("j").alias("near")).withColumnRenamed("i", "id")
-    ranked = importance(art, entities).join(components(edges), "id", "left").join(neighbours, "id", "left")
+    pairs = materialize(similar_pairs(docs, threshold).select("i", "j"), "pairs")
+    both = pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j")))
+    found = components(pairs.select(F.col("i").alias("a"), F.col("j").alias("b")))
+    degrees = both.groupBy("i").agg(F.count(F.lit(1)).alias("arcs")).withColumnRenamed("i", "id")
+    named = materialize(found.join(degrees, "id"), "components")
+    small = F.broadcast if named.limit(GROUP_ARCS).count() < GROUP_ARCS else (lambda x: x)
+    sizes = named.groupBy("component").agg((F.sum("arcs") <= GROUP_ARCS).alias("grouped"))
+    ranked = materialize(importance(art, entities).join(small(named.join(sizes, "component").drop("arcs")), "id", "left"), "ranked")
     alone = ranked.where("component is null").select("date", F.col("id").alias("leader"), "id", F.col("rank").alias("leader_rank"))
+    if min_entity:
+        top = entities.groupBy("id").agg(F.max("weight").alias("top"))
+        alone = alone.join(top, "id").where(F.col("top") >= min_entity).drop("top")
+    alone = alone.select("date", "leader", "id", "leader_rank")
+    groups = _in_groups(ranked.where("grouped"), both, entities, min_entity)
+    rest = ranked.where("not grouped").select("date", "id", "rank")
+    if rest.limit(1).count():
+        groups = groups.unionByName(_in_rounds(rest, both, entities, min_entity))
+    return groups.unionByName(alone)
+
+
+def _in_groups(ranked: DataFrame, both: DataFrame, entities: DataFrame, min_entity: int) -> DataFrame:
+    """Each component is one group, with the neighbour lists and entities of its articles."""
+    neighbours = both.join(ranked.select(F.col("id").alias("i")), "i").groupBy("i").agg(F.collect_list("j").alias("near")).withColumnRenamed("i", "id")
     weights = entities.where(F.lit(min_entity) > 0).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("entity", "weight"))).alias("bag"))
-    linked = ranked.where("component is not null").join(weights, "id", "left")
+    linked = ranked.join(neighbours, "id").join(weights, "id", "left")
 
     def greedy(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("rank")
@@ -69,11 +89,33 @@ def leader_clusters(art: DataFrame, entities: DataFrame, threshold: float = 0.35
             rows += [(group["date"].iloc[0], leader, m, rank) for m in members]
         return pd.DataFrame(rows, columns=["date", "leader", "id", "leader_rank"])
 
-    grouped = linked.select("date", "component", "id", "rank", "near", "bag").groupBy("date", "component").applyInPandas(greedy, "date date, leader bigint, id bigint, leader_rank bigint")
-    if min_entity:
-        top = entities.groupBy("id").agg(F.max("weight").alias("top"))
-        alone = alone.join(top, "id").where(F.col("top") >= min_entity).drop("top")
-    return grouped.unionByName(alone.select("date", "leader", "id", "leader_rank"))
+    return linked.select("date", "component", "id", "rank", "near", "bag").groupBy("date", "component").applyInPandas(greedy, "date date, leader bigint, id bigint, leader_rank bigint")
+
+
+def _in_rounds(ranked: DataFrame, both: DataFrame, entities: DataFrame, min_entity: int) -> DataFrame:
+    """ranked(date, id, rank), arcs both(i, j): in each round, those lead that have the least rank within two steps.
+
+    Nobody before such an article can take it or a neighbour of it any more, so its group is known. Arcs of used articles
+    are dropped from round to round.
+    """
+    left, arcs, done = materialize(ranked, "left"), both, None
+    while left.limit(1).count():
+        ends = left.select(F.col("id").alias("i"), F.col("rank").alias("ri")), left.select(F.col("id").alias("j"), F.col("rank").alias("rj"))
+        arcs = materialize(arcs.select("i", "j").join(ends[0], "i").join(ends[1], "j"), "arcs")
+        near = arcs.groupBy("i").agg(F.min("rj").alias("near"))
+        one = materialize(left.join(near, F.col("id") == F.col("i"), "left").select("date", "id", "rank", F.least("rank", "near").alias("near")), "near")
+        far = arcs.join(one.select(F.col("id").alias("j"), F.col("near").alias("far")), "j").groupBy("i").agg(F.min("far").alias("far"))
+        leaders = one.join(far, F.col("id") == F.col("i"), "left").where(F.col("rank") == F.least("near", F.coalesce("far", "near")))
+        leaders = materialize(leaders.select("date", F.col("id").alias("leader"), F.col("rank").alias("leader_rank")), "leaders")
+        taken = arcs.join(leaders, F.col("i") == F.col("leader")).select("date", "leader", F.col("j").alias("id"), "leader_rank")
+        groups = materialize(taken.unionByName(leaders.select("date", "leader", F.col("leader").alias("id"), "leader_rank")), "groups")
+        if min_entity:
+            total = groups.join(entities, "id").groupBy("leader", "entity").agg(F.sum("weight").alias("weight"))
+            groups = materialize(groups.join(total.where(F.col("weight") >= min_entity).select("leader").distinct(), "leader", "left_semi"), "groups")
+        done = groups if done is None else done.unionByName(groups)
+        used = groups.select("id").unionByName(leaders.select(F.col("leader").alias("id"))).distinct()
+        left = materialize(left.join(used, "id", "left_anti"), "left")
+    return done.select("date", "leader", "id", "leader_rank")
 
 
 def cluster_entities(clusters: DataFrame, entities: DataFrame, top: int) -> DataFrame:

@@ -1,5 +1,6 @@
 """Small cases with known answers, and properties."""
 
+import random
 from collections import Counter
 from datetime import date, datetime
 
@@ -158,6 +159,18 @@ def test_leader_keeps_its_place_when_its_group_fails(spark):
     assert events.leader_clusters(art, entities, 0.3, min_entity=3).count() == 3
 
 
+@pytest.mark.parametrize("least", [0, 7])
+def test_large_components_are_led_in_rounds(spark, monkeypatch, least):
+    rng = random.Random(least)
+    words = [f"Wort{chr(97 + k)}" for k in range(12)]
+    rows = [(i, datetime(2024, 1, 1 + i % 2), "", " ".join(rng.choice(words) for _ in range(6))) for i in range(60)]
+    art = spark.createDataFrame(rows, "id bigint, pubtime timestamp_ntz, head string, content string")
+    entities = events.entity_weights(art)
+    want = {tuple(r) for r in events.leader_clusters(art, entities, 0.35, least).collect()}
+    monkeypatch.setattr(events, "GROUP_ARCS", 0)
+    assert {tuple(r) for r in events.leader_clusters(art, entities, 0.35, least).collect()} == want and len(want) > 20
+
+
 def test_incremental_diffs_keep_state_between_runs(spark, tmp_path):
     schema = "article_id bigint, revid bigint, ts timestamp_ntz, content string"
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
