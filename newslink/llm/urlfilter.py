@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from newslink.llm.common import materialize
+
 #: The host, without user information before it and a port or a dot after it.
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^/?#\]]*\]|[^/?#:]*[^/?#:.])"
 #: Hosts that are addresses: they have no parent domains.
@@ -47,7 +49,8 @@ def intervals(entries: DataFrame) -> DataFrame:
 def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures(capture_id, url, fetched): adds blocked, action and key of the deciding entry (null if none is in force)."""
     keyed = captures.where("fetched is not null").select("url", "fetched").distinct().select("url", "fetched", F.explode(url_keys(F.col("url"))).alias("k")).select("url", "fetched", "k.rank", "k.key")
-    met = keyed.join(intervals(entries), "key").where("since <= fetched and (until is null or fetched < until)")
+    # Written, so that the join reads both sides from shuffles and can split the captures of a frequent host among tasks.
+    met = keyed.join(materialize(intervals(entries), "intervals"), "key").where("since <= fetched and (until is null or fetched < until)")
     best = met.groupBy("url", "fetched").agg(F.max(F.struct("rank", "key", "action")).alias("m")).select(F.col("url").alias("__url"), F.col("fetched").alias("__at"), "m.key", "m.action")
     joined = captures.select("capture_id", "url", "fetched").join(best, (F.col("url") == F.col("__url")) & (F.col("fetched") == F.col("__at")), "left")
     return joined.select("capture_id", "url", "fetched", "key", "action", (F.coalesce("action", F.lit("")) == "block").alias("blocked"))
