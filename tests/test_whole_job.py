@@ -42,7 +42,7 @@ def test_chunks_hold_whole_texts(spark):
 
 def test_gather_joins_every_piece(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
-    rows = {r.doc_id: r for r in registry.queries()["chunk_gather"](spark, SF).collect()}
+    rows = {r.doc_id: r for r in registry.queries()["chunk_join"](spark, SF).collect()}
     assert {d.doc_id: d.text for d in docs} == {k: r.joined for k, r in rows.items()}
     assert all(rows[d.doc_id].n == -(-len(d.text) // 1500) for d in docs)
     texts = [(1, "äbc" * 4000), (2, ""), (3, "x" * 1500)]
