@@ -8,14 +8,15 @@ put in buckets by two grams of GRAM bytes, the second one STEP bytes on. Three t
 * A batch of documents (a range of doc_id) sends each different segment of a bucket once, with an identifier of its whole
   content. A segment that an earlier batch has sent is repeated as a whole and is not refined.
 * Only segments of buckets with several contents that are not repeated as a whole are refined to all their strings of
-  LENGTH bytes; a string's identifier is made of those of its eight-byte words, one offset after the other.
+  LENGTH bytes. Their bytes go to their bucket's task, which sorts all suffixes of a bucket's segments: first by their
+  q-gram, then, as long as a bucket has several suffixes, by the bucket pointer of the suffix as many bytes on as the
+  buckets already agree on. Pointers refined in one pass are the keys of the next, so 8, 16, 32 and LENGTH bytes take
+  three passes (bucket-pointer refinement, ended at LENGTH bytes: longer order has no use here).
 
-This is less than bucket-pointer refinement by name: buckets are refined once by the identifier of a later offset and then
-by identifiers of whole contents, not by sorting again and again on the buckets of later offsets, and no suffix order is
-made. Identifiers that all batches agree on and that are refined to 50 bytes would send every suffix in each round.
-Contents match by 64 bits of the content and 64 bits of the bucket together, single strings by 64 bits; bytes are not
-compared. What batches get back is one flag for each segment they have sent, in the order sent; they compute the same list
-again from their documents.
+Single strings are so compared byte for byte. Whole segments match by 64 bits of the content and 64 bits of the bucket
+together, without a look at their bytes. Batches get back one flag for each segment and one bit for each refined string
+that they have sent, in the order sent; they compute the same list again from their documents. A task sorts the segments
+of whole buckets in steps of CHUNK bytes, unless one bucket has more.
 
 Null and empty texts, and texts under LENGTH bytes, lose nothing. Rows with the same doc_id do not repeat each other.
 A null doc_id counts as smaller than all others. An empty table gives no row. Bytes need not be UTF-8; columns beside
@@ -36,6 +37,8 @@ from newslink.llm.common import SegmentHasher, mix, pick, raw_texts
 LENGTH = 50
 GRAM = 16
 STEP = GRAM + 1
+#: Bytes of the grams that suffixes are first put in buckets by.
+FIRST = 8
 #: Bytes whose identifiers are computed in one go, unless one document has more.
 CHUNK = 1 << 20
 MATCHED, MIXED = 1, 2
@@ -122,66 +125,113 @@ class Batch:
         refine[order] = flag[which] & MIXED > 0
         return repeated, refine & ~repeated
 
-    def strings(self, refine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place, document and identifier of every string of the segments to refine."""
-        count = self.count[refine]
-        place = np.repeat(self.first[refine] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        doc = np.repeat(self.doc[refine], count)
-        names = np.zeros(len(place), np.uint64)
-        for k in range(0, len(place), CHUNK):
-            names[k : k + CHUNK] = self._names(place[k : k + CHUNK])
-        return place, doc, names
-
-    def _names(self, place: np.ndarray) -> np.ndarray:
-        """LENGTH bytes as six words of eight and the last eight, mixed one after the other."""
-        eight = np.ndarray((max(0, len(self.data) - 7),), "<u8", self.data, strides=(1,))
-        out = np.zeros(len(place), np.uint64)
-        for offset in (*range(0, LENGTH - 7, 8), LENGTH - 8):
-            out = mix(out * _PAIR + eight[place + offset])
-        return out
-
-
-def _ordered(names: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct string names in the order of sending, and their parts."""
-    distinct = np.unique(names)
-    part = (distinct % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    return distinct[order], part[order]
-
-
-_BLOB = pa.schema([("part", pa.int64()), ("batch", pa.int64()), ("buckets", pa.binary()), ("contents", pa.binary())])
+    def refined(self, parts: int, flags: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Segments whose bytes are sent, in the order of sending, and their parts; all segments with these bytes in the
+        same document, and which of the sent ones has their bytes."""
+        order, heads, part = self.sent(parts)
+        chosen = self.judged(parts, flags)[1][order]
+        sent = chosen[heads]
+        like = np.cumsum(sent)[np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))] - 1
+        return order[heads[sent]], part[sent], order[chosen], like[chosen]
+
+    def bytes_of(self, segments: np.ndarray) -> np.ndarray:
+        """The bytes of segments, one after the other."""
+        return self.data[runs(self.first[segments], self.count[segments] - 1 + LENGTH)]
+
+
+def runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (counts[0] of them), starts[1], ..."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+
+
+def bucket_pointers(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """For each suffix with length bytes or more, where its bucket begins in the order of the first length bytes.
+
+    Two such suffixes have the same pointer only if they begin with the same length bytes.
+    """
+    n = len(data)
+    if n < length:
+        return np.zeros(0, np.int64)
+    gram = np.ndarray((n - FIRST + 1,), ">u8", np.ascontiguousarray(data), strides=(1,)).astype(np.uint64)
+    order = np.argsort(gram, kind="stable")
+    pointer = np.empty(len(gram), np.int64)
+    new = np.append(True, gram[order[1:]] != gram[order[:-1]])
+    pointer[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
+    agreed = FIRST
+    while agreed < length:
+        step = min(agreed, length - agreed)
+        size = np.bincount(pointer, minlength=len(gram))
+        several = np.flatnonzero(size[pointer[: n - agreed - step + 1]] > 1)
+        own, later = pointer[several], pointer[several + step]
+        order = np.lexsort((later, own))
+        own, later, several = own[order], later[order], several[order]
+        bucket = np.append(True, own[1:] != own[:-1]) if len(own) else np.zeros(0, bool)
+        new = bucket | np.append(True, later[1:] != later[:-1]) if len(own) else bucket
+        at = np.arange(len(own))
+        begins = np.maximum.accumulate(np.where(bucket, at, 0))
+        pointer[several] = own + np.maximum.accumulate(np.where(new, at, 0)) - begins
+        agreed += step
+    return pointer[: n - length + 1]
+
+
 _REPLY = pa.schema([("batch", pa.int64()), ("part", pa.int64()), ("round", pa.int64()), ("flags", pa.binary())])
-_BLOB_DDL, _REPLY_DDL = "part bigint, batch bigint, buckets binary, contents binary", "batch bigint, part bigint, round bigint, flags binary"
+_REPLY_DDL = "batch bigint, part bigint, round bigint, flags binary"
+_NAMED = pa.schema([("part", pa.int64()), ("batch", pa.int64()), ("buckets", pa.binary()), ("contents", pa.binary())])
+_NAMED_DDL = "part bigint, batch bigint, buckets binary, contents binary"
+_RAW = pa.schema([("part", pa.int64()), ("batch", pa.int64()), ("buckets", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary()), ("data", pa.binary())])
+_RAW_DDL = "part bigint, batch bigint, buckets binary, ids binary, counts binary, data binary"
 
 
-def _blobs(batch: int, part: np.ndarray, buckets: np.ndarray, contents: np.ndarray) -> pa.Table:
+def _by_part(part: np.ndarray) -> list[tuple[int, int, int]]:
+    """(part, begin, end) of each run of equal parts."""
     edges = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
-    stops = np.append(edges[1:], len(part))[: len(edges)]
-    rows = [(int(part[a]), batch, buckets[a:b].tobytes(), contents[a:b].tobytes()) for a, b in zip(edges, stops, strict=True)]
-    return pa.Table.from_pylist([dict(zip(_BLOB.names, r, strict=True)) for r in rows], schema=_BLOB)
-
-
-def _answer(rounds: int):
-    """A part's blobs of all batches to one flag for each entry."""
-
-    def reply(table: pa.Table) -> pa.Table:
-        table = table.sort_by("batch")
-        batches, parts = table.column("batch").to_pylist(), table.column("part").to_pylist()
-        buckets = [np.frombuffer(x, np.uint64) for x in table.column("buckets").to_pylist()]
-        bucket = np.concatenate(buckets)
-        content = np.frombuffer(b"".join(table.column("contents").to_pylist()), np.uint64) if rounds == 1 else np.zeros(len(bucket), np.uint64)
-        order = np.lexsort((content, bucket))  # stable: entries of earlier batches come first
-        b, c = bucket[order], content[order]
-        new_bucket = np.append(True, b[1:] != b[:-1])
-        new = new_bucket | np.append(True, c[1:] != c[:-1])
-        group = np.cumsum(new_bucket) - 1
-        mixed = np.bincount(group, new)[group] > 1
-        flags = np.zeros(len(order), np.uint8)
-        flags[order] = np.where(new, 0, MATCHED) | np.where(mixed, MIXED, 0)
-        cuts = np.cumsum([len(x) for x in buckets])[:-1]
-        return pa.Table.from_pylist([{"batch": x, "part": p, "round": rounds, "flags": f.tobytes()} for x, p, f in zip(batches, parts, np.split(flags, cuts), strict=True)], schema=_REPLY)
-
-    return reply
+    return [(int(part[a]), int(a), int(b)) for a, b in zip(edges, np.append(edges[1:], len(part))[: len(edges)], strict=True)]
+
+
+def _answer_segments(table: pa.Table) -> pa.Table:
+    """A part's segments of all batches to one flag for each: sent by an earlier batch, in a bucket of several contents."""
+    table = table.sort_by("batch")
+    buckets = [np.frombuffer(x, np.uint64) for x in table.column("buckets").to_pylist()]
+    bucket = np.concatenate(buckets)
+    content = np.frombuffer(b"".join(table.column("contents").to_pylist()), np.uint64)
+    order = np.lexsort((content, bucket))  # stable: segments of earlier batches come first
+    b, c = bucket[order], content[order]
+    new_bucket = np.append(True, b[1:] != b[:-1])
+    new = new_bucket | np.append(True, c[1:] != c[:-1])
+    group = np.cumsum(new_bucket) - 1
+    mixed = np.bincount(group, new)[group] > 1
+    flags = np.zeros(len(order), np.uint8)
+    flags[order] = np.where(new, 0, MATCHED) | np.where(mixed, MIXED, 0)
+    return _replies(table, 1, [f.tobytes() for f in np.split(flags, np.cumsum([len(x) for x in buckets])[:-1])])
+
+
+def _answer_strings(table: pa.Table) -> pa.Table:
+    """A part's segments with their bytes to one bit for each string: it starts in a document with a smaller id, too."""
+    column = {c: table.column(c).to_pylist() for c in ("buckets", "ids", "counts", "data")}
+    bucket, ids, count = (np.frombuffer(b"".join(column[c]), t) for c, t in (("buckets", np.uint64), ("ids", np.int64), ("counts", np.int64)))
+    data = np.frombuffer(b"".join(column["data"]), np.uint8)
+    size = count - 1 + LENGTH
+    start, first = np.cumsum(size) - size, np.cumsum(count) - count
+    order = np.argsort(bucket, kind="stable")
+    edges = np.append(np.flatnonzero(np.append(True, bucket[order[1:]] != bucket[order[:-1]])), len(order))
+    before = np.append(0, np.cumsum(size[order]))[edges]
+    gone = np.zeros(int(count.sum()), bool)
+    begin = 0
+    while begin < len(edges) - 1:
+        end = max(begin + 1, int(np.searchsorted(before, before[begin] + CHUNK, side="right")) - 1)
+        x = order[edges[begin] : edges[end]]
+        pointer = bucket_pointers(data[runs(start[x], size[x])])[runs(np.cumsum(size[x]) - size[x], count[x])]
+        owner = np.repeat(ids[x], count[x])
+        least = np.full(int(pointer.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, pointer, owner)
+        gone[runs(first[x], count[x])] = owner > least[pointer]
+        begin = end
+    cuts = np.cumsum([int(np.frombuffer(c, np.int64).sum()) for c in column["counts"]])[:-1]
+    return _replies(table, 2, [np.packbits(g).tobytes() for g in np.split(gone, cuts)])
+
+
+def _replies(table: pa.Table, rounds: int, flags: list[bytes]) -> pa.Table:
+    return pa.Table.from_arrays([table.column("batch"), table.column("part"), pa.array([rounds] * len(flags), pa.int64()), pa.array(flags, pa.binary())], schema=_REPLY)
 
 
 def _flags(replies: pa.Table, rounds: int) -> dict[int, bytes]:
@@ -204,33 +254,33 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, batches: int | None =
         x = Batch(table)
         order, heads, part = x.sent(parts)
         first = order[heads]
-        return _blobs(table.column("batch")[0].as_py(), part, x.bucket[first], x.content[first])
+        batch = table.column("batch")[0].as_py()
+        rows = [(p, batch, x.bucket[first[a:b]].tobytes(), x.content[first[a:b]].tobytes()) for p, a, b in _by_part(part)]
+        return pa.Table.from_pylist([dict(zip(_NAMED.names, r, strict=True)) for r in rows], schema=_NAMED)
 
     def refine(left: pa.Table, replies: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return _BLOB.empty_table()
+            return _RAW.empty_table()
         x = Batch(left)
-        _, chosen = x.judged(parts, _flags(replies, 1))
-        names, part = _ordered(x.strings(chosen)[2], parts)
-        return _blobs(left.column("batch")[0].as_py(), part, names, np.zeros(0, np.uint64))
+        first, part, _, _ = x.refined(parts, _flags(replies, 1))
+        batch = left.column("batch")[0].as_py()
+        rows = []
+        for p, a, b in _by_part(part):
+            s = first[a:b]
+            rows.append((p, batch, x.bucket[s].tobytes(), x.ids[x.doc[s]].tobytes(), x.count[s].tobytes(), x.bytes_of(s).tobytes()))
+        return pa.Table.from_pylist([dict(zip(_RAW.names, r, strict=True)) for r in rows], schema=_RAW)
 
     def finish(left: pa.Table, replies: pa.Table) -> pa.Table:
         schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
         if not left.num_rows:
             return schema.empty_table()
         x = Batch(left)
-        repeated, chosen = x.judged(parts, _flags(replies, 1))
-        place, doc, names = x.strings(chosen)
-        distinct, part = _ordered(names, parts)
-        flag = np.zeros(len(distinct), np.uint8)
-        for p, f in _flags(replies, 2).items():
-            a, b = np.searchsorted(part, [p, p + 1])
-            flag[a:b] = np.frombuffer(f, np.uint8)
-        by_name = np.argsort(distinct)
-        which = by_name[np.searchsorted(distinct, names, sorter=by_name)] if len(names) else np.zeros(0, np.int64)
-        least = np.full(len(distinct), np.iinfo(np.int64).max)
-        np.minimum.at(least, which, x.ids[doc])
-        gone = place[(flag[which] & MATCHED > 0) | (x.ids[doc] > least[which])]
+        repeated = x.judged(parts, _flags(replies, 1))[0]
+        first, part, segments, like = x.refined(parts, _flags(replies, 1))
+        bits, counts = _flags(replies, 2), x.count[first]
+        found = [np.unpackbits(np.frombuffer(bits[p], np.uint8), count=int(counts[a:b].sum())) for p, a, b in _by_part(part)]
+        found = np.concatenate([np.zeros(0, np.uint8), *found])[runs((np.cumsum(counts) - counts)[like], x.count[segments])]
+        gone = runs(x.first[segments], x.count[segments])[found > 0]
         cover = np.zeros(len(x.data) + 1, np.int32)
         np.add.at(cover, x.first[repeated], 1)
         np.add.at(cover, x.first[repeated] + x.count[repeated] - 1 + LENGTH, -1)
@@ -246,7 +296,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, batches: int | None =
         columns = list(zip(*rows, strict=True))
         return pa.Table.from_arrays([x.rows.column("doc_id").combine_chunks(), *[pa.array(c, t) for c, t in zip(columns, schema.types[1:], strict=True)]], schema=schema)
 
-    first = dealt.groupBy("batch").applyInArrow(send, _BLOB_DDL).groupBy("part").applyInArrow(_answer(1), _REPLY_DDL)
-    second = dealt.groupBy("batch").cogroup(first.groupBy("batch")).applyInArrow(refine, _BLOB_DDL).groupBy("part").applyInArrow(_answer(2), _REPLY_DDL)
+    first = dealt.groupBy("batch").applyInArrow(send, _NAMED_DDL).groupBy("part").applyInArrow(_answer_segments, _REPLY_DDL)
+    second = dealt.groupBy("batch").cogroup(first.groupBy("batch")).applyInArrow(refine, _RAW_DDL).groupBy("part").applyInArrow(_answer_strings, _REPLY_DDL)
     replies = first.unionByName(second)
     return dealt.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(finish, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")

@@ -219,6 +219,20 @@ def test_substrings_against_brute_force(spark):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest()), i
 
 
+@pytest.mark.parametrize("length", [8, 9, 16, 31, 50, 70])
+def test_bucket_pointers_are_ranks_of_prefixes(length):
+    rng = np.random.default_rng(length)
+    unit = rng.integers(97, 100, 90, dtype=np.uint8)
+    for data in (np.zeros(0, np.uint8), unit[: length - 1], unit[:length], np.tile(unit, 4), np.full(300, 200, np.uint8), rng.integers(97, 99, 2000, dtype=np.uint8)):
+        got = substrings.bucket_pointers(data, length)
+        heads = [data[k : k + length].tobytes() for k in range(max(0, len(data) - length + 1))]
+        assert len(got) == len(heads)
+        places = {}
+        for pointer, head in zip(got.tolist(), heads, strict=True):
+            assert places.setdefault(head, pointer) == pointer
+        assert [h for h, _ in sorted(places.items(), key=lambda x: x[1])] == sorted(places) and len(set(places.values())) == len(places)
+
+
 def brute_components(texts):
     sets = []
     for text in texts:
