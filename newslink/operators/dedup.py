@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newslink.functions.scalars import base_link, url_last_segment, version_key
-from newslink.operators.tfidf import content_weights, pairs_of
+from newslink.operators.tfidf import arcs_of, content_weights, distinct_texts, pairs_of
 from newslink.sources.storage import discard, materialize
 
 
@@ -49,16 +48,27 @@ def by_content(art: DataFrame, group: list[str], threshold: float) -> DataFrame:
 
     Null and blank contents are always kept. "Newer" is a later pubtime, at equal times a smaller id.
     """
-    valid = art.where(F.length(F.trim(F.coalesce("content", F.lit("")))) > 0)
     block = F.concat_ws("|", *group) if group else F.lit("all")
-    pairs = pairs_of(content_weights(valid.select("id", block.alias("block"), F.col("content").alias("text"))), threshold, strict=False)
-    times = valid.select("id", "pubtime")
-    dated = pairs.join(times.select(F.col("id").alias("i"), F.col("pubtime").alias("ti")), "i").join(times.select(F.col("id").alias("j"), F.col("pubtime").alias("tj")), "j")
-    j_older = F.coalesce(F.col("ti") > F.col("tj"), F.col("ti").isNotNull() & F.col("tj").isNull()) | (F.col("ti").eqNullSafe(F.col("tj")) & (F.col("i") < F.col("j")))
-    older = dated.select(F.when(j_older, F.col("j")).otherwise(F.col("i")).alias("id")).distinct()
+    valid = _valid(art, block)
+    texts, members = distinct_texts(valid.select("id", "block", "text"))
+    arcs = _similar_texts(texts, threshold)
+    dated = members.join(valid.select("id", newest().alias("order")), "id")
+    best = dated.groupBy("rep").agg(F.min("order").alias("best"))
+    first = arcs.join(best, F.col("j") == F.col("rep")).groupBy("i").agg(F.min("best").alias("first"))
+    older = dated.join(first, F.col("rep") == F.col("i")).where(F.col("order") > F.col("first")).select("id")
     return art.join(older, "id", "left_anti")
 
 
+def _valid(art: DataFrame, block: Column) -> DataFrame:
+    return art.where(F.length(F.trim(F.coalesce("content", F.lit("")))) > 0).select("id", block.alias("block"), "pubtime", F.col("content").alias("text"))
+
+
+def _similar_texts(texts: DataFrame, threshold: float) -> DataFrame:
+    """Arcs between similar ones of different texts, and from each text that has terms to itself."""
+    w = content_weights(texts)
+    return materialize(arcs_of(w, pairs_of(w, threshold, strict=False)), "arcs")
+
+
 def by_reachability(art: DataFrame, group: list[str], threshold: float) -> DataFrame:
     """The articles reached from the newest of a group along pairs that are less similar than the threshold.
 
@@ -66,17 +76,19 @@ def by_reachability(art: DataFrame, group: list[str], threshold: float) -> DataF
     excluded are recounted against the reached until none is added; only pairs above the threshold are joined.
     """
     block = F.concat_ws("|", *group) if group else F.lit("all")
-    valid = art.where(F.length(F.trim(F.coalesce("content", F.lit("")))) > 0).select("id", block.alias("block"), "pubtime", F.col("content").alias("text"))
-    pairs = pairs_of(content_weights(valid.select("id", "block", "text")), threshold, strict=False)
-    arcs = materialize(pairs.select("i", "j").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"))), "arcs")
-    first = F.row_number().over(W.partitionBy("block").orderBy(newest())) == 1
-    state = materialize(valid.select("id", "block", "pubtime").withColumn("in", first).drop("pubtime"), "reach")
+    valid = _valid(art, block)
+    texts, members = distinct_texts(valid.select("id", "block", "text"))
+    arcs = _similar_texts(texts, threshold)
+    start = valid.groupBy("block").agg(F.min_by("id", newest()).alias("first"))
+    state = valid.join(members, "id").join(start, "block").select("id", "block", "rep", (F.col("id") == F.col("first")).alias("in"))
+    state = materialize(state, "reach")
     reached = state.where("in").count()
     while True:
-        close = arcs.join(state.where("in").select(F.col("id").alias("j")), "j").groupBy("i").agg(F.count(F.lit(1)).alias("close"))
+        counts = state.where("in").groupBy("rep").agg(F.count(F.lit(1)).alias("reached")).withColumnRenamed("rep", "j")
+        close = arcs.join(counts, "j").groupBy("i").agg(F.sum("reached").alias("close"))
         sizes = state.where("in").groupBy("block").agg(F.count(F.lit(1)).alias("size"))
-        step = state.join(sizes, "block").join(close, F.col("id") == F.col("i"), "left")
-        old, state = state, materialize(step.select("id", "block", (F.col("in") | (F.coalesce("close", F.lit(0)) < F.col("size"))).alias("in")), "reach")
+        step = state.join(sizes, "block").join(close, F.col("rep") == F.col("i"), "left")
+        old, state = state, materialize(step.select("id", "block", "rep", (F.col("in") | (F.coalesce("close", F.lit(0)) < F.col("size"))).alias("in")), "reach")
         discard(old)
         now = state.where("in").count()
         if now == reached:

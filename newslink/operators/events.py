@@ -10,10 +10,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newslink.operators.graph import components
-from newslink.operators.tfidf import similar_pairs
+from newslink.operators.tfidf import arcs_of, distinct_texts, pairs_of, term_frequency, tfidf
 from newslink.sources.storage import materialize
 
-#: Similar pairs (each counted twice) of a component up to which it is one group of a pandas function.
+#: Articles of a component, each with all texts that are similar to its own, up to which it is one group of a pandas function.
 GROUP_ARCS = 200_000
 ENTITY = r"(\p{Lu}[\p{L}\p{N}]{2,})"
 
@@ -40,44 +40,51 @@ def leader_clusters(art: DataFrame, entities: DataFrame, threshold: float = 0.35
     A group whose most frequent entity weighs less than min_entity gives its members back, but not its leader.
     Leaders only see their neighbours, so components of the similarity graph are independent: those of GROUP_ARCS at
     most are each one group for a pandas function, larger ones are led in rounds of joins; articles without neighbours
-    need neither.
+    need neither. Similarities are those of a day's different texts; copies of a text share its neighbours.
     """
     block = F.date_format("pubtime", "yyyy-MM-dd")
     docs = art.select("id", block.alias("block"), F.concat_ws(" ", "head", "content").alias("text"))
-    pairs = materialize(similar_pairs(docs, threshold).select("i", "j"), "pairs")
-    both = pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j")))
+    texts, members = distinct_texts(docs)
+    texts = materialize(texts, "texts")
+    w = materialize(tfidf(materialize(term_frequency(texts), "terms"), copies=texts.select("id", "copies")), "weights")
+    pairs = materialize(pairs_of(w, threshold).select("i", "j"), "pairs")
+    arcs = materialize(arcs_of(w, pairs), "arcs")
     found = components(pairs.select(F.col("i").alias("a"), F.col("j").alias("b")))
-    degrees = both.groupBy("i").agg(F.count(F.lit(1)).alias("arcs")).withColumnRenamed("i", "id")
-    named = materialize(found.join(degrees, "id"), "components")
+    sized = arcs.groupBy("i").agg(F.count(F.lit(1)).alias("arcs")).withColumnRenamed("i", "id").join(texts.select("id", "copies"), "id")
+    linked = sized.where("arcs > 1 or copies > 1").join(found, "id", "left")
+    named = linked.select(F.col("id").alias("rep"), F.coalesce("component", "id").alias("component"), (F.col("arcs") * F.col("copies")).alias("arcs"))
+    named = materialize(named, "components")
     small = F.broadcast if named.limit(GROUP_ARCS).count() < GROUP_ARCS else (lambda x: x)
     sizes = named.groupBy("component").agg((F.sum("arcs") <= GROUP_ARCS).alias("grouped"))
-    ranked = materialize(importance(art, entities).join(small(named.join(sizes, "component").drop("arcs")), "id", "left"), "ranked")
+    ranked = importance(art, entities).join(members, "id", "left").join(small(named.join(sizes, "component").drop("arcs")), "rep", "left")
+    ranked = materialize(ranked, "ranked")
     alone = ranked.where("component is null").select("date", F.col("id").alias("leader"), "id", F.col("rank").alias("leader_rank"))
     if min_entity:
         top = entities.groupBy("id").agg(F.max("weight").alias("top"))
         alone = alone.join(top, "id").where(F.col("top") >= min_entity).drop("top")
     alone = alone.select("date", "leader", "id", "leader_rank")
-    groups = _in_groups(ranked.where("grouped"), both, entities, min_entity)
-    rest = ranked.where("not grouped").select("date", "id", "rank")
+    groups = _in_groups(ranked.where("grouped"), arcs, entities, min_entity)
+    rest = ranked.where("not grouped").select("date", "id", "rank", "rep")
     if rest.limit(1).count():
-        groups = groups.unionByName(_in_rounds(rest, both, entities, min_entity))
+        groups = groups.unionByName(_in_rounds(rest, arcs, entities, min_entity))
     return groups.unionByName(alone)
 
 
-def _in_groups(ranked: DataFrame, both: DataFrame, entities: DataFrame, min_entity: int) -> DataFrame:
-    """Each component is one group, with the neighbour lists and entities of its articles."""
-    neighbours = both.join(ranked.select(F.col("id").alias("i")), "i").groupBy("i").agg(F.collect_list("j").alias("near")).withColumnRenamed("i", "id")
+def _in_groups(ranked: DataFrame, arcs: DataFrame, entities: DataFrame, min_entity: int) -> DataFrame:
+    """Each component is one group, with the similar texts and entities of its articles."""
+    near = arcs.join(ranked.select(F.col("rep").alias("i")).distinct(), "i").groupBy("i").agg(F.collect_list("j").alias("near")).withColumnRenamed("i", "rep")
     weights = entities.where(F.lit(min_entity) > 0).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("entity", "weight"))).alias("bag"))
-    linked = ranked.join(neighbours, "id").join(weights, "id", "left")
+    linked = ranked.join(near, "rep").join(weights, "id", "left")
 
     def greedy(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("rank")
         bags = dict(zip(group["id"], group["bag"], strict=True))
+        having = group.groupby("rep")["id"].apply(list).to_dict()
         used, rows = set(), []
         for leader, rank, near in zip(group["id"], group["rank"], group["near"], strict=True):
             if leader in used:
                 continue
-            members = [leader, *(x for x in near if x not in used)]
+            members = [leader, *(x for text in near for x in having[text] if x not in used and x != leader)]
             used.add(leader)
             if min_entity:
                 total: Counter = Counter()
@@ -89,26 +96,26 @@ def _in_groups(ranked: DataFrame, both: DataFrame, entities: DataFrame, min_enti
             rows += [(group["date"].iloc[0], leader, m, rank) for m in members]
         return pd.DataFrame(rows, columns=["date", "leader", "id", "leader_rank"])
 
-    return linked.select("date", "component", "id", "rank", "near", "bag").groupBy("date", "component").applyInPandas(greedy, "date date, leader bigint, id bigint, leader_rank bigint")
+    return linked.select("date", "component", "id", "rank", "rep", "near", "bag").groupBy("date", "component").applyInPandas(greedy, "date date, leader bigint, id bigint, leader_rank bigint")
 
 
-def _in_rounds(ranked: DataFrame, both: DataFrame, entities: DataFrame, min_entity: int) -> DataFrame:
-    """ranked(date, id, rank), arcs both(i, j): in each round, those lead that have the least rank within two steps.
+def _in_rounds(ranked: DataFrame, arcs: DataFrame, entities: DataFrame, min_entity: int) -> DataFrame:
+    """ranked(date, id, rank, rep), arcs(i, j) of texts: in each round, those lead that have the least rank within two steps.
 
-    Nobody before such an article can take it or a neighbour of it any more, so its group is known. Arcs of used articles
-    are dropped from round to round.
+    Nobody before such an article can take it or a neighbour of it any more, so its group is known. Arcs of texts whose
+    articles are all used are dropped from round to round.
     """
-    left, arcs, done = materialize(ranked, "left"), both, None
+    left, done = materialize(ranked, "left"), None
     while left.limit(1).count():
-        ends = left.select(F.col("id").alias("i"), F.col("rank").alias("ri")), left.select(F.col("id").alias("j"), F.col("rank").alias("rj"))
+        best = materialize(left.groupBy("rep").agg(F.min("rank").alias("best")), "best")
+        ends = best.select(F.col("rep").alias("i")), best.select(F.col("rep").alias("j"), "best")
         arcs = materialize(arcs.select("i", "j").join(ends[0], "i").join(ends[1], "j"), "arcs")
-        near = arcs.groupBy("i").agg(F.min("rj").alias("near"))
-        one = materialize(left.join(near, F.col("id") == F.col("i"), "left").select("date", "id", "rank", F.least("rank", "near").alias("near")), "near")
-        far = arcs.join(one.select(F.col("id").alias("j"), F.col("near").alias("far")), "j").groupBy("i").agg(F.min("far").alias("far"))
-        leaders = one.join(far, F.col("id") == F.col("i"), "left").where(F.col("rank") == F.least("near", F.coalesce("far", "near")))
-        leaders = materialize(leaders.select("date", F.col("id").alias("leader"), F.col("rank").alias("leader_rank")), "leaders")
-        taken = arcs.join(leaders, F.col("i") == F.col("leader")).select("date", "leader", F.col("j").alias("id"), "leader_rank")
-        groups = materialize(taken.unionByName(leaders.select("date", "leader", F.col("leader").alias("id"), "leader_rank")), "groups")
+        near = arcs.groupBy("i").agg(F.min("best").alias("near")).withColumnRenamed("i", "j")
+        far = arcs.join(near, "j").groupBy("i").agg(F.min("near").alias("far"))
+        leaders = left.join(far, F.col("rep") == F.col("i")).where(F.col("rank") == F.col("far"))
+        leaders = materialize(leaders.select("i", F.col("id").alias("leader"), F.col("rank").alias("leader_rank")), "leaders")
+        taken = materialize(arcs.join(leaders, "i").select(F.col("j").alias("rep"), "leader", "leader_rank"), "taken")
+        groups = materialize(left.join(taken, "rep").select("date", "leader", "id", "leader_rank"), "groups")
         if min_entity:
             total = groups.join(entities, "id").groupBy("leader", "entity").agg(F.sum("weight").alias("weight"))
             groups = materialize(groups.join(total.where(F.col("weight") >= min_entity).select("leader").distinct(), "leader", "left_semi"), "groups")

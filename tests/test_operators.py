@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from newslink.functions import scalars as S
-from newslink.operators import dedup, events, graph, revisions, tables, timeline
+from newslink.operators import dedup, events, graph, revisions, tables, tfidf, timeline
 from newslink.streaming import streams
 
 
@@ -171,6 +171,36 @@ def test_large_components_are_led_in_rounds(spark, monkeypatch, least):
     assert {tuple(r) for r in events.leader_clusters(art, entities, 0.35, least).collect()} == want and len(want) > 20
 
 
+@pytest.mark.parametrize("least", [0, 5, 9])
+@pytest.mark.parametrize("arcs", [200_000, 0])
+def test_copies_are_led_one_by_one(spark, monkeypatch, least, arcs):
+    rng = random.Random(least)
+    words = [f"Wort{chr(97 + k)}" for k in range(9)]
+    texts = [" ".join(rng.choice(words) for _ in range(4)) for _ in range(14)] + ["", "Ganz allein"]
+    rows = [(i, datetime(2024, 1, 1), "", rng.choice(texts)) for i in range(70)]
+    art = spark.createDataFrame(rows, "id bigint, pubtime timestamp_ntz, head string, content string")
+    entities = events.entity_weights(art)
+    docs = art.select("id", F.lit("d").alias("block"), "content").withColumnRenamed("content", "text")
+    near = {i: set() for i in range(70)}
+    for p in tfidf.similar_pairs(docs, 0.35).collect():  # the join of all articles, copies included
+        near[p.i].add(p.j)
+        near[p.j].add(p.i)
+    bags = {i: {} for i in range(70)}
+    for e in entities.collect():
+        bags[e.id][e.entity] = e.weight
+    used, want = set(), set()
+    for leader in sorted(near, key=lambda i: (-len(bags[i]), i)):
+        if leader in used:
+            continue
+        group = [leader, *(near[leader] - used)]
+        used.add(leader)
+        if max((sum(bags[m].get(x, 0) for m in group) for x in words + ["Ganz"]), default=0) >= least:
+            used.update(group)
+            want |= {(leader, m) for m in group}
+    monkeypatch.setattr(events, "GROUP_ARCS", arcs)
+    assert {(r.leader, r.id) for r in events.leader_clusters(art, entities, 0.35, least).collect()} == want and want
+
+
 def test_incremental_diffs_keep_state_between_runs(spark, tmp_path):
     schema = "article_id bigint, revid bigint, ts timestamp_ntz, content string"
     source, out = str(tmp_path / "in"), str(tmp_path / "out")

@@ -121,6 +121,29 @@ def test_content_is_compared_by_words_and_bigrams(spark):
     assert dedup.by_content(art, ["g"], 0.85).count() == 5
 
 
+def test_copies_are_compared_once(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"wort{chr(97 + k)}" for k in range(26)]
+    base = [" ".join(rng.choice(words) for _ in range(8)) for _ in range(6)] + ["1 2", " "]
+    texts = [rng.choice(base) for _ in range(40)]
+    times = [datetime(2024, 1, 1) + timedelta(minutes=rng.randrange(9)) for _ in texts]
+    rows = [(i, t, x, "g") for i, (t, x) in enumerate(zip(times, texts, strict=True))]
+    art = spark.createDataFrame(rows, "id bigint, pubtime timestamp_ntz, content string, g string")
+    valid = [i for i, x in enumerate(texts) if x.strip()]
+    blank, times, texts = set(range(40)) - set(valid), [times[i] for i in valid], [texts[i] for i in valid]
+    for threshold in (0.4, 0.9):
+        assert {r.id for r in dedup.by_content(art, ["g"], threshold).collect()} == blank | {valid[i] for i in brute_strict(times, texts, threshold)}
+        assert {r.id for r in dedup.by_reachability(art, ["g"], threshold).collect()} == blank | {valid[i] for i in brute_reached(times, texts, threshold)}
+
+
+def test_reachability_takes_many_rounds_over_different_texts(spark, monkeypatch):
+    n = 24
+    pairs = spark.createDataFrame([(i, j) for j in range(n) for i in range(j - 1)], "i bigint, j bigint")
+    monkeypatch.setattr(dedup, "pairs_of", lambda *a, **k: pairs)
+    rows = [(i, datetime(2024, 1, 2) - timedelta(minutes=i), f"text{chr(97 + i)}") for i in range(n)]
+    assert dedup.by_reachability(spark.createDataFrame(rows, "id bigint, pubtime timestamp_ntz, content string"), [], 0.85).count() == n
+
+
 def test_reachability_goes_on_until_nothing_is_added(spark, monkeypatch):
     n = 24
     pairs = spark.createDataFrame([(i, j) for j in range(n) for i in range(j - 1)], "i bigint, j bigint")
