@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import unicodedata
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,22 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             begin = end
 
 
+def releasing(step: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A worker function that gives freed memory back to the system at its end, as Spark keeps idle workers for later tasks."""
+
+    @wraps(step)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from step(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+
+    return run
+
+
 LETTER, NUMBER, OTHER, SPACE, EDGE = 0, 1, 2, 3, 4
 #: The code points with the Unicode property White_Space.
 WHITE_SPACE = (9, 10, 11, 12, 13, 32, 133, 160, 5760, 8192, 8193, 8194, 8195, 8196, 8197, 8198, 8199, 8200, 8201, 8202, 8232, 8233, 8239, 8287, 12288)

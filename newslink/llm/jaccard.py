@@ -42,7 +42,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newslink.llm.common import STEP_CHARS, SegmentHasher, materialize, mix, pick, raw_texts, scratch, slices
+from newslink.llm.common import STEP_CHARS, SegmentHasher, materialize, mix, pick, raw_texts, releasing, scratch, slices
 from newslink.operators.graph import components
 
 SHINGLE = 4
@@ -114,6 +114,7 @@ def _with_sets(rows: DataFrame, size: int) -> DataFrame:
     names = [c for c in rows.columns if c != "text"]
     schema = T.StructType([rows.schema[c] for c in names] + [T.StructField("tokens", T.BinaryType())])
 
+    @releasing
     def make(batches):
         for batch in slices(batches, "text", STEP_CHARS):
             texts = raw_texts(batch.column("text"))
@@ -130,6 +131,7 @@ def _with_sets(rows: DataFrame, size: int) -> DataFrame:
 def _prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, n, name, check, and each set's prefix, once for equal sets that come together (else null)."""
 
+    @releasing
     def make(batches):
         for batch in slices(batches, "text", STEP_CHARS):
             sets, columns = _named(batch, size)
@@ -225,6 +227,7 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 def _pool_edges(rows: DataFrame, percent: int) -> DataFrame:
     """Links (a, b: class ids) of all pools and pairs of blocks; rows of one come one after the other."""
 
+    @releasing
     def link(batches: Iterator[pa.RecordBatch]):
         key, sets, groups = None, {}, {}
         for batch in batches:
@@ -244,6 +247,7 @@ def _pool_edges(rows: DataFrame, percent: int) -> DataFrame:
 def _pivot_edges(rows: DataFrame, percent: int) -> DataFrame:
     """Links of each pool's pivot, which comes first in every block, with the sets of the block."""
 
+    @releasing
     def link(batches: Iterator[pa.RecordBatch]):
         key, ident, pivot = None, 0, np.zeros(0, np.uint64)
         for batch in batches:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newslink.llm import crf
-from newslink.llm.common import STEP_CHARS, held_out, pick, sample_texts, slices, texts_of
+from newslink.llm.common import STEP_CHARS, held_out, pick, releasing, sample_texts, slices, texts_of
 
 FEATURES = {"bits": 18, "prefixes": (2, 3), "suffixes": (2, 3), "grams": (2, 3)}
 #: Documents of each language that the model is fitted on at most (chosen by a hash of doc_id).
@@ -48,6 +48,7 @@ def learn(docs: DataFrame, max_rows: int = MAX_ROWS, epochs: int = 4) -> crf.Mod
 def predict(docs: DataFrame, model: crf.Model | None) -> DataFrame:
     """doc_id, text_key (a hash of the text), lang_pred, score and the number of words of each language."""
 
+    @releasing
     def label(batches):
         for batch in slices(batches, "text", STEP_CHARS):
             texts = texts_of(batch.column("text"))
@@ -79,6 +80,7 @@ def keep_identified(docs: DataFrame, model: crf.Model | None, least: float) -> D
     texts are sent to Python, in steps of STEP_CHARS bytes; further columns of any name stay where they are.
     """
 
+    @releasing
     def sure(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             flags = []

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from newslink.llm.common import pick, raw_texts, slices
+from newslink.llm.common import pick, raw_texts, releasing, slices
 
 BLOCK = 64
 #: Blocks that are decoded side by side at most, unless one image has more.
@@ -331,6 +331,7 @@ def payload_of(h: Header, values: np.ndarray) -> tuple[bytes, int] | None:
 def store_media(docs: DataFrame) -> DataFrame:
     """doc_id and the JPEG that holds the text's UTF-8 bytes."""
 
+    @releasing
     def store(batches):
         for batch in slices(batches, "text", LANES * BLOCK):
             files = encode(raw_texts(batch.column("text")))
@@ -344,6 +345,7 @@ def media_features(media: DataFrame) -> DataFrame:
     schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, width bigint, height bigint, thumb_hash string"
     names = [x.split()[0] for x in schema.split(", ")]
 
+    @releasing
     def features(batches):
         for batch in slices(batches, "media", LANES * BLOCK):
             rows = []

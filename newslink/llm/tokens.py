@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from newslink.llm.common import LETTER, SPACE, STEP_CHARS, CodePoints, SegmentHasher, pick, shared_dir, slices, texts_of
+from newslink.llm.common import LETTER, SPACE, STEP_CHARS, CodePoints, SegmentHasher, pick, releasing, shared_dir, slices, texts_of
 
 ROWS = 256
 SEQ_LEN = 2048
@@ -263,6 +263,7 @@ def write_sequences(docs: DataFrame, out_dir: str, tokenizer_file: str, seq_len:
     A retried task writes the same bytes under a name of its own and renames them, so shards are never half written.
     """
 
+    @releasing
     def shard(batches):
         context = TaskContext.get()
         fs, root = _files(out_dir)
@@ -299,6 +300,7 @@ def write_sequences(docs: DataFrame, out_dir: str, tokenizer_file: str, seq_len:
 def read_documents(manifest: DataFrame, out_dir: str) -> DataFrame:
     """Each document's place in the whole stream and the checksum of its ids, from the files that the manifest names."""
 
+    @releasing
     def read(batches):
         for batch in batches:
             for name, base in zip(batch.column("name").to_pylist(), batch.column("base").to_pylist(), strict=True):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newslink.llm import crf
-from newslink.llm.common import STEP_CHARS, held_out, mix, pick, sample_texts, slices, texts_of
+from newslink.llm.common import STEP_CHARS, held_out, mix, pick, releasing, sample_texts, slices, texts_of
 
 FEATURES = {"bits": 18, "prefixes": (3, 4, 5, 6, 7), "suffixes": (3, 5), "grams": ()}
 #: Labelled documents of each kind that the model is fitted on at most (chosen by a hash of doc_id).
@@ -144,6 +144,7 @@ def _word_labels(batches: list[crf.Words], y: np.ndarray) -> list[np.ndarray]:
 def score(docs: DataFrame, model: Toxicity) -> DataFrame:
     """doc_id, score, and the toxic spans (start, end in code points, probability) of every text."""
 
+    @releasing
     def tag(batches):
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
         for batch in slices(batches, "text", STEP_CHARS):
