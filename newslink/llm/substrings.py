@@ -20,7 +20,8 @@ of whole buckets in steps of CHUNK bytes, unless one bucket has more.
 
 Null and empty texts, and texts under LENGTH bytes, lose nothing. Rows with the same doc_id do not repeat each other.
 A null doc_id counts as smaller than all others. An empty table gives no row. Bytes need not be UTF-8; columns beside
-doc_id and text are not looked at. A very long text is one batch's, whatever its length.
+doc_id and text are not looked at. Batches are cut by bytes, BATCH_BYTES and one more text at most, so there are more of
+them and of parts when the table grows; a very long text is one batch's, whatever its length.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newslink.llm.common import SegmentHasher, mix, pick, raw_texts
@@ -41,6 +42,8 @@ STEP = GRAM + 1
 FIRST = 8
 #: Bytes whose identifiers are computed in one go, unless one document has more.
 CHUNK = 1 << 20
+#: Bytes of text of a batch, beside its last text.
+BATCH_BYTES = 1 << 25
 MATCHED, MIXED = 1, 2
 _FIRST, _SECOND, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _NULL = -(1 << 63)
@@ -238,17 +241,44 @@ def _flags(replies: pa.Table, rounds: int) -> dict[int, bytes]:
     return {r["part"]: r["flags"] for r in replies.to_pylist() if r["round"] == rounds}
 
 
-def _batched(docs: DataFrame, batches: int) -> DataFrame:
-    """docs with `batch`, ranges of doc_id with about as many rows each, dealt by it."""
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)] or [0.5], 10_000)).first()[0] or []
-    number = F.size(F.filter(F.array(*[F.lit(c).cast("bigint") for c in sorted(set(cuts))]), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
-    return docs.withColumn("batch", F.coalesce(F.when(F.col("doc_id").isNotNull(), number), F.lit(0)).cast("bigint")).repartition(batches, "batch")
+def _batch_ends(docs: DataFrame, least: int, limit: int) -> list[int]:
+    """The last doc_id of each batch, in ascending order: ranges of doc_id of `limit` bytes and one row at most.
 
+    Only ids and sizes are shuffled; the driver gets one number for each batch.
+    """
 
-def substring_dedup(spark: SparkSession, docs: DataFrame, batches: int | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs."""
-    parts = batches or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = _batched(pick(docs, doc_id="bigint", text="string"), parts)
+    def ends(batches):
+        total, last = 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, sums = np.asarray(batch.column("doc_id")), total + np.cumsum(np.asarray(batch.column("size")))
+            full = sums // limit > np.append(total, sums[:-1]) // limit
+            yield pa.record_batch({"last": pa.array(ids[full], pa.int64())})
+            total, last = int(sums[-1]), int(ids[-1])
+        if last is not None:
+            yield pa.record_batch({"last": pa.array([last], pa.int64())})
+
+    sizes = docs.where("doc_id is not null").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("size"))
+    found = sizes.repartitionByRange(least, "doc_id").sortWithinPartitions("doc_id").mapInArrow(ends, "last bigint").distinct()
+    return sorted(r.last for r in found.collect())
+
+
+def _number(value: Column, ends: list[int]) -> Column:
+    """How many of the ascending ends are below value, by binary search in one literal array; null counts as below all."""
+    table = F.split(F.lit(",".join(map(str, ends))), ",").cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << k).cast("bigint") for k in reversed(range(len(ends).bit_length()))])
+    found = F.aggregate(steps, F.lit(0).cast("bigint"), lambda at, step: F.when(F.coalesce(F.get(table, (at + step - 1).cast("int")) < value, F.lit(False)), at + step).otherwise(at))
+    return F.coalesce(F.when(value.isNotNull(), found), F.lit(0).cast("bigint"))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, batches: int | None = None, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs; batches is the least number of batches."""
+    least = batches or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    docs = pick(docs, doc_id="bigint", text="string")
+    ends = _batch_ends(docs, least, batch_bytes)
+    parts = max(least, len(ends))
+    dealt = docs.withColumn("batch", _number(F.col("doc_id"), ends) if ends else F.lit(0).cast("bigint")).repartition(parts, "batch")
 
     def send(table: pa.Table) -> pa.Table:
         x = Batch(table)

@@ -1,5 +1,6 @@
 """Each operator against brute force on small inputs, and on nulls, empty texts, ties, repeats and empty tables."""
 
+import bisect
 import hashlib
 import random
 import re
@@ -199,11 +200,19 @@ def test_secret_links(spark):
     assert rows[4].spans == "assign:2:18" and rows[4].base_sha256 == hashlib.sha256(b"assign:2:18").hexdigest()
 
 
-def test_substrings_against_brute_force(spark):
+def test_batch_numbers_count_the_ends_below(spark):
+    for ends in ([0], [-5, 0, 3, 4, 10, 11, 12, 50], list(range(-7, 40, 3))):
+        rows = spark.range(-10, 60).select("id", substrings._number(F.col("id"), ends).alias("n")).collect()
+        assert all(r.n == bisect.bisect_left(ends, r.id) for r in rows)
+        assert spark.sql("select cast(null as bigint) id").select(substrings._number(F.col("id"), ends)).first()[0] == 0
+
+
+@pytest.mark.parametrize("batch_bytes", [1, 700, 1 << 25])
+def test_substrings_against_brute_force(spark, batch_bytes):
     rng = random.Random(8)
     parts = ["".join(rng.choice("abcé ") for _ in range(rng.choice((20, 49, 50, 51, 90, 200)))) for _ in range(12)]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 6))) for _ in range(60)] + ["a" * 300, "a" * 120]
-    got = {r.doc_id: r for r in substrings.substring_dedup(spark, frame(spark, texts), batches=5).collect()}
+    got = {r.doc_id: r for r in substrings.substring_dedup(spark, frame(spark, texts), 5, batch_bytes).collect()}
     seen = set()
     for i, text in enumerate(texts):
         t = text.encode()
