@@ -42,6 +42,8 @@ STEP = GRAM + 1
 FIRST = 8
 #: Bytes whose identifiers are computed in one go, unless one document has more.
 CHUNK = 1 << 20
+#: Partitions for each batch, so that few batches fall into one by their hash.
+SPREAD = 4
 #: Bytes of text of a batch, beside its last text.
 BATCH_BYTES = 1 << 25
 MATCHED, MIXED = 1, 2
@@ -278,7 +280,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, batches: int | None =
     docs = pick(docs, doc_id="bigint", text="string")
     ends = _batch_ends(docs, least, batch_bytes)
     parts = max(least, len(ends))
-    dealt = docs.withColumn("batch", _number(F.col("doc_id"), ends) if ends else F.lit(0).cast("bigint")).repartition(parts, "batch")
+    dealt = docs.withColumn("batch", _number(F.col("doc_id"), ends) if ends else F.lit(0).cast("bigint")).repartition(SPREAD * parts, "batch")
 
     def send(table: pa.Table) -> pa.Table:
         x = Batch(table)
