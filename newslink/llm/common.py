@@ -156,16 +156,17 @@ def word_runs(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def held_out(doc_id) -> object:
-    """Whether a document is kept from learning: crc32 of its doc_id as text leaves 2 when divided by 4."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+def held_out(doc_id, folds: int = 4, fold: int = 2) -> object:
+    """Whether a document is kept from learning: crc32 of its doc_id as text leaves `fold` when divided by `folds`."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
 def sample_texts(docs: DataFrame, labelled: DataFrame, max_rows: int, max_bytes: int) -> list:
     """Rows (doc_id, label, text) to fit a model on: at most max_rows documents of each label, by a hash of doc_id.
 
-    A label's texts have max_bytes together at most. Null and empty texts and repeated rows are left out. The order is
-    that of another hash, so that labels are mixed.
+    A label's texts have max_bytes together at most: first those of up to a sixteenth of that, in order of the hash, then
+    longer ones, shortest first. The first of them is taken whatever its size, so that no label is lost. Null and empty
+    texts and repeated rows are left out. The order is that of another hash, so that labels are mixed.
     """
     known = labelled.where("doc_id is not null")
     sizes = known.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
@@ -175,6 +176,12 @@ def sample_texts(docs: DataFrame, labelled: DataFrame, max_rows: int, max_bytes:
     ranked = near.select("doc_id", "label").distinct().withColumn("place", F.row_number().over(W.partitionBy("label").orderBy(F.shiftrightunsigned(F.xxhash64("doc_id"), 11), "doc_id")))
     chosen = ranked.where(F.col("place") <= max_rows).select(F.col("doc_id").alias("chosen_id"), "label", "place")
     texts = pick(docs, doc_id="bigint", text="string").where("length(text) > 0").join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id"))
-    summed = F.sum(F.octet_length("text")).over(W.partitionBy("label").orderBy("place", "doc_id", "text"))
-    rows = texts.select("doc_id", "label", "place", "text").distinct().withColumn("summed", summed).where(F.col("summed") <= max_bytes)
-    return sorted(rows.select("doc_id", "label", F.make_valid_utf8("text").alias("text")).collect(), key=lambda r: (r.doc_id * 2654435761 % 4294967291, r.text))
+    # Sizes are summed without the texts, which are joined to the rows that stay.
+    keyed = texts.select("doc_id", "label", "place", F.octet_length("text").cast("bigint").alias("bytes"), F.xxhash64("text").alias("key")).distinct()
+    long = F.when(F.col("bytes") * 16 > max_bytes, F.col("bytes")).otherwise(0)
+    order = W.partitionBy("label").orderBy(long, "place", "doc_id", "key")
+    kept = keyed.withColumns({"summed": F.sum("bytes").over(order), "turn": F.row_number().over(order)}).where((F.col("turn") == 1) | (F.col("summed") <= max_bytes))
+    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("label").alias("kept_label"), F.col("key").alias("kept_key"))
+    rows = texts.withColumn("key", F.xxhash64("text")).join(F.broadcast(kept), (F.col("doc_id") == F.col("kept_id")) & (F.col("label") == F.col("kept_label")) & (F.col("key") == F.col("kept_key")))
+    rows = rows.select("doc_id", "label", F.make_valid_utf8("text").alias("text")).dropDuplicates(["doc_id", "label", "text"])
+    return sorted(rows.collect(), key=lambda r: (r.doc_id * 2654435761 % 4294967291, r.text))

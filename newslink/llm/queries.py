@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from newslink.llm import alignment, decontam, jaccard, langid, media, mixing, runs, secrets, substrings, tokens, toxicity, urlfilter
+from newslink.llm import alignment, decontam, jaccard, langid, media, mixing, quality, runs, secrets, substrings, tokens, toxicity, urlfilter
 from newslink.llm.common import table
 
 
@@ -54,9 +54,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.periodic_runs(table(spark, sf_dir, "documents"), change=runs.repeated)
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_toxicity, op3_mixture, op4_decontaminate, op5_token_ids, op6_secrets, op7_language_id, op8_substring_dedup, op9_url_filter, op10_jaccard_join, op11_periodic_runs, op13_token_alignment)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_toxicity, op3_mixture, op4_decontaminate, op5_token_ids, op6_secrets, op7_language_id, op8_substring_dedup, op9_url_filter, op10_jaccard_join, op11_periodic_runs, op12_quality, op13_token_alignment)}
 ORACLES: dict[str, str] = {"op3_mixture": mixing.ORACLE, "op4_decontaminate": decontam.ORACLE, "op6_secrets": secrets.ORACLE, "op9_url_filter": urlfilter.ORACLE, "op10_jaccard_join": jaccard.ORACLE}
