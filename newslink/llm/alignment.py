@@ -33,6 +33,7 @@ import re
 from dataclasses import dataclass, field
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -48,12 +49,15 @@ CHUNK = 1 << 16
 #: Fragments that one step of the tree composes.
 FAN = 8
 #: Characters of the documents whose pairs are counted together.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 #: Segments that a worker remembers, and their characters; beyond either, all are forgotten before the next step.
-MEMORY, MEMORY_CHARS = 150_000, 5_000_000
+MEMORY, MEMORY_CHARS = 300_000, 6_000_000
 #: A blank, and what follows up to a blank after a character that is no white space.
 SEGMENT = re.compile(r" [^ ]*(?:(?<=\s) [^ ]*)*")
 _BLANK = "▁"
+#: Segments that are learned at once.
+STEP = 5000
+_TENS = 10 ** np.arange(1, 5)
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -73,14 +77,14 @@ class Tokens:
     def common(self) -> np.ndarray:
         return np.intersect1d(self.ends_a, self.ends_b, assume_unique=True)
 
-    def links(self, low: int = 0, high: int | None = None) -> np.ndarray:
-        """A code, A id << 16 | B id, of every link: one for each end of a token, by the tokens that cover the byte before it.
+    def links(self, low: int = 0, high: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ends of all links, and their codes, A id << 16 | B id: one for each end of a token, by the tokens that cover the byte before it.
 
         Only ends after byte low, up to byte high; the tokens may go on beyond.
         """
         ends = np.union1d(self.ends_a, self.ends_b)
-        ends = ends[(ends > low) & (ends <= (high if high is not None else ends[-1]))]
-        return (self.a[np.searchsorted(self.ends_a, ends)] << 16 | self.b[np.searchsorted(self.ends_b, ends)]).astype(np.uint32)
+        ends = ends[(ends > low) & (ends <= (ends[-1] if high is None else high))] if len(ends) else ends
+        return ends, (self.a[np.searchsorted(self.ends_a, ends)] << 16 | self.b[np.searchsorted(self.ends_b, ends)]).astype(np.uint32)
 
     def part(self, low: int, high: int) -> Tokens:
         """The tokens that end after byte low, up to byte high."""
@@ -88,12 +92,26 @@ class Tokens:
         y = np.searchsorted(self.ends_b, [low, high], side="right")
         return Tokens(self.a[slice(*x)], self.ends_a[slice(*x)], self.b[slice(*y)], self.ends_b[slice(*y)])
 
-    def groups(self) -> list[str]:
-        """`a1,a2|b1` for each group; the last token of both must end together."""
+    def rendered(self) -> tuple[bytes, np.ndarray]:
+        """`a1,a2|b1;` for each group, all in one, and where each group ends there; the last token of both must end together."""
         cuts = self.common()
-        x, y = np.searchsorted(self.ends_a, cuts) + 1, np.searchsorted(self.ends_b, cuts) + 1
-        a, b = self.a.tolist(), self.b.tolist()
-        return [group(a[i:j], b[k:m]) for i, j, k, m in zip([0, *x[:-1].tolist()], x.tolist(), [0, *y[:-1].tolist()], y.tolist(), strict=True)] if len(cuts) else []
+        last_a, last_b = np.isin(self.ends_a, cuts, assume_unique=True), np.isin(self.ends_b, cuts, assume_unique=True)
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        n_a, n_b = np.bincount(group_a, minlength=len(cuts)), np.bincount(group_b, minlength=len(cuts))
+        # A group's A tokens stand before its B tokens, after all tokens of the groups before it.
+        at_a = np.arange(len(self.a)) + (np.cumsum(n_b) - n_b)[group_a]
+        at_b = np.arange(len(self.b)) + np.cumsum(n_a)[group_b]
+        ids, signs = np.empty(len(self.a) + len(self.b), np.int64), np.empty(len(self.a) + len(self.b), np.uint8)
+        ids[at_a], ids[at_b] = self.a, self.b
+        signs[at_a], signs[at_b] = np.where(last_a, ord("|"), ord(",")), np.where(last_b, ord(";"), ord(","))
+        digits = 1 + np.searchsorted(_TENS, ids, side="right")
+        stops = np.cumsum(digits + 1)
+        out = np.empty(int(stops[-1]) if len(stops) else 0, np.uint8)
+        for k in range(len(_TENS) + 1):
+            some = np.flatnonzero(digits > k)
+            out[stops[some] - 2 - k] = ids[some] // 10**k % 10 + ord("0")
+        out[stops - 1] = signs
+        return out.tobytes(), stops[at_b[last_b]]
 
 
 def group(a: list[int], b: list[int]) -> str:
@@ -101,7 +119,7 @@ def group(a: list[int], b: list[int]) -> str:
 
 
 class Aligner:
-    """Both tokenizers, and the aligned segments that were seen before."""
+    """Both tokenizers, and what the segments that were seen before give: links, groups as text, counts."""
 
     def __init__(self, file_a: str, file_b: str):
         import sentencepiece
@@ -114,74 +132,109 @@ class Aligner:
         pieces = [self.two.id_to_piece(i) for i in range(self.two.get_piece_size())]
         if any(_BLANK in p.lstrip(_BLANK) for p in pieces):
             raise ValueError("the second tokenizer has pieces that go on over a blank")
-        bytes_of = byte_alphabet()
-        self.bytes_a = {i: bytes(bytes_of[c] for c in t) for t, i in self.one.get_vocab(with_added_tokens=True).items() if all(c in bytes_of for c in t)}
+        bytes_of, vocabulary = byte_alphabet(), self.one.get_vocab(with_added_tokens=True)
+        if max(*vocabulary.values(), len(pieces)) >= 1 << 16:
+            raise ValueError("ids of more than 16 bits do not fit into a pair's code")
+        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
+        for t, i in vocabulary.items():
+            if all(c in bytes_of for c in t):
+                self.bytes_a[i] = bytes(bytes_of[c] for c in t)
         self.bytes_b = [bytes([int(m[1], 16)]) if self.two.is_byte(i) and (m := _BYTE.fullmatch(p)) else p.replace(_BLANK, " ").encode() for i, p in enumerate(pieces)]
+        self.sizes_a, self.sizes_b = (np.array([len(x) for x in table]) for table in (self.bytes_a, self.bytes_b))
         self.blank = self.two.piece_to_id(_BLANK)
         self._forget()
 
     def _forget(self) -> None:
         self.slots: dict[str, int] = {}
         self.held = 0
-        self.known: list[Tokens | None] = []
-        self.text: list[str] = []
-        self.links: list[np.ndarray] = []
-        self.counts: list[tuple[int, int, int]] = []
+        self.text: list[bytes | None] = []  # None: the tokens do not give the segment back
+        self.counts = np.zeros((1 << 12, 3), np.int64)
+        self.offsets, self.lengths = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.pool, self.used = np.zeros(1 << 14, np.uint32), 0
 
-    def _align(self, segments: list[str]) -> None:
-        a = self.one.encode_batch(segments, add_special_tokens=False)
+    def _ids(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        a = [x.ids for x in self.one.encode_batch(segments, add_special_tokens=False)]
         b = self.two.encode([s[1:] for s in segments], num_threads=1)
-        for s, x, y in zip(segments, a, b, strict=True):
-            ids_a, ids_b = x.ids, y if len(s) > 1 else [self.blank]
-            self.slots[s] = len(self.known)
-            self.held += len(s)
-            parts_a, parts_b = [self.bytes_a.get(i, b"") for i in ids_a], [self.bytes_b[i] for i in ids_b]
-            whole = s.encode()
-            if b"".join(parts_a) != whole or b"".join(parts_b) != whole or b"" in parts_a or b"" in parts_b:
-                tokens = None
-                self.text.append("")
-                self.links.append(np.zeros(0, np.uint32))
-                self.counts.append((0, 0, 0))
-            else:
-                tokens = Tokens(np.array(ids_a, np.int64), np.cumsum([len(p) for p in parts_a]), np.array(ids_b, np.int64), np.cumsum([len(p) for p in parts_b]))
-                groups = tokens.groups()
-                self.text.append(";".join(groups))
-                self.links.append(tokens.links())
-                self.counts.append((len(ids_a), len(ids_b), len(groups)))
-            self.known.append(tokens)
-
-    def _slots_of(self, texts: list[str]) -> list[list[int]]:
-        """Slots of the segments of each text (which begins with a blank or is empty)."""
+        return a, [ids if len(s) > 1 else [self.blank] for s, ids in zip(segments, b, strict=True)]
+
+    def _sound(self, segments: list[bytes], a: list[list[int]], b: list[list[int]]) -> np.ndarray:
+        """Whether both sides' tokens give each segment's bytes, none of them empty."""
+        sizes, sound = np.fromiter(map(len, segments), np.int64, len(segments)), np.ones(len(segments), bool)
+        for side, table, bytes_of in ((a, self.bytes_a, self.sizes_a), (b, self.bytes_b, self.sizes_b)):
+            flat = list(chain.from_iterable(side))
+            each = bytes_of[flat] if flat else np.zeros(0, np.int64)
+            stops = np.cumsum(np.fromiter(map(len, side), np.int64, len(side)))
+            total = np.append(0, np.cumsum(each))[stops]
+            if (each > 0).all() and np.array_equal(total, np.cumsum(sizes)) and b"".join([table[i] for i in flat]) == b"".join(segments):
+                continue  # the same bytes, cut at the same places
+            sound &= [all(bytes_of[ids] > 0) and b"".join([table[i] for i in ids]) == s if ids else False for s, ids in zip(segments, side, strict=True)]
+        return sound
+
+    def _learn(self, segments: list[str]) -> None:
+        """Align new segments, all in one pass over their bytes put one after the other: every segment's end is a common end."""
+        a, b = self._ids(segments)
+        raw = [s.encode() for s in segments]
+        sound = self._sound(raw, a, b)
+        base = len(self.text)
+        self.held += sum(map(len, segments))
+        self.slots.update(zip(segments, range(base, base + len(segments)), strict=True))
+        if base + len(segments) > len(self.offsets):
+            more = max(base + len(segments), 2 * len(self.offsets))
+            self.offsets, self.lengths = np.resize(self.offsets, more), np.resize(self.lengths, more)
+            self.counts = np.resize(self.counts, (more, 3))
+        rows = np.flatnonzero(sound)
+        kept = rows.tolist()
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(side[i] for i in kept), np.int64) for side in (a, b))
+        ends = np.cumsum([len(raw[i]) for i in kept])
+        tokens = Tokens(flat_a, np.cumsum(self.sizes_a[flat_a]), flat_b, np.cumsum(self.sizes_b[flat_b]))
+        of = lambda at: np.bincount(np.searchsorted(ends, at), minlength=len(kept))
+        at, codes = tokens.links()
+        links, groups = of(at), of(tokens.common())
+        n_a, n_b = (np.fromiter((len(side[i]) for i in kept), np.int64, len(kept)) for side in (a, b))
+        here = slice(base, base + len(segments))
+        self.counts[here], self.lengths[here], self.offsets[here] = 0, 0, 0
+        self.counts[base + rows] = np.stack([n_a, n_b, groups], axis=1)
+        self.lengths[base + rows] = links
+        self.offsets[base + rows] = self.used + np.cumsum(links) - links
+        if self.used + len(codes) > len(self.pool):
+            self.pool = np.resize(self.pool, max(self.used + len(codes), 2 * len(self.pool)))
+        self.pool[self.used : self.used + len(codes)] = codes
+        self.used += len(codes)
+        whole, cuts = tokens.rendered()
+        stops = cuts[np.cumsum(groups) - 1].tolist() if len(kept) else []
+        texts: list[bytes | None] = [None] * len(segments)
+        for i, begin, stop in zip(kept, [0, *stops[:-1]], stops, strict=True):
+            texts[i] = whole[begin : stop - 1]
+        self.text += texts
+
+    def documents(self, texts: list[str]) -> list[tuple | None]:
+        """(n_a, n_b, n_groups, digest, codes of all links) of each text, None where it has no tokens. Texts come with their blank."""
         if len(self.slots) > MEMORY or self.held > MEMORY_CHARS:
             self._forget()
         cut = [SEGMENT.findall(t) for t in texts]
         new = list(dict.fromkeys(s for segments in cut for s in segments if s not in self.slots))
-        for k in range(0, len(new), 2000):
-            self._align(new[k : k + 2000])
-        slots = self.slots
-        return [[slots[s] for s in segments] for segments in cut]
-
-    def documents(self, texts: list[str]) -> list[tuple | None]:
-        """(n_a, n_b, n_groups, digest, codes of all links) of each text, None where it has no tokens. Texts come with their blank."""
+        for k in range(0, len(new), STEP):
+            self._learn(new[k : k + STEP])
         out: list[tuple | None] = []
-        for slots in self._slots_of(texts):
-            if not slots or any(self.known[k] is None for k in slots):
+        for segments in cut:
+            slots = [self.slots[s] for s in segments]
+            parts = [self.text[k] for k in slots]
+            if not slots or None in parts:
                 out.append(None)
                 continue
-            n = np.array([self.counts[k] for k in slots]).sum(axis=0).tolist()
-            digest = sha256(";".join([self.text[k] for k in slots]).encode()).hexdigest()
-            out.append((*n, digest, np.concatenate([self.links[k] for k in slots])))
+            at = np.array(slots)
+            n = self.lengths[at]
+            places = np.repeat(self.offsets[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            out.append((*self.counts[at].sum(axis=0).tolist(), sha256(b";".join(parts)).hexdigest(), self.pool[places]))
         return out
 
     def tokens(self, text: str) -> Tokens | None:
-        """All tokens of a stretch between two cuts, None if some do not give its bytes back."""
-        parts = [self.known[k] for k in self._slots_of([text])[0]]
-        if not parts or any(p is None for p in parts):
+        """All tokens of a stretch between two cuts, None if they do not give its bytes back."""
+        a, b = self._ids([text])
+        if not self._sound([text.encode()], a, b)[0]:
             return None
-        sizes = np.array([p.ends_a[-1] for p in parts])
-        base = (np.cumsum(sizes) - sizes).tolist()
-        ends_a, ends_b = (np.concatenate([e + z for e, z in zip(x, base, strict=True)]) for x in ([p.ends_a for p in parts], [p.ends_b for p in parts]))
-        return Tokens(np.concatenate([p.a for p in parts]), ends_a, np.concatenate([p.b for p in parts]), ends_b)
+        x, y = np.array(a[0]), np.array(b[0])
+        return Tokens(x, np.cumsum(self.sizes_a[x]), y, np.cumsum(self.sizes_b[y]))
 
 
 @lru_cache(2)
@@ -221,8 +274,8 @@ def fragment(tokens: Tokens, k: int) -> tuple[Fragment, str]:
         return Fragment(tokens.a.tolist(), tokens.b.tolist()), ""
     low, high = int(cuts[0]), int(cuts[-1])
     head, inner, tail = tokens.part(-1, low), tokens.part(low, high), tokens.part(high, 1 << 62)
-    groups = inner.groups()
-    return Fragment(head.a.tolist(), head.b.tolist(), tail.a.tolist(), tail.b.tolist(), k, len(groups)), ";".join(groups)
+    text, stops = inner.rendered()
+    return Fragment(head.a.tolist(), head.b.tolist(), tail.a.tolist(), tail.b.tolist(), k, len(stops)), text[:-1].decode()
 
 
 def ranges(cuts: np.ndarray, chunk: int) -> list[tuple[int, int, int, int]]:
@@ -260,18 +313,19 @@ class _Block:
             self.rows.append((doc_id, *found[:4]))
             codes, times = np.unique(found[4], return_counts=True)
         self.codes.append(codes)
-        self.times.append(times)
+        self.times.append(times.astype(np.uint32))
 
     def row(self, block: int) -> dict:
         codes, at = np.unique(np.concatenate(self.codes), return_inverse=True)
+        self.codes, sizes = [], [len(c) for c in self.codes]
         columns = dict(zip(("doc_id", "n_a", "n_b", "n_groups", "digest"), map(list, zip(*self.rows, strict=True)), strict=True))
         places = at.astype(np.uint16 if len(codes) <= 1 << 16 else np.uint32)
         return {
             "block": block,
             **columns,
-            "pairs": [len(c) for c in self.codes],
+            "pairs": sizes,
             "places": places.tobytes(),
-            "times": np.concatenate(self.times).astype(np.uint32).tobytes(),
+            "times": np.concatenate(self.times).tobytes(),
             "codes": codes.astype(np.int64),
             "n_docs": np.bincount(at, minlength=len(codes)),
         }
@@ -334,7 +388,7 @@ def _fragments(ranges_: DataFrame, files: tuple[str, str]) -> DataFrame:
             else:
                 part = tokens.part(row["low"], row["high"])
                 own, n_a, n_b = fragment(part, row["k"]), len(part.a), len(part.b)
-                codes, times = np.unique(tokens.links(row["low"], row["high"]), return_counts=True)
+                codes, times = np.unique(tokens.links(row["low"], row["high"])[1], return_counts=True)
             f = own[0]
             yield pa.RecordBatch.from_pylist(
                 [{"row": row["row"], "row_doc": row["row_doc"], "k": row["k"], "sound": tokens is not None, "n_a": n_a, "n_b": n_b, "n_links": int(times.sum()), "text": own[1], "codes": codes.astype(np.int64), "times": times, **vars(f)}], schema=kinds
