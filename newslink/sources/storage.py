@@ -10,11 +10,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name below spark.checkpoint.dir; what is written there is deleted when the session ends.
-
-    Where the setting is absent, a session on one machine (as in tests) gets a temporary folder; any other one must set it.
-    """
+def _shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is absent, a session on one machine (as in tests) gets a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         master = spark.sparkContext.master
@@ -22,10 +19,33 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.conf.set("spark.checkpoint.dir", root)
-    folder = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return folder
+    return root.rstrip("/")
+
+
+_session_folders: dict[tuple[str, str], str] = {}
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder name in the session's own folder below spark.checkpoint.dir, which is deleted when the session's JVM ends.
+
+    The session's folder is made at once: Hadoop registers only folders that exist for deletion.
+    """
+    root = _shared_root(spark)
+    key = (spark.sparkContext.applicationId, root)
+    if key not in _session_folders:
+        folder = f"{root}/session-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.mkdirs(path) or not fs.deleteOnExit(path):
+            raise OSError(f"cannot make {folder}")
+        _session_folders[key] = folder
+    return f"{_session_folders[key]}/{name}-{uuid.uuid4().hex}"
+
+
+def output_dir(spark: SparkSession, name: str) -> str:
+    """A new folder name for what a job is run for, which stays: below spark.newslink.output.dir, else beside the sessions' folders."""
+    root = spark.conf.get("spark.newslink.output.dir", None) or f"{_shared_root(spark)}/outputs"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 _made: list[list[DataFrame]] = []
