@@ -5,8 +5,11 @@ from __future__ import annotations
 import difflib
 import hashlib
 import html
+import json
 import re
+from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -15,6 +18,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newslink.operators.timeline import revision_range
+from newslink.sources.storage import discard, materialize
+
 #: Classes (one, or a whole attribute), ids (their first element) and tags that are stripped from article
 #: HTML; void elements; elements that are diffed; beginnings of lines that a wiki parser reports about itself.
 DROP_CLASSES = ("mw-editsection", "sisterproject", "coordinates plainlinks-print", "references", "NavFrame erweiterte-navigationsleiste navigation-not-searchable erw-nav-farbschema-blau")
@@ -144,21 +150,139 @@ def align(pages: DataFrame) -> DataFrame:
     return found.join(order, ["article_id", "revid"]).join(old, ["article_id", "prev_revid", "tag", "idx"])
 
 
+#: Sides whose lengths multiply to so much at most are compared by longest matching blocks as they are.
+SMALL = 256 * 256
+#: Widths of the anchors tried in larger ones, and the most differences that are traced where there is no anchor.
+WIDTHS, MOST = (12, 4, 1), 500
+
+
+def _anchors(a: list[int], b: list[int], width: int) -> list[tuple[int, int]]:
+    """Places of stretches of `width` tokens that occur once on either side, those that keep their order (longest such chain)."""
+
+    def single(x: list[int]) -> dict:
+        found: dict = {}
+        for i, key in enumerate(zip(*(x[k:] for k in range(width)), strict=False)):
+            found[key] = -1 if key in found else i
+        return found
+
+    there = single(b)
+    pairs = [(i, j) for key, i in single(a).items() if i >= 0 and (j := there.get(key, -1)) >= 0]
+    pairs.sort()
+    tails: list[int] = []  # least end of an increasing chain of each length
+    at: list[int] = []
+    back = [-1] * len(pairs)
+    for k, (_, j) in enumerate(pairs):
+        place = bisect_left(tails, j)
+        back[k] = at[place - 1] if place else -1
+        tails[place : place + 1], at[place : place + 1] = [j], [k]
+    chain, k = [], at[-1] if at else -1
+    while k >= 0:
+        chain.append(pairs[k])
+        k = back[k]
+    return chain[::-1]
+
+
+def _traced(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
+    """Matching blocks by the shortest edit script (Myers), or none if it has more than MOST edits."""
+    n, m, ends, trace = len(a), len(b), {1: 0}, []
+    for d in range(min(MOST, n + m) + 1):
+        trace.append(dict(ends))
+        for k in range(-d, d + 1, 2):
+            x = ends[k + 1] if k == -d or (k != d and ends[k - 1] < ends[k + 1]) else ends[k - 1] + 1
+            while x < n and x - k < m and a[x] == b[x - k]:
+                x += 1
+            ends[k] = x
+            if x >= n and x - k >= m:
+                return _blocks_of(trace, n, m)
+    return []
+
+
+def _blocks_of(trace: list[dict[int, int]], x: int, y: int) -> list[tuple[int, int, int]]:
+    """The matching blocks of a shortest edit script that ends at (x, y), from what was reached before each edit."""
+    out = []
+    for d in range(len(trace) - 1, 0, -1):
+        reached, k = trace[d], x - y
+        down = k == -d or (k != d and reached[k - 1] < reached[k + 1])
+        before = k + 1 if down else k - 1
+        start = reached[before] + (not down)
+        if x > start:
+            out.append((start, start - k, x - start))
+        x, y = reached[before], reached[before] - before
+    return [(0, 0, x)] * bool(x) + out[::-1]
+
+
+def matching_blocks(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
+    """(place in a, place in b, length) of what two token sequences have in common, in order.
+
+    Small sides by longest matching blocks. Larger ones lose their common ends and are cut at anchors, stretches of WIDTHS
+    tokens that occur once on either side, as far as they keep their order and extended while tokens agree; what lies
+    between is compared likewise. Without any anchor the shortest edit script is traced up to MOST edits; beyond, the two
+    are different. So the work follows the lengths and the number of changes, not the product of the lengths.
+    """
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        i, j, k, m = todo.pop()
+        if i == j or k == m:
+            continue
+        if (j - i) * (m - k) <= SMALL:
+            out += [(i + x, k + y, n) for x, y, n in difflib.SequenceMatcher(None, a[i:j], b[k:m], autojunk=False).get_matching_blocks() if n]
+            continue
+        n = 0
+        while i + n < j and k + n < m and a[i + n] == b[k + n]:
+            n += 1
+        if n:
+            out.append((i, k, n))
+            i, k = i + n, k + n
+        n = 0
+        while j - n > i and m - n > k and a[j - n - 1] == b[m - n - 1]:
+            n += 1
+        if n:
+            out.append((j - n, m - n, n))
+            j, m = j - n, m - n
+        if (j - i) * (m - k) <= SMALL:
+            todo.append((i, j, k, m))
+            continue
+        left, right = a[i:j], b[k:m]
+        for width in WIDTHS:
+            if found := _anchors(left, right, width):
+                x = y = 0
+                for p, q in found:
+                    if p < x or q < y:
+                        continue
+                    n = width
+                    while p > x and q > y and left[p - 1] == right[q - 1]:
+                        p, q, n = p - 1, q - 1, n + 1
+                    while p + n < len(left) and q + n < len(right) and left[p + n] == right[q + n]:
+                        n += 1
+                    out.append((i + p, k + q, n))
+                    todo.append((i + x, i + p, k + y, k + q))
+                    x, y = p + n, q + n
+                todo.append((i + x, j, k + y, m))
+                break
+        else:
+            out += [(i + x, k + y, n) for x, y, n in _traced(left, right)]
+    return sorted(out)
+
+
 def diff_tokens(old: str | None, new: str | None) -> list[dict]:
     """Runs of kept (' '), added ('+') and removed ('-') text."""
     a, b = TOKEN.findall(old or ""), TOKEN.findall(new or "")
+    numbers: dict[str, int] = {}
     runs: list[dict] = []
 
     def add(op: str, tokens: list[str]) -> None:
-        if tokens:
+        if tokens and runs and runs[-1]["op"] == op:
+            runs[-1] = {"op": op, "text": runs[-1]["text"] + "".join(tokens), "tokens": runs[-1]["tokens"] + len(tokens)}
+        elif tokens:
             runs.append({"op": op, "text": "".join(tokens), "tokens": len(tokens)})
 
-    for kind, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if kind == "equal":
-            add(" ", a[i:j])
-        else:
-            add("-", a[i:j])
-            add("+", b[k:m])
+    i = j = 0
+    numbered = [[numbers.setdefault(t, len(numbers)) for t in side] for side in (a, b)]
+    for x, y, n in [*matching_blocks(*numbered), (len(a), len(b), 0)]:
+        add("-", a[i:x])
+        add("+", b[j:y])
+        add(" ", a[x : x + n])
+        i, j = x + n, y + n
     return runs
 
 
@@ -225,20 +349,61 @@ class _Nodes(HTMLParser):
     def handle_decl(self, decl):
         self.nodes.append(("decl", f"<!{decl}>", ""))
 
-    def blocks(self) -> dict[tuple[str, int], tuple[int, int, str]]:
-        """The k-th outermost closed element of each tag in BLOCKS: its first and last node, its texts joined by blanks."""
-        found, counts, tag, begin, depth = {}, Counter(), "", 0, 0
-        for i, (kind, _, name) in enumerate(self.nodes):
-            if not tag and kind == "start" and name in BLOCKS:
-                tag, begin, depth = name, i, 1
-            elif tag and name == tag:
-                depth += (kind == "start") - (kind == "end")
-                if not depth:
-                    text = " ".join(value for k, value, _ in self.nodes[begin:i] if k == "text")
-                    found[tag, counts[tag]] = (begin, i, text)
-                    counts[tag] += 1
-                    tag = ""
-        return found
+
+class _Element:
+    """An element of a page: its start and end as they stand (unclosed: no end), and nodes and elements between."""
+
+    def __init__(self, tag: str, start: str):
+        self.tag, self.start, self.end, self.children = tag, start, "", []
+
+    def walk(self) -> Iterator:
+        """Everything below in order: elements, nodes, and ends as texts of kind `end`."""
+        todo = [iter(self.children)]
+        opened: list[_Element] = []
+        while todo:
+            x = next(todo[-1], None)
+            if x is None:
+                todo.pop()
+                if opened:
+                    done = opened.pop()
+                    yield ("end", done.end, done.tag)
+            elif isinstance(x, _Element):
+                yield x
+                todo.append(iter(x.children))
+                opened.append(x)
+            else:
+                yield x
+
+    def find(self, tag: str) -> list[_Element]:
+        return [x for x in self.walk() if isinstance(x, _Element) and x.tag == tag]
+
+    def text(self) -> str:
+        return " ".join(x[1] for x in self.walk() if not isinstance(x, _Element) and x[0] == "text")
+
+    def nodes(self) -> list[tuple[str, str, str]]:
+        return [("start", x.start, x.tag) if isinstance(x, _Element) else x for x in self.walk()]
+
+
+def _tree(text: str) -> _Element:
+    """Elements by their tags alone: an end closes the last open element of its name and those within; others stand as they are."""
+    root = _Element("", "")
+    opened, names = [root], Counter()
+    for node in _Nodes(text).nodes:
+        kind, value, tag = node
+        if kind == "start" and tag not in VOID:
+            opened[-1].children.append(_Element(tag, value))
+            opened.append(opened[-1].children[-1])
+            names[tag] += 1
+        elif kind == "end" and names[tag]:
+            while True:
+                done = opened.pop()
+                names[done.tag] -= 1
+                if done.tag == tag:
+                    done.end = value
+                    break
+        else:
+            opened[-1].children.append(node)
+    return root
 
 
 def _html(nodes: list) -> str:
@@ -252,24 +417,22 @@ def _span(op: str, text: str, user: str, color: str = "orange") -> list[tuple[st
 
 
 def splice_diff(old: str | None, new: str | None, user: str | None) -> dict:
-    """The new page with the changes of each title, h1, p and th marked in spans, and the marks alone.
+    """The new page with the changes of each title, h1, p and th marked in spans, and the marks alone, in order.
 
-    A block is compared with the old page's block of the same tag and place; blocks without one stay as they are. Blocks
-    within others and blocks that are not closed belong to what is around them.
+    The k-th element of a tag is compared with the old page's k-th, by their texts joined by blanks, all titles first, then
+    h1, p and th; a changed one has the marked text instead of what was in it. Elements within others count too: a p within a th
+    is marked first, and the th, whose text then has both sides of the p, is marked over it. Elements that are not
+    closed reach as far as what is around them. Elements without a counterpart stay as they are.
     """
-    page, before = _Nodes(new or ""), _Nodes(old or "").blocks()
-    out, at, spans = [], 0, []
-    for key, (begin, end, text) in sorted(page.blocks().items(), key=lambda x: x[1][0]):
-        if key in before and before[key][2] != text:
-            out += page.nodes[at : begin + 1]
-            for run in diff_tokens(before[key][2], text):
-                if run["op"] == " ":
-                    out.append(("text", run["text"], ""))
-                else:
-                    out += _span(run["op"], run["text"], user or "")
-                    spans.append({"op": run["op"], "text": run["text"]})
-            at = end
-    return {"html": _html(out + page.nodes[at:]), "spans": spans}
+    page, before = _tree(new or ""), _tree(old or "")
+    for tag in BLOCKS:
+        for then, now in zip(before.find(tag), page.find(tag), strict=False):
+            a, b = then.text(), now.text()
+            if a != b:
+                now.children = [n for run in diff_tokens(a, b) for n in ([("text", run["text"], "")] if run["op"] == " " else _span(run["op"], run["text"], user or ""))]
+    nodes = page.nodes()
+    spans = [{"op": "+" if " user-add=" in value else "-", "text": nodes[i + 1][1]} for i, (kind, value, _) in enumerate(nodes) if kind == "start" and value.startswith("<span style=") and (" user-add=" in value or " user-del=" in value)]
+    return {"html": _html(nodes), "spans": spans}
 
 
 _SPLICED = T.StructType([T.StructField("html", T.StringType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("text", T.StringType())])))])
@@ -286,40 +449,104 @@ def html_diffs(pages: DataFrame) -> DataFrame:
     return changed.select("article_id", "revid", "user_name", _spliced("prev_content", "content", "user_name").alias("d")).select("article_id", "revid", "user_name", "d.html", "d.spans")
 
 
+class _Page:
+    """A page under marks: each text node may be cut into several nodes. Text nodes are found by the signs they began with."""
+
+    GRAM = 3
+
+    def __init__(self, parts: list[list[tuple[str, str, str]]]):
+        """parts: the page's nodes, each with what it has become."""
+        self.parts = parts
+        self.grams: dict[str, list[int]] = {}
+        for i, nodes in enumerate(parts):
+            if nodes and nodes[0][0] == "text" or len(nodes) > 1:
+                text = "".join(value for kind, value, _ in nodes if kind == "text")
+                for gram in {text[k : k + n] for n in range(1, self.GRAM + 1) for k in range(len(text) - n + 1)}:
+                    self.grams.setdefault(gram, []).append(i)
+
+    @classmethod
+    def of(cls, html_: str) -> _Page:
+        return cls([[n] for n in _Nodes(html_).nodes if n[0] != "comment"])
+
+    def put(self, op: str, text: str, user: str, color: str) -> bool:
+        """Mark the first text node that holds text; only nodes with its rarest sign sequence are looked at, in order."""
+        if not text:
+            return False
+        keys = [text] if len(text) <= self.GRAM else [text[k : k + self.GRAM] for k in range(len(text) - self.GRAM + 1)]
+        for i in min((self.grams.get(k, []) for k in keys), key=len):
+            for at, (kind, value, _) in enumerate(self.parts[i]):
+                if kind == "text" and text in value:
+                    before, after = value.split(text, 1)
+                    self.parts[i][at : at + 1] = [("text", before, "")] * bool(before) + _span(op, text, user, color) + [("text", after, "")] * bool(after)
+                    return True
+        return False
+
+    def html(self) -> str:
+        return _html([n for nodes in self.parts for n in nodes if n[0] != "text" or not REPORT.match(n[1])])
+
+
+def _put_marks(page: _Page, marks: list[tuple[str, list[dict]]]) -> int:
+    put = 0
+    for user, spans in marks:
+        color = "#" + hashlib.md5((user or "").encode()).hexdigest()[:6]
+        for span in sorted(spans, key=lambda x: x["op"] != "+"):
+            put += page.put(span["op"], span["text"], user or "", color)
+    return put
+
+
 def merge_marks(base: str | None, marks: list[tuple[str, list[dict]]]) -> tuple[int, str]:
     """The base page with each mark put where its text first stands in a text node; how many were put.
 
     marks: user and spans, oldest first; of one user's spans additions come before deletions. A mark whose text stands
     nowhere is left out. Comments and lines that a wiki parser reports go; spans get the colour of their user.
     """
-    nodes = [n for n in _Nodes(base or "").nodes if n[0] != "comment"]
-    put = 0
-    for user, spans in marks:
-        color = "#" + hashlib.md5((user or "").encode()).hexdigest()[:6]
-        for span in sorted(spans, key=lambda x: x["op"] != "+"):
-            for i, (kind, value, _) in enumerate(nodes):
-                if kind == "text" and span["text"] and span["text"] in value:
-                    before, after = value.split(span["text"], 1)
-                    nodes[i : i + 1] = [("text", before, "")] * bool(before) + _span(span["op"], span["text"], user or "", color) + [("text", after, "")] * bool(after)
-                    put += 1
-                    break
-    return put, _html([n for n in nodes if n[0] != "text" or not REPORT.match(n[1])])
+    page = _Page.of(base or "")
+    put = _put_marks(page, marks)
+    return put, page.html()
 
 
 REPORT = re.compile("|".join(REPORT_LINES), re.IGNORECASE)
 
 
-def change_view(requests: DataFrame, diffs: DataFrame, revisions: DataFrame) -> DataFrame:
-    """requests(request, article_id, lo, hi): the last revision's page with every change in range marked by its user.
+#: Revisions whose marks are put on a page in one step of a merged view.
+STEP = 500
 
-    The base page and the marks of a request meet in one group; its size is that of the request, which is bounded.
-    """
-    within = diffs.join(requests, "article_id").where("revid between lo and hi").select("request", "revid", "user_name", "spans")
-    last = revisions.join(requests, "article_id").where("revid between lo and hi").groupBy("request").agg(F.max_by("content", F.struct("ts", "revid")).alias("base")).toDF("request", "base")
 
-    def merge(base: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
-        marks = marks.sort_values("revid")
-        put, page = merge_marks(base["base"].iloc[0] if len(base) else "", list(zip(marks["user_name"], marks["spans"], strict=True)))
-        return pd.DataFrame({"request": [(base if len(base) else marks)["request"].iloc[0]], "marks": [put], "html": [page]})
+def change_view(requests: DataFrame, diffs: DataFrame, revisions: DataFrame, step: int = STEP) -> DataFrame:
+    """requests(request, article_id, rev_a, rev_b): the last page between the times of the two, with every change in between.
 
-    return last.groupBy("request").cogroup(within.groupBy("request")).applyInPandas(merge, "request bigint, marks bigint, html string")
+    Gives request, number of marks put, html; the ends may be given in either order, revisions go by time, then revid. A
+    mark depends on those before it, so a request's marks are put in order; but `step` revisions at a time: each round
+    takes all requests' pages as the round before left them (a written snapshot) together with their next marks, so no
+    group holds more than a page and the marks of `step` revisions. Requests go side by side.
+    """
+    within = revision_range(revisions.select("article_id", "revid", "ts"), requests).select("request", "article_id", "revid", "ts")
+    turn = F.row_number().over(W.partitionBy("request").orderBy("ts", "revid")) - 1
+    marked = within.withColumn("round", F.floor(turn / step).cast("bigint"))
+    last = within.groupBy("request", "article_id").agg(F.max(F.struct("ts", "revid")).alias("last")).select("request", "article_id", F.col("last.revid").alias("revid"))
+    base = last.join(revisions.select("article_id", "revid", F.col("content").alias("base")), ["article_id", "revid"])
+    marks = materialize(marked.join(diffs.select("article_id", "revid", "user_name", "spans"), ["article_id", "revid"]).select("request", "round", "ts", "revid", "user_name", "spans"), "marks")
+    kinds = "request bigint, marks bigint, parts string"
+
+    def begin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"request": f["request"], "marks": 0, "parts": [json.dumps(_Page.of(x or "").parts) for x in f["base"]]})
+
+    def merge(pages: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
+        if not len(more) or not len(pages):
+            return pages[["request", "marks", "parts"]]
+        page = _Page([[tuple(n) for n in nodes] for nodes in json.loads(pages["parts"].iloc[0])])
+        more = more.sort_values(["ts", "revid"])
+        put = _put_marks(page, list(zip(more["user_name"], more["spans"], strict=True)))
+        return pd.DataFrame({"request": pages["request"], "marks": pages["marks"] + put, "parts": [json.dumps(page.parts)]})
+
+    def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"request": f["request"], "marks": f["marks"], "html": [_Page([[tuple(n) for n in nodes] for nodes in json.loads(x)]).html() for x in f["parts"]]})
+
+    state = materialize(base.select("request", "base").mapInPandas(begin, kinds), "pages")
+    rounds = marks.agg(F.max("round")).first()[0]
+    for k in range(-1 if rounds is None else rounds + 1):
+        old, state = state, materialize(state.groupBy("request").cogroup(marks.where(F.col("round") == k).groupBy("request")).applyInPandas(merge, kinds), "pages")
+        discard(old)
+    return state.mapInPandas(finish, "request bigint, marks bigint, html string")

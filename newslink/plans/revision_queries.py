@@ -178,5 +178,5 @@ def html_diff(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def change_view(spark: SparkSession, d: str) -> DataFrame:
     pages = X.page_revisions(spark, d).withColumn("user_name", F.concat(F.lit("user"), (F.col("revid") % 7).cast("string")))
-    asked = pages.groupBy("article_id").agg(F.min("revid").alias("lo"), F.max("revid").alias("hi")).withColumn("request", F.col("article_id"))
+    asked = pages.groupBy("article_id").agg(F.max("revid").alias("rev_a"), F.min("revid").alias("rev_b")).withColumn("request", F.col("article_id"))
     return R.change_view(asked, R.html_diffs(pages), pages)
