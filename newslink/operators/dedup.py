@@ -19,12 +19,27 @@ def keep_first(df: DataFrame, keys: list, order: Column) -> DataFrame:
     return df.groupBy(*named).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), order).alias("__row")).select("__row.*")
 
 
+def first_ids(df: DataFrame, keys: list, by_time: bool = False) -> DataFrame:
+    """The id of one row for each combination of keys (nulls are equal): the largest id, or, by_time, the newest (see `newest`).
+
+    Order and id are one number, so this is a hash aggregate over ids and keys, whatever else the rows hold.
+    """
+    named = [(k if isinstance(k, Column) else F.col(k)).alias(f"__key{i}") for i, k in enumerate(keys)]
+    if not by_time:
+        return df.groupBy(*named).agg(F.max("id").alias("id")).select("id")
+    late = F.coalesce(-F.unix_micros(F.col("pubtime").cast("timestamp")), F.lit(4 * 10**18)).cast("decimal(19,0)")
+    # Ids take part as numbers from 0 on, below the factor of the time.
+    order = late * F.lit("20000000000000000000").cast("decimal(20,0)") + (F.col("id").cast("decimal(19,0)") + F.lit(str(2**63)).cast("decimal(19,0)"))
+    least = df.groupBy(*named).agg(F.min(order.cast("decimal(38,0)")).alias("least"))
+    return least.select((F.pmod("least", F.lit("20000000000000000000").cast("decimal(20,0)")) - F.lit(str(2**63)).cast("decimal(19,0)")).cast("bigint").alias("id"))
+
+
 def by_content_id(art: DataFrame) -> DataFrame:
-    return keep_first(art, ["content_id"], -F.col("id"))
+    return art.join(first_ids(art, ["content_id"]), "id", "left_semi")
 
 
 def by_head_and_link(art: DataFrame) -> DataFrame:
-    return keep_first(art, ["head", "article_link"], -F.col("id"))
+    return art.join(first_ids(art, ["head", "article_link"]), "id", "left_semi")
 
 
 def newest() -> Column:
@@ -32,15 +47,18 @@ def newest() -> Column:
     return F.struct(F.coalesce(-F.unix_micros(F.col("pubtime").cast("timestamp")), F.lit(2**63 - 1)), "id")
 
 
+def _segment(url: Column) -> Column:
+    return F.coalesce(F.nullif(url_last_segment(url), F.lit("")), F.concat(F.lit("row:"), F.col("id").cast("string")))
+
+
 def by_url_segment(art: DataFrame, url: Column) -> DataFrame:
     """The newest of articles with the same last URL part; articles without one are all kept."""
-    segment = F.coalesce(F.nullif(url_last_segment(url), F.lit("")), F.concat(F.lit("row:"), F.col("id").cast("string")))
-    return keep_first(art.withColumn("__segment", segment), ["__segment"], newest()).drop("__segment")
+    return art.join(first_ids(art, [_segment(url)], by_time=True), "id", "left_semi")
 
 
 def by_version(art: DataFrame, url: Column) -> DataFrame:
     """The newest of each version family within site and head."""
-    return keep_first(art.withColumn("__version", version_key(url)), ["base_link", "head", "__version"], newest()).drop("__version")
+    return art.join(first_ids(art, ["base_link", "head", version_key(url)], by_time=True), "id", "left_semi")
 
 
 def by_content(art: DataFrame, group: list[str], threshold: float) -> DataFrame:
@@ -97,14 +115,33 @@ def by_reachability(art: DataFrame, group: list[str], threshold: float) -> DataF
     return art.join(state.where("not in").select("id"), "id", "left_anti")
 
 
-def dedup_articles(art: DataFrame, threshold: float = 0.98) -> DataFrame:
+def dedup_articles(art: DataFrame, threshold: float = 0.98, version_policy: str = "newest_only") -> DataFrame:
     """Cheap steps first: content ids, head and link, last URL part, versions, then content within site and head.
 
-    Articles without a link are grouped by their head instead.
+    Articles without a link are grouped by their head instead. The cheap steps see ids and keys only; contents are joined
+    to the articles that are left.
+
+    version_policy "newest_only" keeps the newest of a version family and compares what is left by content. "reference"
+    is the described system's rule: in a group of site and head, the versions that are not the newest are compared among
+    themselves, and those reached from the newest of them by dissimilarity (by_reachability) come back; the kept ones are
+    not compared. So a family of two keeps both, and a family of over four equal texts keeps all, as their terms fall out
+    of the vocabulary's bounds.
     """
-    x = by_head_and_link(by_content_id(art)).withColumn("__url", F.coalesce("article_link", F.concat(F.lit("head:/"), F.col("head")), F.lit("")))
-    linked = by_url_segment(x.where("article_link is not null"), F.col("__url"))
+    if version_policy not in ("newest_only", "reference"):
+        raise ValueError(f"unknown version_policy {version_policy}")
+    url = F.coalesce("article_link", F.concat(F.lit("head:/"), F.col("head")), F.lit(""))
+    keys = materialize(art.select("id", "content_id", "head", "article_link", "pubtime", url.alias("url")), "keys")
+    x = keep_first(keep_first(keys, ["content_id"], -F.col("id")), ["head", "article_link"], -F.col("id"))
+    linked = x.where("article_link is not null").select("id", "head", "pubtime", base_link(F.col("url")).alias("base_link"), version_key(F.col("url")).alias("version"), _segment(F.col("url")).alias("segment"))
+    linked = keep_first(linked, ["segment"], newest())
     loose = keep_first(x.where("article_link is null"), [F.coalesce("head", F.col("id").cast("string"))], newest())
-    versioned = by_version(linked.withColumn("base_link", base_link(F.col("__url"))), F.col("__url"))
-    both = materialize(versioned.unionByName(loose.withColumn("base_link", F.lit(""))).withColumn("head_key", F.coalesce("head", F.lit(""))), "articles")
-    return by_content(both, ["base_link", "head_key"], threshold).drop("__url", "base_link", "head_key")
+    if version_policy == "reference":
+        linked = materialize(linked, "linked")
+    versioned = keep_first(linked, ["base_link", "head", "version"], newest())
+    kept = versioned.select("id", "base_link", F.coalesce("head", F.lit("")).alias("head_key")).unionByName(loose.select("id", F.lit("").alias("base_link"), F.coalesce("head", F.lit("")).alias("head_key")))
+    kept = materialize(kept, "kept")
+    if version_policy == "newest_only":
+        return by_content(art.join(kept, "id"), ["base_link", "head_key"], threshold).drop("base_link", "head_key")
+    gone = linked.join(kept.select("id"), "id", "left_anti").select("id", "base_link", F.coalesce("head", F.lit("")).alias("head_key"))
+    back = by_reachability(materialize(art.join(gone, "id"), "removed"), ["base_link", "head_key"], threshold).select("id")
+    return art.join(kept.select("id").unionByName(back), "id", "left_semi")

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newslink.operators.graph import components
-from newslink.operators.tfidf import arcs_of, distinct_texts, pairs_of, term_frequency, tfidf
+from newslink.operators.tfidf import arcs_of, distinct_texts, pairs_of, term_frequency, tfidf, top_terms
 from newslink.sources.storage import materialize
 
 #: Articles of a component, each with all texts that are similar to its own, up to which it is one group of a pandas function.
@@ -34,9 +34,15 @@ def importance(art: DataFrame, entities: DataFrame) -> DataFrame:
     return days.withColumn("rank", F.row_number().over(W.partitionBy("date").orderBy(F.desc("n"), "id")).cast("bigint"))
 
 
-def leader_clusters(art: DataFrame, entities: DataFrame, threshold: float = 0.35, min_entity: int = 0) -> DataFrame:
+#: Terms of a day's vocabulary.
+VOCABULARY = 5000
+
+
+def leader_clusters(art: DataFrame, entities: DataFrame, threshold: float = 0.35, min_entity: int = 0, vocabulary: int = VOCABULARY) -> DataFrame:
     """(date, leader, id, leader_rank): articles in order of rank lead; a leader takes all unused similar articles.
 
+    Similarities are over the day's `vocabulary` most frequent terms (ties by term).
+
     A group whose most frequent entity weighs less than min_entity gives its members back, but not its leader.
     Leaders only see their neighbours, so components of the similarity graph are independent: those of GROUP_ARCS at
     most are each one group for a pandas function, larger ones are led in rounds of joins; articles without neighbours
@@ -46,7 +52,9 @@ def leader_clusters(art: DataFrame, entities: DataFrame, threshold: float = 0.35
     docs = art.select("id", block.alias("block"), F.concat_ws(" ", "head", "content").alias("text"))
     texts, members = distinct_texts(docs)
     texts = materialize(texts, "texts")
-    w = materialize(tfidf(materialize(term_frequency(texts), "terms"), copies=texts.select("id", "copies")), "weights")
+    tf, copies = materialize(term_frequency(texts), "terms"), texts.select("id", "copies")
+    known = materialize(top_terms(tf, vocabulary, copies).select("block", "term"), "vocabulary")
+    w = materialize(tfidf(tf.join(known, ["block", "term"]), copies=copies), "weights")
     pairs = materialize(pairs_of(w, threshold).select("i", "j"), "pairs")
     arcs = materialize(arcs_of(w, pairs), "arcs")
     found = components(pairs.select(F.col("i").alias("a"), F.col("j").alias("b")))
@@ -140,7 +148,7 @@ def rank_events(clusters: DataFrame, entities: DataFrame, max_events: int, min_a
     return scored.withColumn("cluster_id", F.row_number().over(W.partitionBy("date").orderBy(*order)).cast("bigint") - 1).where(F.col("cluster_id") < max_events)
 
 
-def daily_events(art: DataFrame, max_events: int = 6, min_entity: int = 3, min_articles: int = 2, threshold: float = 0.35) -> DataFrame:
+def daily_events(art: DataFrame, max_events: int = 6, min_entity: int = 3, min_articles: int = 5, threshold: float = 0.35) -> DataFrame:
     """Members of each day's largest events."""
     entities = materialize(entity_weights(art), "entities")
     clusters = materialize(leader_clusters(art, entities, threshold, min_entity), "events")

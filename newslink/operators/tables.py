@@ -37,12 +37,18 @@ def insert_ignore(target: DataFrame, source: DataFrame, keys: list[str], order:
     return keep_first(source, keys, F.struct(*order)).join(target.select(*keys), keys, "left_anti")
 
 
-def upsert(target: DataFrame, source: DataFrame, key: str, values: list[str]) -> DataFrame:
-    """Target rows with the source's values where it has the key, and the source's other rows."""
-    s = source.select(F.col(key).alias("__key"), *[F.col(v).alias(f"__{v}") for v in values])
+def upsert(target: DataFrame, source: DataFrame, key: str, values: list[str], latest: str | None = None) -> DataFrame:
+    """Target rows with the source's values where it has the key, and the source's other rows.
+
+    Of several source rows with one key, the one with the largest `latest` (default: the last of values) wins, nulls first,
+    ties by the other values: as if they came one after the other. Source rows without a key are inserted as they are.
+    """
+    rows = F.struct(F.col(latest or values[-1]).alias("__latest"), *[F.col(v).alias(f"__{i}") for i, v in enumerate(values)])
+    s = source.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.max(rows).alias("__row"))
     both = target.join(s, F.col(key) == F.col("__key"), "full_outer")
     has = F.col("__key").isNotNull()
-    return both.select(F.coalesce("__key", key).alias(key), *[F.when(has, F.col(f"__{v}")).otherwise(F.col(v)).alias(v) for v in values])
+    merged = both.select(F.coalesce("__key", key).alias(key), *[F.when(has, F.col(f"__row.__{i}")).otherwise(F.col(v)).alias(v) for i, v in enumerate(values)])
+    return merged.unionByName(source.where(F.col(key).isNull()).select(key, *values))
 
 
 def delete_where_key_in(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:

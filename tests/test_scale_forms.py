@@ -12,7 +12,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from newslink.operators import dedup, revisions, tables, timeline
+from newslink.operators import dedup, events, revisions, tables, timeline
 
 START = datetime(2024, 1, 1)
 
@@ -197,3 +197,43 @@ spark.stop()
     subprocess.run([sys.executable, "-c", code], check=True, cwd=root, env=os.environ | {"PYTHONPATH": root}, timeout=120)
     left = [os.path.join(d, f) for d, _, files in os.walk(tmp_path) for f in files]
     assert left and all("/outputs/kept-" in x for x in left) and not [x for x in os.listdir(tmp_path) if x.startswith("session-")]
+
+
+def test_latest_source_row_wins(spark):
+    target = spark.createDataFrame([(1, "a", 1), (2, "b", 1), (None, "n", 0)], "k bigint, v string, at int")
+    source = spark.createDataFrame([(2, "x", 3), (2, "y", 5), (2, "z", 4), (3, "p", None), (3, "q", 1), (None, "m", 9)], "k bigint, v string, at int")
+    got = sorted(((r.k, r.v, r.at) for r in tables.upsert(target, source, "k", ["v", "at"]).collect()), key=str)
+    assert got == sorted([(1, "a", 1), (2, "y", 5), (3, "q", 1), (None, "n", 0), (None, "m", 9)], key=str)
+
+
+def test_first_ids_by_number(spark):
+    rng = random.Random(9)
+    rows = [(i - 5, rng.choice(["a", "b", None]), rng.choice([None, START, START - timedelta(days=30_000), START + timedelta(days=1)])) for i in range(40)] + [(2**63 - 1, "c", START), (-(2**63), "c", START), (7_000, "d", None), (6_999, "d", None)]
+    df = spark.createDataFrame(rows, "id bigint, k string, pubtime timestamp_ntz")
+    want = {min((r for r in rows if r[1] == k), key=lambda r: (r[2] is None, -(r[2] - START).total_seconds() if r[2] else 0, r[0]))[0] for k in {r[1] for r in rows}}
+    assert {r.id for r in dedup.first_ids(df, ["k"], by_time=True).collect()} == want
+    assert {r.id for r in dedup.first_ids(df, ["k"]).collect()} == {max(r[0] for r in rows if r[1] == k) for k in {r[1] for r in rows}}
+    plan = dedup.first_ids(df, ["k"], by_time=True)._jdf.queryExecution().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_version_policy(spark):
+    """A family of two keeps both; of four equal texts two stay, of six all; different texts come back."""
+    rows = []
+    for family, texts in enumerate([["same words here now"] * 2, ["same words here now"] * 4, ["same words here now"] * 6, ["alpha beta gamma", "delta iota kappa", "rho sigma tau", "phi chi psi"]]):
+        rows += [(len(rows) + i, f"https://s.ch/x/f{family}-{i}", f"head {family}", f"c{len(rows) + i}", t, START + timedelta(hours=i)) for i, t in enumerate(texts)]
+    art = spark.createDataFrame(rows, "id bigint, article_link string, head string, content_id string, content string, pubtime timestamp_ntz")
+    kept = lambda policy: {f: sum(r.head == f"head {f}" for r in dedup.dedup_articles(art, 0.85, policy).collect()) for f in range(4)}
+    assert kept("reference") == {0: 2, 1: 2, 2: 6, 3: 4}
+    assert kept("newest_only") == {0: 1, 1: 1, 2: 1, 3: 1}
+    with pytest.raises(ValueError):
+        dedup.dedup_articles(art, 0.85, "other")
+
+
+def test_vocabulary_changes_a_cluster(spark):
+    """Two articles share rare words only: with the two most frequent terms of the day they are no longer alike."""
+    texts = ["common usual rarely seldom", "common rarely seldom", "common usual usual usual", "usual common common"]
+    art = spark.createDataFrame([(i, START + timedelta(hours=i), "", t) for i, t in enumerate(texts)], "id bigint, pubtime timestamp_ntz, head string, content string")
+    entities = spark.createDataFrame([], "id bigint, entity string, weight bigint")
+    groups = lambda n: {(r.leader, r.id) for r in events.leader_clusters(art, entities, 0.6, vocabulary=n).collect()}
+    assert (0, 1) in groups(5000) and groups(5000) != groups(2)
