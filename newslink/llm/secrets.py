@@ -8,12 +8,14 @@ document. Parts are joined as intervals: each is dealt to the blocks of SCOPE co
 that meet in a block are compared exactly.
 
 Positions are code points, ends exclusive. The text between matches comes from splitting at the pattern, so that a
-match begins at the summed lengths of what stands before it. Null and empty texts have no spans. Every row gives one
+match begins at the summed lengths of what stands before it; those are summed in stretches, so that the work for a text
+of n matches grows with n and its square root, not with its square. Very long texts are read whole. Columns other than doc_id and text are not read. Null and empty texts have no spans. Every row gives one
 row; rows that repeat give equal rows, and a null doc_id is an id like others. An empty table gives no row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -45,16 +47,36 @@ def _spans(text: Column, kind: str) -> Column:
     whole, part = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, group))
     found = F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), part.alias("part"))
     empty = F.array().cast("array<struct<start:int,end:int>>")
+    return F.when(text.rlike(MAY[kind]), _let(found, lambda rows: _placed(rows, least, empty))).otherwise(empty)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _placed(found: Column, least: int, empty: Column) -> Column:
+    """Spans of matches from the lengths of gaps and matches, in stretches of about the square root of their number.
+
+    A fold copies the array that it appends to. Here no array grows beyond a stretch, or the number of stretches.
+    """
+    size = lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["whole"]), F.lit(0))
+    width = F.ceil(F.sqrt(F.size(found))).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / width).cast("int")), lambda k: F.slice(found, k * width + 1, width))
 
     def add(state: Column, x: Column) -> Column:
         start = state["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["whole"]), F.lit(0))
         hit = F.coalesce(F.length(x["part"]) >= least, F.lit(False))
-        span = F.struct(start.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(hit, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
+        span = F.struct(start.alias("start"), (state["at"] + size(x)).alias("end"))
+        return F.struct((state["at"] + size(x)).alias("at"), F.when(hit, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
+
+    def joined(cut: Column) -> Column:
+        sums = F.transform(cut, lambda b: F.aggregate(b, F.lit(0), lambda s, x: s + size(x)))
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("list"))
+        bases = F.aggregate(sums, none, lambda state, n: F.struct((state["at"] + n).alias("at"), F.concat(state["list"], F.array(state["at"])).alias("list")))["list"]
+        return _let(bases, lambda at: F.flatten(F.transform(cut, lambda b, k: F.aggregate(b, F.struct(F.get(at, k).alias("at"), empty.alias("spans")), add)["spans"])))
 
-    folded = F.aggregate(found, F.struct(F.lit(0).alias("at"), empty.alias("spans")), add)["spans"]
-    return F.when(text.rlike(MAY[kind]), folded).otherwise(empty)
+    return _let(blocks, joined)
 
 
 def find_parts(docs: DataFrame) -> DataFrame:
