@@ -13,7 +13,8 @@ sequences, token k of a shard stands in batch k // (seq_len * ROWS): random acce
 map gives the ids as a numpy view.
 
 Null texts count as empty. An empty text has its end id alone. Repeated rows and rows with equal doc_id each get
-their own stretch, ordered by text; rows with a null doc_id come first. An empty table gives no row.
+their own stretch, ordered by text; rows with a null doc_id come first. Texts of any length are encoded whole, a long one in
+a step of its own. Columns other than doc_id and text are not read. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -326,7 +327,7 @@ def read_documents(manifest: DataFrame, out_dir: str) -> DataFrame:
     return shards.repartition(tasks, "shard").select("name", "base").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def token_output(spark: SparkSession, docs: DataFrame, tokenizer_file: str) -> DataFrame:
-    """Write docs as token sequences in a new shared folder and read them back."""
-    out_dir = shared_dir(spark, "tokens")
+def token_output(spark: SparkSession, docs: DataFrame, tokenizer_file: str, out_dir: str | None = None) -> DataFrame:
+    """Write docs as token sequences below out_dir and read them back; without out_dir, in a folder that goes with the session."""
+    out_dir = out_dir or shared_dir(spark, "tokens")
     return read_documents(write_sequences(docs, out_dir, tokenizer_file), out_dir)
