@@ -6,6 +6,9 @@
 4. Mixture: documents and token prefixes by target weights and seeded epochs.
 5. Token output: Arrow files of equal-length sequences; the result has each document's place in them.
 
+The token files stay when the session ends: below spark.newslink.output.dir if that is set, else in `outputs` below
+spark.checkpoint.dir. The tables between the stages go.
+
 Every stage but the last returns the columns of its documents. Null and empty texts go in stage 1, as they have no
 language; repeated rows of a document that stays stay in stages 1 to 3 and are taken one by one in stage 4. Columns of other
 names, also such as the operators use, pass through; texts of any length are read whole; without documents there is no row.
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from newslink.llm import decontam, jaccard, langid, mixing, tokens
 from newslink.llm.common import materialize, table
-from newslink.sources.storage import discard
+from newslink.sources.storage import discard, output_dir
 
 #: A language is clear if its mean probability over the words is at least this much (an even share of four is 0.25).
 CLEAR = 0.3
@@ -45,7 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return tokens.token_output(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokens.token_output(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), output_dir(spark, "pipeline-tokens"))
 
 
 STAGES = [
