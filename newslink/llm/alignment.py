@@ -50,7 +50,8 @@ CHUNK = 1 << 16
 FAN = 8
 #: Characters of the documents whose pairs are counted together.
 BLOCK_CHARS = 4_000_000
-#: Segments that a worker remembers, and their characters; beyond either, all are forgotten before the next step.
+#: Segments that a worker remembers, and their characters; beyond either, those that only one text had are forgotten
+#: before the next step (all, if too many others are left).
 MEMORY, MEMORY_CHARS = 300_000, 6_000_000
 #: A blank, and what follows up to a blank after a character that is no white space.
 SEGMENT = re.compile(r" [^ ]*(?:(?<=\s) [^ ]*)*")
@@ -151,9 +152,25 @@ class Aligner:
         self.counts = np.zeros((1 << 12, 3), np.int64)
         self.offsets, self.lengths = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.pool, self.used = np.zeros(1 << 14, np.uint32), 0
+        self.texts = np.zeros(1 << 12, np.int64)
+
+    def _renew(self) -> None:
+        """Keep the segments that several texts had."""
+        kept = np.flatnonzero(self.texts[: len(self.text)] > 1)
+        names = [s for s, k in self.slots.items() if self.texts[k] > 1]
+        if 2 * len(kept) > MEMORY or 2 * (held := sum(map(len, names))) > MEMORY_CHARS:
+            self._forget()
+            return
+        n = self.lengths[kept]
+        starts = np.cumsum(n) - n
+        pool = self.pool[np.repeat(self.offsets[kept] - starts, n) + np.arange(int(n.sum()))]
+        self.slots, self.held = dict(zip(names, range(len(names)), strict=True)), held
+        self.text = [self.text[k] for k in kept.tolist()]
+        self.counts, self.lengths, self.offsets, self.texts = self.counts[kept], n, starts, np.ones(len(kept), np.int64)
+        self.pool, self.used = pool, len(pool)
 
     def _ids(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [x.ids for x in self.one.encode_batch(segments, add_special_tokens=False)]
+        a = [x.ids for x in self.one.encode_batch_fast(segments, add_special_tokens=False)]
         b = self.two.encode([s[1:] for s in segments], num_threads=1)
         return a, [ids if len(s) > 1 else [self.blank] for s, ids in zip(segments, b, strict=True)]
 
@@ -179,8 +196,8 @@ class Aligner:
         self.held += sum(map(len, segments))
         self.slots.update(zip(segments, range(base, base + len(segments)), strict=True))
         if base + len(segments) > len(self.offsets):
-            more = max(base + len(segments), 2 * len(self.offsets))
-            self.offsets, self.lengths = np.resize(self.offsets, more), np.resize(self.lengths, more)
+            more = max(base + len(segments), 2 * len(self.offsets), 1 << 12)
+            self.offsets, self.lengths, self.texts = (np.resize(x, more) for x in (self.offsets, self.lengths, self.texts))
             self.counts = np.resize(self.counts, (more, 3))
         rows = np.flatnonzero(sound)
         kept = rows.tolist()
@@ -192,7 +209,7 @@ class Aligner:
         links, groups = of(at), of(tokens.common())
         n_a, n_b = (np.fromiter((len(side[i]) for i in kept), np.int64, len(kept)) for side in (a, b))
         here = slice(base, base + len(segments))
-        self.counts[here], self.lengths[here], self.offsets[here] = 0, 0, 0
+        self.counts[here], self.lengths[here], self.offsets[here], self.texts[here] = 0, 0, 0, 0
         self.counts[base + rows] = np.stack([n_a, n_b, groups], axis=1)
         self.lengths[base + rows] = links
         self.offsets[base + rows] = self.used + np.cumsum(links) - links
@@ -210,7 +227,7 @@ class Aligner:
     def documents(self, texts: list[str]) -> list[tuple | None]:
         """(n_a, n_b, n_groups, digest, codes of all links) of each text, None where it has no tokens. Texts come with their blank."""
         if len(self.slots) > MEMORY or self.held > MEMORY_CHARS:
-            self._forget()
+            self._renew()
         cut = [SEGMENT.findall(t) for t in texts]
         new = list(dict.fromkeys(s for segments in cut for s in segments if s not in self.slots))
         for k in range(0, len(new), STEP):
@@ -223,6 +240,7 @@ class Aligner:
                 out.append(None)
                 continue
             at = np.array(slots)
+            self.texts[at] += 1
             n = self.lengths[at]
             places = np.repeat(self.offsets[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
             out.append((*self.counts[at].sum(axis=0).tolist(), sha256(b";".join(parts)).hexdigest(), self.pool[places]))

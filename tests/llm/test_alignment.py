@@ -99,5 +99,19 @@ def test_ranges_have_a_cut_close_by():
         assert all(b <= low < high <= e and low - b <= 20 and e - high <= 20 and b in cuts and e in cuts for low, high, b, e in found)
 
 
+def test_memory_is_renewed(monkeypatch):
+    """Forgetting what one text had, or all, changes no result."""
+    rows = [" " + t for t in texts() if t and "▁" not in t] * 2
+    fresh = alignment.Aligner(A, B)
+    want = [fresh.documents([t])[0] for t in rows]
+    for memory, chars in ((30, 10**9), (400, 10**9), (10**9, 500), (0, 0)):
+        monkeypatch.setattr(alignment, "MEMORY", memory)
+        monkeypatch.setattr(alignment, "MEMORY_CHARS", chars)
+        one = alignment.Aligner(A, B)
+        for k in range(0, len(rows), 3):
+            for got, should in zip(one.documents(rows[k : k + 3]), want[k : k + 3], strict=True):
+                assert (got is None) == (should is None) and (got is None or (got[:4] == should[:4] and np.array_equal(got[4], should[4])))
+
+
 def test_empty_table(spark):
     assert alignment.align(spark.createDataFrame([], SCHEMA), A, B).collect() == []
