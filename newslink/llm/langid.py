@@ -6,7 +6,8 @@ its score that mean.
 
 Null texts and texts without a letter are "und" with score 0. Documents without a language do not teach. Every row
 gives one row (repeated rows the same one); null doc_ids count as not held out. If nothing can be learned from, all
-documents are "und". Empty tables give no row.
+documents are "und". Texts of any length are read whole, a long one in a step of its
+own. Columns other than those named are not read. Empty tables give no row.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from newslink.llm.common import STEP_CHARS, held_out, pick, releasing, sample_te
 FEATURES = {"bits": 18, "prefixes": (2, 3), "suffixes": (2, 3), "grams": (2, 3)}
 #: Documents of each language that the model is fitted on at most (chosen by a hash of doc_id).
 MAX_ROWS = 400
-#: Bytes of text that the sample of each language has at most; documents that would pass it are left out.
+#: Bytes of text that the sample of each language has at most (see sample_texts for longer texts).
 MAX_BYTES = 8_000_000
 UNKNOWN = "und"
 

@@ -8,7 +8,8 @@ logistic function that is fitted on training documents that the field has not se
 
 Null and empty texts are scored like any text without words. Documents without a label do not teach. Rows that repeat
 get equal values. If no document is labelled, or none of one kind, every score is the share of toxic labels (0 where
-there is no label). Empty tables give no row.
+there is no label). Texts of any length are read whole, a long one in a step of its
+own. Columns other than those named are not read. Empty tables give no row.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from newslink.llm.common import STEP_CHARS, held_out, mix, pick, releasing, samp
 FEATURES = {"bits": 18, "prefixes": (3, 4, 5, 6, 7), "suffixes": (3, 5), "grams": ()}
 #: Labelled documents of each kind that the model is fitted on at most (chosen by a hash of doc_id).
 MAX_ROWS = 2500
-#: Bytes of text that the sample of each kind has at most; documents that would pass it are left out.
+#: Bytes of text that the sample of each kind has at most (see sample_texts for longer texts).
 MAX_BYTES = 50_000_000
 #: A feature is toxic from so many toxic documents, and so many times as frequent in them as in the others.
 LEAST_DOCS, LEAST_RATIO = 6, 30.0
