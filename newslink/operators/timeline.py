@@ -11,9 +11,14 @@ from newslink.sources.storage import materialize
 
 
 def revision_range(revisions: DataFrame, requests: DataFrame) -> DataFrame:
-    """requests(request, article_id, rev_a, rev_b): all revisions between the times of the two, in either order."""
+    """requests(request, article_id, rev_a, rev_b): all revisions between the times of the two, in either order.
+
+    A request of which either revision does not exist has none.
+    """
     times = revisions.select("article_id", F.col("revid").alias("r"), F.col("ts").alias("t"))
-    bounds = requests.join(times, (requests["article_id"] == times["article_id"]) & F.col("r").isin(F.col("rev_a"), F.col("rev_b"))).groupBy("request", requests["article_id"]).agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    ends = requests.join(times, (requests["article_id"] == times["article_id"]) & F.col("r").isin(F.col("rev_a"), F.col("rev_b")))
+    there = F.bool_or(F.col("r") == F.col("rev_a")) & F.bool_or(F.col("r") == F.col("rev_b"))
+    bounds = ends.groupBy("request", requests["article_id"]).agg(F.min("t").alias("lo"), F.max("t").alias("hi"), there.alias("there")).where("there").drop("there")
     return revisions.join(bounds, "article_id").where("ts between lo and hi")
 
 

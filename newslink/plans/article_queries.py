@@ -67,12 +67,12 @@ def dedup_versions(spark: SparkSession, d: str) -> DataFrame:
 NEWER = "(SELECT s.block, CASE WHEN a.pubtime > b.pubtime OR (a.pubtime = b.pubtime AND s.i < s.j) THEN s.j ELSE s.i END AS older FROM sims s JOIN art a ON a.id = s.i JOIN art b ON b.id = s.j)"
 
 
-@query(f"WITH {X.ART}, {content_cte('art', 'medium_name')}, {sims_cte('>= 0.85')} SELECT id FROM art WHERE id NOT IN (SELECT older FROM {NEWER})")
+@query(f"WITH {X.ART_ONCE}, {content_cte('art', 'medium_name')}, {sims_cte('>= 0.85')} SELECT id FROM art WHERE id NOT IN (SELECT older FROM {NEWER})")
 def content_dedup_strict(spark: SparkSession, d: str) -> DataFrame:
     return dedup.by_content(X.articles(spark, d), ["medium_name"], 0.85).select("id")
 
 
-@query(f"WITH {X.ART}, {content_cte('art', 'CAST(pubtime AS DATE)')}, {sims_cte('>= 0.85')} SELECT id FROM art WHERE id NOT IN (SELECT older FROM {NEWER})")
+@query(f"WITH {X.ART_ONCE}, {content_cte('art', 'CAST(pubtime AS DATE)')}, {sims_cte('>= 0.85')} SELECT id FROM art WHERE id NOT IN (SELECT older FROM {NEWER})")
 def content_dedup_per_day(spark: SparkSession, d: str) -> DataFrame:
     return dedup.by_content(X.articles(spark, d).withColumn("day", F.to_date("pubtime")), ["day"], 0.85).select("id")
 

@@ -180,3 +180,16 @@ def change_view(spark: SparkSession, d: str) -> DataFrame:
     pages = X.page_revisions(spark, d).withColumn("user_name", F.concat(F.lit("user"), (F.col("revid") % 7).cast("string")))
     asked = pages.groupBy("article_id").agg(F.max("revid").alias("rev_a"), F.min("revid").alias("rev_b")).withColumn("request", F.col("article_id"))
     return R.change_view(asked, R.html_diffs(pages), pages)
+
+
+@query(f"""WITH {X.PAGE_REV}, c AS (SELECT *, content IS DISTINCT FROM lag(content) OVER (PARTITION BY article_id ORDER BY ts, revid) AS changed FROM page_rev),
+ req AS (SELECT article_id, max(revid) AS rev_a, min(revid) + 50 AS rev_b FROM page_rev GROUP BY article_id)
+ SELECT r.article_id AS request, count(*) AS revisions, count(*) FILTER (c.changed) AS changed, arg_max(c.revid, (c.ts, c.revid)) AS last FROM req r JOIN page_rev a ON a.article_id = r.article_id AND a.revid = r.rev_a JOIN page_rev b ON b.article_id = r.article_id AND b.revid = r.rev_b
+ JOIN c ON c.article_id = r.article_id AND c.ts BETWEEN least(a.ts, b.ts) AND greatest(a.ts, b.ts) GROUP BY r.article_id""")
+def change_view_range(spark: SparkSession, d: str) -> DataFrame:
+    """What a merged view goes over: the revisions between the times of two, the changed ones, and the last, whose page it marks."""
+    pages = X.page_revisions(spark, d)
+    changed = R.with_previous(pages).select("article_id", "revid", "ts", (~F.col("content").eqNullSafe(F.col("prev_content"))).alias("changed"))
+    asked = pages.groupBy("article_id").agg(F.max("revid").alias("rev_a"), (F.min("revid") + 50).alias("rev_b")).withColumn("request", F.col("article_id"))
+    n = lambda c: F.count_if(c) if c is not None else F.count(F.lit(1))
+    return L.revision_range(changed, asked).groupBy("request").agg(n(None).alias("revisions"), n(F.col("changed")).alias("changed"), F.max_by("revid", F.struct("ts", "revid")).alias("last"))

@@ -45,7 +45,7 @@ UPSERT = """u AS (SELECT coalesce(s.id, t.id) AS id, CASE WHEN s.id IS NOT NULL
  FROM (SELECT id, head, lang, pubtime AS last_updated FROM art WHERE id % 3 IN (0, 1)) t FULL JOIN (SELECT id, 'neu: ' || head AS head, lang, TIMESTAMP '2024-02-01 00:00:00' AS last_updated FROM art WHERE id % 3 IN (1, 2)) s ON s.id = t.id)"""
 
 
-@query(f"WITH {X.ART}, {UPSERT} SELECT * FROM u")
+@query(f"WITH {X.ART_ONCE}, {UPSERT} SELECT * FROM u")
 def upsert_article(spark: SparkSession, d: str) -> DataFrame:
     art = X.articles(spark, d)
     target = art.where("id % 3 in (0, 1)").select("id", "head", "lang", F.col("pubtime").alias("last_updated"))
