@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newslink.operators.timeline import revision_range
+from newslink.operators.timeline import ranged, revision_range
 from newslink.sources.storage import discard, materialize
 
 #: Classes (one, or a whole attribute), ids (their first element) and tags that are stripped from article
@@ -137,9 +137,28 @@ def blocks(pages: DataFrame) -> DataFrame:
 
 
 def with_previous(revisions: DataFrame) -> DataFrame:
-    """Each revision with the predecessor's content and id (null for the first)."""
-    w = W.partitionBy("article_id").orderBy("ts", "revid")
-    return revisions.withColumns({"prev_content": F.lag("content").over(w), "prev_revid": F.lag("revid").over(w)})
+    """Each revision with the predecessor's content and id (null for the first, and for revisions without an article).
+
+    The order is that of (ts, revid), of equal ones that of a hash of the content. Revisions are compared within ranges of
+    (article, time). A range's first revision of an article has its predecessor in an earlier range: the ranges' last ones
+    are found by their ids, and the contents of those needed, fewer than there are ranges, are joined. So an article with
+    most of the revisions is many tasks.
+    """
+    order = ["ts", "revid", "__hash"]
+    rows = ranged(revisions.withColumn("__hash", F.xxhash64("content")), "article_id", *order)
+    w = W.partitionBy("part", "article_id").orderBy(*order)
+    near = rows.withColumns({"prev_content": F.lag("content").over(w), "prev_revid": F.lag("revid").over(w), "__turn": F.row_number().over(w)})
+    last = rows.where("article_id is not null").groupBy("article_id", "part").agg(F.max(F.struct(*order, "part")).alias("__last"))
+    before = F.lag("__last").over(W.partitionBy("article_id").orderBy("part"))
+    carried = last.select(F.col("article_id").alias("__article"), F.col("part").alias("__part"), before.alias("__last")).where("__last is not null")
+    found = rows.select("article_id", F.struct(*order, "part").alias("__last"), F.col("revid").alias("__revid"), F.col("content").alias("__content"))
+    # Only the first article of a range can have earlier ranges, so these ids are at most one row for each range.
+    carried = F.broadcast(carried).join(found, (F.col("article_id") == F.col("__article")) & carried["__last"].eqNullSafe(found["__last"]))
+    carried = carried.select("__article", "__part", "__revid", "__content").dropDuplicates(["__article", "__part"])
+    out = near.join(carried, (F.col("article_id") == F.col("__article")) & (F.col("part") == F.col("__part")), "left")
+    there = F.col("article_id").isNotNull()
+    prev = {c: F.when(there, F.when(F.col("__turn") == 1, F.col(f"__{c}")).otherwise(F.col(f"prev_{c}"))).alias(f"prev_{c}") for c in ("content", "revid")}
+    return out.select(*revisions.columns, *prev.values())
 
 
 def align(pages: DataFrame) -> DataFrame:

@@ -22,12 +22,12 @@ def revision_range(revisions: DataFrame, requests: DataFrame) -> DataFrame:
     return revisions.join(bounds, "article_id").where("ts between lo and hi")
 
 
-def ranged(df: DataFrame, key: str, order: str) -> DataFrame:
-    """df in ranges of (key, order), each with its number as column `part`: a frequent key has many ranges, in order.
+def ranged(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """df in ranges of (key, *order), each with its number as column `part`: a frequent key has many ranges, in order.
 
     Written once, so that a row's range stays what it is.
     """
-    return materialize(df.repartitionByRange(key, order).withColumn("part", F.spark_partition_id()), "ranged")
+    return materialize(df.repartitionByRange(key, *order).withColumn("part", F.spark_partition_id()), "ranged")
 
 
 def between_marks(points: DataFrame, marks: DataFrame, key: str, at: str) -> DataFrame:
