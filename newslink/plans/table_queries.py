@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from newslink.functions import scalars as S
 from newslink.operators import tables as T
 from newslink.registry import query
-from newslink.sources import events_json
+from newslink.sources import events_json, keyed
 from newslink.sources import fixtures as X
+from newslink.sources.storage import shared_dir
 
 DAY = "2024-01-03"
 
@@ -53,6 +54,20 @@ def upsert_article(spark: SparkSession, d: str) -> DataFrame:
     return T.upsert(target, source, "id", ["head", "lang", "last_updated"])
 
 
+@query(f"WITH {X.ART_ONCE}, {UPSERT} SELECT * FROM u")
+def upsert_keyed(spark: SparkSession, d: str) -> DataFrame:
+    """upsert_article into a stored table in buckets of the id, in two steps."""
+    art = X.articles(spark, d)
+    values = ["head", "lang", "last_updated"]
+    target = art.where("id % 3 in (0, 1)").select("id", "head", "lang", F.col("pubtime").alias("last_updated"))
+    source = art.where("id % 3 in (1, 2)").select("id", F.concat(F.lit("neu: "), "head").alias("head"), "lang", F.expr("TIMESTAMP_NTZ '2024-02-01 00:00:00'").alias("last_updated"))
+    path = shared_dir(spark, "keyed")
+    keyed.write_keyed(target, path, ["id"], 16)
+    for step in (0, 1):
+        keyed.upsert_keyed(path, source.where(F.col("id") % 2 == step), "id", values, 16)
+    return keyed.read_keyed(spark, path, target.schema)
+
+
 @query(f"WITH {X.CLUSTERS}, gone AS (SELECT cluster_id FROM cl WHERE date = DATE '{DAY}'), m AS (SELECT c.cluster_id, a.id FROM cl c JOIN art a ON CAST(a.pubtime AS DATE) = c.date AND a.medium_name = c.medium_name) SELECT 'clusters' AS kind, count(*) AS kept, (SELECT count(*) FROM gone) AS deleted FROM cl WHERE cluster_id NOT IN (SELECT * FROM gone) UNION ALL SELECT 'articles', count(*) FILTER (cluster_id NOT IN (SELECT * FROM gone)), count(*) FILTER (cluster_id IN (SELECT * FROM gone)) FROM m")
 def delete_date(spark: SparkSession, d: str) -> DataFrame:
     art = X.articles(spark, d)

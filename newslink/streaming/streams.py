@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from newslink.operators.revisions import OPS, diff_tokens
-from newslink.operators.tables import insert_ignore
+from newslink.sources.keyed import append_new, read_keyed
 
 
 def deduplicated(articles: DataFrame, delay: str = "2 days") -> DataFrame:
@@ -18,27 +18,20 @@ def deduplicated(articles: DataFrame, delay: str = "2 days") -> DataFrame:
     return articles.withWatermark("pubtime", delay).dropDuplicatesWithinWatermark(["content_id"])
 
 
-def ingest_once(articles: DataFrame, path: str, keys: list[str], order: list[str]) -> DataFrame:
+def ingest_once(articles: DataFrame, path: str, keys: list[str], order: list[str], buckets: int = 16) -> DataFrame:
     """Append what is there now to the table at path but for keys that it has; of repeated keys the first in order.
 
-    Each micro-batch is compared with the table (insert-ignore) and has a folder of its own, which is written again if the
-    batch is: a restart neither loses nor doubles rows.
+    The table lies in buckets of the keys: each micro-batch is compared with the buckets that it touches (insert-ignore)
+    and has folders of its own, which are written again if the batch is: a restart neither loses nor doubles rows.
     """
     spark: SparkSession = articles.sparkSession
     schema = articles.schema
 
     def add(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        folder = session._jvm.org.apache.hadoop.fs.Path(path)
-        new = batch
-        if folder.getFileSystem(session._jsc.hadoopConfiguration()).exists(folder):
-            new = insert_ignore(session.read.schema(schema).parquet(path).where(F.col("batch") != number), batch, keys, order)
-        else:
-            new = insert_ignore(batch.limit(0), batch, keys, order)
-        new.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        append_new(path, batch, number, keys, order, buckets)
 
     articles.writeStream.foreachBatch(add).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(path).select(*schema.names)
+    return read_keyed(spark, path, schema)
 
 
 def edit_rate(log: DataFrame, width: str = "1 hour", step: str = "10 minutes", delay: str = "1 day") -> DataFrame:

@@ -12,7 +12,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from newslink.operators import dedup, events, revisions, tables, timeline
+from newslink.operators import dedup, events, revisions, tables, tfidf, timeline
+from newslink.sources import keyed
 
 START = datetime(2024, 1, 1)
 
@@ -237,3 +238,77 @@ def test_vocabulary_changes_a_cluster(spark):
     entities = spark.createDataFrame([], "id bigint, entity string, weight bigint")
     groups = lambda n: {(r.leader, r.id) for r in events.leader_clusters(art, entities, 0.6, vocabulary=n).collect()}
     assert (0, 1) in groups(5000) and groups(5000) != groups(2)
+
+
+def test_predecessors_of_a_hot_article(spark):
+    """Half of all revisions are of one article, over many ranges, with equal times, repeated rows, nulls and other columns."""
+    rng = random.Random(10)
+    rows = [(1 if rng.random() < 0.5 else rng.randint(2, 30), k, START + timedelta(minutes=rng.randint(0, 200)), None if k % 17 == 0 else f"text {k}", k) for k in range(400)]
+    rows += [(1, 7000, START, "same", 0)] * 3 + [(None, 8000, START, "none", 0), (None, 8001, START, "none", 0), (99, 9000, None, "", 1)]
+    df = spark.createDataFrame(rows, "article_id bigint, revid bigint, ts timestamp_ntz, content string, __other bigint").repartition(9)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    out = revisions.with_previous(df)
+    got = sorted(((r.article_id, r.revid, r.prev_revid, r.prev_content, r["__other"]) for r in out.collect()), key=str)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want, last = [], {}
+    for a, r, ts, text, other in sorted(rows, key=lambda x: (x[0] or 0, x[2] is not None, x[2] or START, x[1])):
+        want.append((a, r, *((last.get(a) or (None, None)) if a is not None else (None, None)), other))
+        last[a] = (r, text)
+    assert got == sorted(want, key=str) and out.columns == [*df.columns, "prev_content", "prev_revid"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert all("content" not in line or "part" in line.split("[", 2)[-1] for line in plan.splitlines() if "Window [" in line)
+    assert revisions.with_previous(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.35, 0.85])
+def test_bounds_lose_no_pair_and_leave_few(spark, threshold):
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words[min(59, int(rng.expovariate(0.08)))] for _ in range(25)) for _ in range(120)]
+    texts += [t + " extra" for t in texts[:10]] + texts[:3]
+    docs = spark.createDataFrame([(f"b{i % 2}", i, t) for i, t in enumerate(texts)], "block string, id bigint, text string")
+    w = tfidf.tfidf(tfidf.term_frequency(docs))
+    bags = {}
+    for r in w.collect():
+        bags.setdefault((r.block, r.id), {})[r.term] = r.w
+    exact = {(a[1], b[1]): sum(x * bags[b].get(t, 0) for t, x in bags[a].items()) for a in bags for b in bags if a[0] == b[0] and a[1] < b[1]}
+    want = {p for p, sim in exact.items() if sim > threshold}
+    found = {(r.i, r.j): r.sim for r in tfidf.pairs_of(w, threshold).collect()}
+    assert set(found) == want and all(abs(found[p] - exact[p]) < 1e-9 for p in want)
+    shared = tfidf.shared_terms(w)
+    verified = tfidf.candidates(shared, threshold).count()
+    prefix = shared.where(F.col("suffix") >= threshold * threshold).select("block", "term", "id")
+    sharing = prefix.join(prefix.withColumnRenamed("id", "j"), ["block", "term"]).where("id < j").select("id", "j").distinct().count()
+    assert len(want) <= verified < sharing
+
+
+def folders(path):
+    return {d: os.stat(os.path.join(path, d)).st_mtime_ns for d in os.listdir(path) if d.startswith("bucket=")}
+
+
+def test_keyed_upsert_touches_few_buckets(spark, tmp_path):
+    path, schema = str(tmp_path / "keyed"), "k bigint, v string, at int"
+    target = spark.createDataFrame([(i, f"v{i}", 0) for i in range(500)] + [(None, "n", 0)], schema)
+    keyed.write_keyed(target, path, ["k"], 32)
+    before = folders(path)
+    source = spark.createDataFrame([(3, "x", 1), (3, "y", 2), (900, "new", 1), (None, "m", 1)], schema)
+    numbers = keyed.upsert_keyed(path, source, "k", ["v", "at"], 32)
+    after = folders(path)
+    assert len(numbers) <= 3 and -1 in numbers and {d for d in after if after[d] != before.get(d)} == {f"bucket={k}" for k in numbers}
+    got = sorted((tuple(r) for r in keyed.read_keyed(spark, path, target.schema).collect()), key=str)
+    assert got == sorted([(i, f"v{i}", 0) for i in range(500) if i != 3] + [(3, "y", 2), (900, "new", 1), (None, "n", 0), (None, "m", 1)], key=str)
+    assert keyed.upsert_keyed(path, source.where("k is not null"), "k", ["v", "at"], 32) == [k for k in numbers if k >= 0]
+    assert sorted((tuple(r) for r in keyed.read_keyed(spark, path, target.schema).collect()), key=str) == got
+    assert keyed.upsert_keyed(path, source.limit(0), "k", ["v", "at"], 32) == []
+    read = keyed.read_buckets(source, path, numbers)
+    assert {f.split("bucket=")[1].split("/")[0] for f in read.inputFiles()} == {str(k) for k in numbers}
+
+
+def test_batches_written_again_double_nothing(spark, tmp_path):
+    path, schema = str(tmp_path / "log"), "id bigint, c string"
+    first = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None)], schema)
+    second = spark.createDataFrame([(5, "b"), (6, "c"), (7, "c")], schema)
+    for number, batch in ((0, first), (1, second), (1, second), (0, first)):
+        keyed.append_new(path, batch, number, ["c"], ["id"], 8)
+    got = sorted(tuple(r) for r in keyed.read_keyed(spark, path, first.schema).collect())
+    assert got == [(1, "a"), (3, "b"), (4, None), (6, "c")]
