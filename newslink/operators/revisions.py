@@ -129,11 +129,15 @@ def unwrap_links(content: pd.Series) -> pd.Series:
 
 
 def blocks(pages: DataFrame) -> DataFrame:
-    """(article_id, revid, tag, idx, text): the k-th title, h1, p, th of each revision."""
-    found = F.regexp_extract_all("content", F.lit(r"(?s)<(title|h1|p|th)(?: [^>]*)?>(.*?)</\1>"), F.lit(0))
-    rows = pages.select("article_id", "revid", "ts", F.posexplode(found).alias("pos", "html"))
-    rows = rows.select("article_id", "revid", "ts", "pos", F.regexp_extract("html", "^<([a-z0-9]+)", 1).alias("tag"), F.regexp_replace(F.regexp_replace("html", r"^<[^>]*>", ""), r"</[a-z0-9]+>$", "").alias("text"))
-    return rows.withColumn("idx", F.row_number().over(W.partitionBy("article_id", "revid", "tag").orderBy("pos")).cast("bigint"))
+    """(article_id, revid, ts, tag, idx, text): the k-th title, h1, p and th of each revision, counted from 1 for each tag.
+
+    Elements within those of another tag count (a p within a th is a block, and part of the th's text); one within an
+    element of its own tag is part of that. An element that is not closed is none. Pages without content have none.
+    """
+    found = [F.struct(F.lit(t).alias("tag"), F.regexp_extract_all("content", F.lit(rf"(?is)<{t}(?:\s[^>]*)?>(.*?)</{t}>"), F.lit(1)).alias("texts")) for t in BLOCKS]
+    rows = pages.select("article_id", "revid", "ts", F.explode(F.array(*found)).alias("b"))
+    rows = rows.select("article_id", "revid", "ts", "b.tag", F.posexplode("b.texts").alias("idx", "text"))
+    return rows.withColumn("idx", (F.col("idx") + 1).cast("bigint"))
 
 
 def with_previous(revisions: DataFrame) -> DataFrame:
@@ -315,6 +319,11 @@ def diff_ops(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([diff_tokens(a, b) for a, b in zip(old, new, strict=True)])
 
 
+def side_of(ops: str, op: str) -> Column:
+    """The whole text of one side of a diff: the old one with op '-', the new one with '+'."""
+    return F.array_join(F.transform(F.filter(ops, lambda r: r["op"].isin(" ", op)), lambda r: r["text"]), "")
+
+
 def revision_diff(revisions: DataFrame) -> DataFrame:
     """(article_id, revid, user_name, ops) for every changed revision; the first revision is one addition.
 

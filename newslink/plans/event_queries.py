@@ -48,7 +48,22 @@ def leader_clusters(spark: SparkSession, d: str) -> DataFrame:
     return E.leader_clusters(art, E.entity_weights(art)).select(F.col("date").cast("string").alias("date"), "leader", "id")
 
 
-@query()
+# As above, with the gate on entities: bags holds the entities of an article and of those similar to it.
+@query(f"""WITH RECURSIVE {X.ART_ONCE}, {ENT}, {RANK}, {TF_DAY}, {W_CTE}, {sims_cte('> 0.35')},
+ near AS (SELECT i, j FROM sims UNION ALL SELECT j, i FROM sims), own AS (SELECT id AS i, id AS j FROM imp UNION ALL SELECT i, j FROM near),
+ bags AS (SELECT own.i AS id, list({{'j': own.j, 'entity': ent.entity, 'weight': ent.weight}}) AS bag FROM own JOIN ent ON ent.id = own.j GROUP BY own.i),
+ nb AS (SELECT i AS id, list(j) AS near FROM near GROUP BY i),
+ adj AS MATERIALIZED (SELECT imp.date, imp.id, imp.rank, coalesce(nb.near, []) AS near, bags.bag FROM imp LEFT JOIN nb USING (id) LEFT JOIN bags USING (id)),
+ walk AS (SELECT date, CAST(0 AS BIGINT) AS rank, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS leader, CAST([] AS BIGINT[]) AS members FROM (SELECT DISTINCT date FROM imp)
+  UNION ALL SELECT date, rank, CASE WHEN free AND leads THEN list_concat(used, m) WHEN free THEN list_append(used, id) ELSE used END, CASE WHEN free AND leads THEN id END, CASE WHEN free AND leads THEN m ELSE [] END
+  FROM (SELECT *, coalesce(list_max(list_transform(list_distinct(list_transform(b, lambda x: x.entity)), lambda e: list_sum(list_transform(list_filter(b, lambda x: x.entity = e), lambda x: x.weight)))), 0) >= 3 AS leads
+   FROM (SELECT *, list_filter(bag, lambda x: list_contains(m, x.j)) AS b
+    FROM (SELECT w.date, a.rank, w.used, a.id, a.bag, NOT list_contains(w.used, a.id) AS free, list_concat([a.id], list_filter(a.near, lambda x: NOT list_contains(w.used, x))) AS m FROM walk w JOIN adj a ON a.date = w.date AND a.rank = w.rank + 1)))),
+ cw AS (SELECT date, leader, rank AS leader_rank, unnest(members) AS id FROM walk WHERE leader IS NOT NULL),
+ sz AS (SELECT date, leader, leader_rank, count(*) AS size FROM cw GROUP BY ALL HAVING count(*) >= 5),
+ tp AS (SELECT leader, max(s) AS top FROM (SELECT leader, entity, sum(weight) AS s FROM cw JOIN ent USING (id) GROUP BY ALL) GROUP BY leader),
+ ev AS (SELECT leader, CAST(top * size AS BIGINT) AS score, CAST(row_number() OVER (PARTITION BY date ORDER BY top * size DESC, leader_rank) - 1 AS BIGINT) AS cluster_id FROM sz JOIN tp USING (leader) QUALIFY cluster_id < 6)
+ SELECT CAST(cw.date AS VARCHAR) AS date, cluster_id, id, leader, score, pubtime, medium_name, coalesce(article_link, '') AS article_link, head, concat_ws(' ', head, content) AS combined_text FROM cw JOIN ev USING (leader) JOIN art USING (id)""")
 def daily_events(spark: SparkSession, d: str) -> DataFrame:
     return E.daily_events(X.articles(spark, d))
 

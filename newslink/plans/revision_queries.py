@@ -112,14 +112,17 @@ def ip_enrich(spark: SparkSession, d: str) -> DataFrame:
     return L.enrich_ips(X.revision_log(spark, d), X.networks(spark, d))
 
 
-@query(f"WITH {X.PAGE_REV}, b AS (SELECT article_id, revid, regexp_extract_all(content, '(?s)<p[^>]*>(.*?)</p>', 1) AS p FROM page_rev) SELECT article_id, revid, unnest(generate_series(1, len(p))) AS idx, unnest(p) AS text FROM b")
+BLOCKS = ", blk AS (" + " UNION ALL ".join(f"SELECT article_id, revid, '{t}' AS tag, unnest(generate_series(1, len(x))) AS idx, unnest(x) AS text FROM (SELECT article_id, revid, regexp_extract_all(content, '(?is)<{t}(?:\\s[^>]*)?>(.*?)</{t}>', 1) AS x FROM page_rev)" for t in R.BLOCKS) + ")"
+
+
+@query(f"WITH {X.PAGE_REV}{BLOCKS} SELECT article_id, revid, tag, idx, text FROM blk")
 def html_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return R.blocks(X.page_revisions(spark, d)).where("tag = 'p'").select("article_id", "revid", "idx", "text")
+    return R.blocks(X.page_revisions(spark, d)).select("article_id", "revid", "tag", "idx", "text")
 
 
-@query(f"WITH {X.PAGE_REV}, b AS (SELECT article_id, revid, unnest(generate_series(1, len(p))) AS idx, unnest(p) AS text FROM (SELECT article_id, revid, regexp_extract_all(content, '(?s)<p[^>]*>(.*?)</p>', 1) AS p FROM page_rev)) SELECT n.article_id, n.revid, n.idx, n.text = o.text AS same FROM b n JOIN b o ON o.article_id = n.article_id AND o.revid = n.revid - 25 AND o.idx = n.idx")
+@query(f"WITH {X.PAGE_REV}{BLOCKS} SELECT n.article_id, n.revid, n.tag, n.idx, n.text = o.text AS same FROM blk n JOIN blk o ON o.article_id = n.article_id AND o.revid = n.revid - 25 AND o.tag = n.tag AND o.idx = n.idx")
 def block_align(spark: SparkSession, d: str) -> DataFrame:
-    return R.align(X.page_revisions(spark, d)).where("tag = 'p'").select("article_id", "revid", "idx", (F.col("text") == F.col("old_text")).alias("same"))
+    return R.align(X.page_revisions(spark, d)).select("article_id", "revid", "tag", "idx", (F.col("text") == F.col("old_text")).alias("same"))
 
 
 BAG = "bag AS (SELECT article_id, revid, unnest(regexp_extract_all(content, '[\\p{L}\\p{N}_]+')) AS token, 1 AS d FROM lg UNION ALL SELECT article_id, revid, unnest(regexp_extract_all(coalesce(prev_content, ''), '[\\p{L}\\p{N}_]+')), -1 FROM lg), dl AS (SELECT article_id, revid, token, CAST(sum(d) AS BIGINT) AS d FROM bag GROUP BY ALL HAVING sum(d) <> 0)"
@@ -169,6 +172,12 @@ def revision_diff(spark: SparkSession, d: str) -> DataFrame:
     return R.revision_diff(X.revisions(spark, d)).select("article_id", "revid", "user_name", F.explode("ops").alias("o")).select("article_id", "revid", "user_name", "o.op", "o.text", "o.tokens")
 
 
+@query(f"WITH {X.REV}, {LAG} SELECT article_id, revid, md5(coalesce(prev_content, '')) AS old_md5, md5(coalesce(content, '')) AS new_md5 FROM lg WHERE content IS DISTINCT FROM prev_content")
+def revision_diff_sides(spark: SparkSession, d: str) -> DataFrame:
+    """Both whole texts of each diff as its runs give them back: kept and removed ones the old, kept and added ones the new."""
+    return R.revision_diff(X.revisions(spark, d)).select("article_id", "revid", F.md5(R.side_of("ops", "-")).alias("old_md5"), F.md5(R.side_of("ops", "+")).alias("new_md5"))
+
+
 @query()
 def html_diff(spark: SparkSession, d: str) -> DataFrame:
     pages = X.page_revisions(spark, d).withColumn("user_name", F.concat(F.lit("user"), (F.col("revid") % 7).cast("string")))

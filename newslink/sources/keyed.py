@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newslink.operators.tables import insert_ignore, upsert
 from newslink.sources.storage import discard, materialize
@@ -32,20 +33,23 @@ def touched(df: DataFrame, keys: list[str], buckets: int) -> list[int]:
     return sorted(r.bucket for r in df.select(bucket_of(keys, buckets).alias("bucket")).distinct().collect())
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def read_buckets(like: DataFrame, path: str, numbers: list[int]) -> DataFrame:
     """The rows of these buckets with the columns of `like`, and further partition columns; a bucket without rows has no folder."""
     spark: SparkSession = like.sparkSession
-    there = []
-    for k in numbers:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={k}")
-        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-            there.append(f"{path}/bucket={k}")
+    there = [f"{path}/bucket={k}" for k in numbers if _exists(spark, f"{path}/bucket={k}")]
     empty = like.limit(0).withColumns({"bucket": F.lit(0), "batch": F.lit(0).cast("bigint")})
     return spark.read.schema(empty.schema).option("basePath", path).parquet(*there) if there else empty
 
 
-def read_keyed(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The whole table."""
+def read_keyed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The whole table, with its column `batch` if schema has that; without rows where nothing was ever written."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
@@ -66,14 +70,20 @@ def upsert_keyed(path: str, source: DataFrame, key: str, values: list[str], buck
     return numbers
 
 
-def append_new(path: str, batch: DataFrame, number: int, keys: list[str], order: list[str], buckets: int) -> list[int]:
+def append_new(path: str, batch: DataFrame, number: int, keys: list[str], order: list[str], buckets: int, by: list[str] | None = None) -> list[int]:
     """insert_ignore of one numbered batch into the table at path; the numbers of the buckets that were read.
 
-    Within a bucket each batch has a folder of its own, which is written again if the batch is: nothing is lost or doubled.
+    The table lies in buckets of `by` (some of the keys; default: all). Within a bucket each batch has a folder of its own,
+    which is written again if the batch is: nothing is lost or doubled.
     """
-    numbers = touched(batch, keys, buckets)
+    numbers = touched(batch, by or keys, buckets)
     if numbers:
         old = read_buckets(batch, path, numbers).where(F.col("batch") != number)
-        new = insert_ignore(old, batch, keys, order).withColumns({"bucket": bucket_of(keys, buckets), "batch": F.lit(number).cast("bigint")})
-        new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
+        write_batch(path, insert_ignore(old, batch, keys, order), number, by or keys, buckets)
     return numbers
+
+
+def write_batch(path: str, rows: DataFrame, number: int, by: list[str], buckets: int) -> None:
+    """Rows of one numbered batch in the folders that are the batch's own; written again, they replace themselves."""
+    placed = rows.withColumns({"bucket": bucket_of(by, buckets), "batch": F.lit(number).cast("bigint")})
+    placed.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
