@@ -76,7 +76,9 @@ def flat_networks(networks: DataFrame) -> DataFrame:
     bits = ip_bits(parts[0])
     plen = parts[1].cast("int")
     nets = networks.select(F.length(bits).alias("family"), plen.alias("plen"), F.substring(bits, F.lit(1), plen).alias("net"), bits.alias("bits"), "since", "until", "asn", "org").where("bits is not null and plen between 0 and family and (since is null or until is null or since < until)")
-    nets = materialize(nets.drop("bits"), "networks")
+    # Of networks with the same prefix and period the largest (asn, org) holds throughout; the others are never found.
+    held = nets.groupBy("family", "plen", "net", "since", "until").agg(F.max(F.struct("asn", "org")).alias("held"))
+    nets = materialize(held.select("family", "plen", "net", "since", "until", "held.asn", "held.org"), "networks")
     # After its last address a prefix ends: the next one's bits, if there are any.
     ones = F.length(F.regexp_extract("net", "1*$", 0))
     after = F.when(ones < F.col("plen"), F.rpad(F.concat(F.substring("net", F.lit(1), F.col("plen") - ones - 1), F.lit("1")), F.col("family"), F.lit("0")))
