@@ -18,6 +18,10 @@ from newslink.sources.storage import shared_dir
 COLUMNS = ("id", "pubtime", "medium_code", "medium_name", "char_count", "head", "article_link", "content_id", "content")
 
 
+#: Effort of the xz writer: higher ones take several times as long for somewhat smaller files.
+PRESET = 0
+
+
 def read_xz(spark: SparkSession, folder: str) -> DataFrame:
     """All *.tsv.xz files of a folder; header names are stripped, missing columns are null, all values strings."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tsv.xz").load(folder).select("content")
@@ -31,10 +35,12 @@ def read_xz(spark: SparkSession, folder: str) -> DataFrame:
                 lines = io.TextIOWrapper(lzma.open(io.BytesIO(content)), encoding="utf-8", newline="")
                 rows = csv.reader(lines, delimiter="\t")
                 names = [x.strip() for x in next(rows, [])]
+                place = {name: i for i, name in enumerate(names)}
+                at = [place.get(c, sys.maxsize) for c in COLUMNS]
                 part = []
                 for row in rows:
-                    record = dict(zip(names, row, strict=False))
-                    part.append([record.get(c) or None for c in COLUMNS])
+                    n = len(row)
+                    part.append([row[i] or None if i < n else None for i in at])
                     if len(part) == 1000:
                         yield pd.DataFrame(part, columns=list(COLUMNS))
                         part = []
@@ -55,7 +61,7 @@ def write_xz(df: DataFrame) -> str:
         fs.create_dir(path, recursive=True)
         context = TaskContext.get()
         target = posixpath.join(path, f"part-{context.partitionId():05d}")
-        with fs.open_output_stream(f"{target}.{context.taskAttemptId()}") as out, lzma.open(out, "wt", encoding="utf-8", newline="") as file:
+        with fs.open_output_stream(f"{target}.{context.taskAttemptId()}") as out, lzma.open(out, "wt", preset=PRESET, encoding="utf-8", newline="") as file:
             rows = csv.writer(file, delimiter="\t")
             rows.writerow(names)
             n = 0
