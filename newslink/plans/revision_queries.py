@@ -152,13 +152,13 @@ def report_line_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def html_clean(spark: SparkSession, d: str) -> DataFrame:
-    return X.page_revisions(spark, d).select("article_id", "revid", R.clean_html("content").alias("content"))
+    return R.rewritten(X.page_revisions(spark, d).select("article_id", "revid", "content"), strip=True)
 
 
 @query()
 def unwrap_links(spark: SparkSession, d: str) -> DataFrame:
     wiki = F.regexp_replace("content", r'href="/', 'href="/wiki/')
-    return X.page_revisions(spark, d).select("article_id", "revid", R.unwrap_links(wiki).alias("content"))
+    return R.rewritten(X.page_revisions(spark, d).select("article_id", "revid", wiki.alias("content")), strip=False)
 
 
 @query()
