@@ -57,6 +57,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             begin = end
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def releasing(step: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A worker function that gives freed memory back to the system at its end, as Spark keeps idle workers for later tasks."""
 
@@ -65,10 +73,7 @@ def releasing(step: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iter
         try:
             yield from step(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-            if trim:
-                trim(0)
+            give_back()
 
     return run
 

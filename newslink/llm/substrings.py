@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newslink.llm.common import SegmentHasher, mix, pick, raw_texts
+from newslink.llm.common import SegmentHasher, give_back, mix, pick, raw_texts
 
 LENGTH = 50
 GRAM = 16
@@ -46,6 +46,8 @@ CHUNK = 1 << 20
 SPREAD = 4
 #: Bytes of text of a batch, beside its last text.
 BATCH_BYTES = 1 << 25
+#: Segments whose strings are marked in one go.
+STRETCH = 1 << 16
 MATCHED, MIXED = 1, 2
 _FIRST, _SECOND, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _NULL = -(1 << 63)
@@ -283,6 +285,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, batches: int | None =
     dealt = docs.withColumn("batch", _number(F.col("doc_id"), ends) if ends else F.lit(0).cast("bigint")).repartition(SPREAD * parts, "batch")
 
     def send(table: pa.Table) -> pa.Table:
+        give_back()  # what the group before has left
         x = Batch(table)
         order, heads, part = x.sent(parts)
         first = order[heads]
@@ -291,6 +294,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, batches: int | None =
         return pa.Table.from_pylist([dict(zip(_NAMED.names, r, strict=True)) for r in rows], schema=_NAMED)
 
     def refine(left: pa.Table, replies: pa.Table) -> pa.Table:
+        give_back()  # what the group before has left
         if not left.num_rows:
             return _RAW.empty_table()
         x = Batch(left)
@@ -303,6 +307,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, batches: int | None =
         return pa.Table.from_pylist([dict(zip(_RAW.names, r, strict=True)) for r in rows], schema=_RAW)
 
     def finish(left: pa.Table, replies: pa.Table) -> pa.Table:
+        give_back()  # what the group before has left
         schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
         if not left.num_rows:
             return schema.empty_table()
@@ -311,14 +316,18 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, batches: int | None =
         first, part, segments, like = x.refined(parts, _flags(replies, 1))
         bits, counts = _flags(replies, 2), x.count[first]
         found = [np.unpackbits(np.frombuffer(bits[p], np.uint8), count=int(counts[a:b].sum())) for p, a, b in _by_part(part)]
-        found = np.concatenate([np.zeros(0, np.uint8), *found])[runs((np.cumsum(counts) - counts)[like], x.count[segments])]
-        gone = runs(x.first[segments], x.count[segments])[found > 0]
+        found = np.concatenate([np.zeros(0, np.uint8), *found])
+        begins = np.cumsum(counts) - counts
         cover = np.zeros(len(x.data) + 1, np.int32)
         np.add.at(cover, x.first[repeated], 1)
         np.add.at(cover, x.first[repeated] + x.count[repeated] - 1 + LENGTH, -1)
-        np.add.at(cover, gone, 1)
-        np.add.at(cover, gone + LENGTH, -1)
-        removed = np.cumsum(cover[:-1]) > 0
+        for k in range(0, len(segments), STRETCH):  # places are eight bytes for each string
+            s = segments[k : k + STRETCH]
+            gone = runs(x.first[s], x.count[s])[found[runs(begins[like[k : k + STRETCH]], x.count[s])] > 0]
+            np.add.at(cover, gone, 1)
+            np.add.at(cover, gone + LENGTH, -1)
+        removed = np.cumsum(cover[:-1], dtype=np.int32) > 0
+        del cover, found
         rows = []
         for a, b in zip(x.starts.tolist(), x.ends.tolist(), strict=True):
             r = removed[a:b]
