@@ -50,8 +50,9 @@ class Words:
             hashes.append(mix(hasher.of(place, place + size) + np.uint64(salt)))
         owner = np.concatenate(owners)
         order = np.argsort(owner, kind="stable")
-        self.owner = owner[order]
-        self.features = (np.concatenate(hashes)[order] & np.uint64((1 << bits) - 1)).astype(np.int64)
+        # Four bytes each: all batches of a training are held at once, in the driver.
+        self.owner = owner[order].astype(np.int32)
+        self.features = (np.concatenate(hashes)[order] & np.uint64((1 << bits) - 1)).astype(np.int32)
         self.first = np.searchsorted(self.owner, np.arange(len(at)))
 
     def spans(self, texts_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

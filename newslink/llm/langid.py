@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newslink.llm import crf
-from newslink.llm.common import STEP_CHARS, held_out, pick, releasing, sample_texts, slices, texts_of
+from newslink.llm.common import STEP_CHARS, give_back, held_out, pick, releasing, sample_texts, slices, texts_of
 
 FEATURES = {"bits": 18, "prefixes": (2, 3), "suffixes": (2, 3), "grams": (2, 3)}
 #: Documents of each language that the model is fitted on at most (chosen by a hash of doc_id).
@@ -43,7 +43,12 @@ def learn(docs: DataFrame, max_rows: int = MAX_ROWS, epochs: int = 4) -> crf.Mod
         words = crf.Words([r.text for r in part], **FEATURES)
         gold = np.array([labels.index(r.label) for r in part])[words.doc]
         batches.append((words, gold, np.ones(len(gold), np.float32)))
-    return crf.train(batches, labels, FEATURES, epochs) if labels else None
+    del found
+    give_back()  # the driver holds the steps' arrays no longer than it must
+    model = crf.train(batches, labels, FEATURES, epochs) if labels else None
+    del batches
+    give_back()
+    return model
 
 
 def predict(docs: DataFrame, model: crf.Model | None) -> DataFrame:
