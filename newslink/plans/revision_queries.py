@@ -188,7 +188,7 @@ def html_diff(spark: SparkSession, d: str) -> DataFrame:
 def change_view(spark: SparkSession, d: str) -> DataFrame:
     pages = X.page_revisions(spark, d).withColumn("user_name", F.concat(F.lit("user"), (F.col("revid") % 7).cast("string")))
     asked = pages.groupBy("article_id").agg(F.max("revid").alias("rev_a"), F.min("revid").alias("rev_b")).withColumn("request", F.col("article_id"))
-    return R.change_view(asked, R.html_diffs(pages), pages)
+    return R.change_view(asked, R.html_diffs(pages, whole=False), pages)
 
 
 @query(f"""WITH {X.PAGE_REV}, c AS (SELECT *, content IS DISTINCT FROM lag(content) OVER (PARTITION BY article_id ORDER BY ts, revid) AS changed FROM page_rev),
