@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from newslink.functions.scalars import sentences, word_count
 from newslink.operators.events import ENTITY
 from newslink.operators.tfidf import tokens
+from newslink.operators.vectors import best_by_frequency
 from newslink.sources.storage import materialize
 
-#: Different terms of all clusters up to which their frequencies are broadcast.
+#: Clusters, and best sentences of theirs, up to which they are broadcast.
 BROADCAST_TERMS = 300_000
 NO_SUMMARY = "Keine Zusammenfassung verfügbar."
 
@@ -54,15 +55,17 @@ def _packing(words: int):
 
 def summaries(clusters: DataFrame, members: DataFrame, size: int) -> DataFrame:
     """(leader, summary): the sentences whose terms stand in most sentences of the cluster, best first."""
-    # Written once; terms go with a sentence's number, not with its text.
-    found = members.select("leader", F.explode_outer(sentences(F.col("content"))).alias("sentence")).where("sentence is not null").distinct()
+    leaders = materialize(clusters.select("leader").distinct().withColumn("block", F.monotonically_increasing_id().cast("string")), "leaders")
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
+    # Written once; neither terms nor the names of clusters go with the sentences.
+    found = members.join(small(leaders), "leader").select("block", F.explode_outer(sentences(F.col("content"))).alias("sentence")).where("sentence is not null").distinct()
     found = materialize(found.withColumn("number", F.monotonically_increasing_id()), "sentences")
-    # explode_outer, as Spark puts a filter with the whole expression once more below an explode.
-    terms = found.select("leader", "number", F.explode_outer(F.array_distinct(tokens(F.col("sentence")))).alias("term")).where("term is not null")
-    often = materialize(terms.groupBy("leader", "term").agg(F.count(F.lit(1)).alias("f")), "often")
-    small = F.broadcast if often.count() <= BROADCAST_TERMS else (lambda x: x)
-    scores = terms.join(small(often), ["leader", "term"]).groupBy("number").agg(F.sum("f").alias("score"))
-    scored = found.join(scores, "number", "left").select("leader", "sentence", F.coalesce("score", F.lit(0)).alias("score"))
+    best = best_by_frequency(found.select("block", F.col("number").alias("id"), "sentence"), F.array_distinct(tokens(F.col("sentence"))), size)
+    # Where too few sentences have terms, those without any count.
+    several = best.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= size)
+    few = materialize(leaders.join(several, "block", "left_anti").select("block", F.lit(True).alias("few")), "few")
+    scored = found.join(small(best.select(F.col("id").alias("number"), "score")), "number", "left").join(small(few), "block", "left").where("score is not null or few")
+    scored = scored.join(small(leaders), "block").select("leader", "sentence", F.coalesce("score", F.lit(0)).alias("score"))
     top = scored.withColumn("k", F.row_number().over(W.partitionBy("leader").orderBy(F.desc("score"), "sentence"))).where(F.col("k") <= size)
     joined = top.groupBy("leader").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "sentence"))), lambda x: x["sentence"]), " ").alias("summary"))
     return clusters.join(joined, "leader", "left").select("leader", F.coalesce("summary", F.lit(NO_SUMMARY)).alias("summary"))
